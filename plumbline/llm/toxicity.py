@@ -2,7 +2,7 @@
 
 A document's features are the distinct hashed character n-grams of its whole lower-cased text. From a bounded
 sample of labelled rows, the log ratio of smoothed document counts in the two classes scales each feature, and a
-logistic regression is fitted to the scaled features. Scoring is one pass of array work over the texts.
+logistic regression is fitted to the scaled features that tell the classes apart. Scoring is one pass of array work over the texts.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, training_labels
+from .common import held_out, materialize, training_labels
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6, 7)
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
-def ngrams(text: str | None, bits: int = 18, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
+def ngrams(text: str | None, bits: int = 19, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     """Hashes below 2^bits of the distinct character n-grams of a whole text. Null counts as empty.
 
     The text is lower-cased and has a space put at both ends; characters are code points.
@@ -83,33 +83,59 @@ def _fit_logistic(index: np.ndarray, start: np.ndarray, y: np.ndarray, ratio: np
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 18, fit_rows: int = 4_000, penalty: float = 1e-4, rounds: int = 80, smoothing: float = 1.0) -> ToxicityModel:
+def _class_counts(rows: DataFrame, bits: int) -> np.ndarray:
+    """For both labels, the documents that have each feature, and in a last column all: one row per partition is summed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((2, (1 << bits) + 1), np.int32)
+        for b in batches:
+            for text, y in zip(b["text"], b["y"]):
+                row = counts[int(y > 0)]
+                row[ngrams(text, bits)] += 1
+                row[-1] += 1
+        yield pd.DataFrame({"counts": [counts.tobytes()]})
+
+    total = np.zeros((2, (1 << bits) + 1))
+    for r in rows.mapInPandas(run, "counts binary").toLocalIterator():  # of bounded size, from a bounded number of partitions
+        total += np.frombuffer(r["counts"], np.int32).reshape(total.shape)
+    return total
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 19, fit_rows: int = 12_000, features: int = 8_192, least_z: float = 3.0, penalty: float = 3e-4, rounds: int = 150, smoothing: float = 1.0, parts: int = 8) -> ToxicityModel:
     """Learn from about fit_rows labelled rows at most (a bounded sample, by the hash of their id), not held out.
 
-    Without usable labels every score is 0.5.
+    The `features` n-grams whose shares in the two classes differ most (by at least least_z standard errors) get
+    weights; the others weigh nothing. Without usable labels, or with labels of one kind only, the score is the
+    share of that label, smoothed.
     """
     known = training_labels(labels, label, fit_rows)
+    # the sample's size is bounded, so that its ids can be broadcast
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = materialize(rows.repartition(parts, "doc_id"), "labelled")
+    counts = _class_counts(rows, bits)
+    n = counts[:, -1:]
+    share = (counts[:, :-1] + smoothing) / (n + 2 * smoothing)
+    pooled = (counts[:, :-1].sum(0) + smoothing) / (n.sum() + 2 * smoothing)
+    z = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / (n + 1)).sum())
+    kept = np.argsort(-z, kind="stable")[:features]
+    kept = np.sort(kept[(z[kept] >= least_z) & (counts[:, :-1].sum(0)[kept] > 0)])
+    weights = np.zeros(1 << bits, np.float32)
+    if not len(kept) or not n.all():
+        return ToxicityModel(weights, float(np.log((n[1, 0] + smoothing) / (n[0, 0] + smoothing))), bits)
+    column = np.full(1 << bits, -1, np.int32)
+    column[kept] = np.arange(len(kept))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "f": [ngrams(t, bits).astype(np.int32).tobytes() for t in b["text"]]})
+            found = [column[ngrams(t, bits)] for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "f": [f[f >= 0].tobytes() for f in found]})
 
-    # the sample's size is bounded, so that it can be broadcast and its feature lists gathered
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
     got = rows.mapInPandas(run, "doc_id long, y double, f binary").toPandas().sort_values("doc_id", kind="stable")
-    if not len(got):
-        return ToxicityModel(np.zeros(1 << bits, np.float32), 0.0, bits)
-    y = got["y"].to_numpy()
     lists = [np.frombuffer(f, np.int32) for f in got["f"]]
-    index = np.concatenate(lists)
-    start = np.cumsum([0, *map(len, lists)])[:-1]
-    lengths = np.diff(np.append(start, len(index)))
-    in_class = [np.bincount(index, weights=np.repeat(c, lengths), minlength=1 << bits) + smoothing for c in (y, 1 - y)]
-    p, q = (x / (n + 2 * smoothing) for x, n in zip(in_class, (y.sum(), (1 - y).sum())))
-    ratio = np.log(p / q)
-    ratio[in_class[0] + in_class[1] <= 2 * smoothing] = 0  # never seen
-    w, b = _fit_logistic(index, start, y, ratio, penalty, rounds)
-    return ToxicityModel((w * ratio).astype(np.float32), float(b), bits)
+    ratio = np.log(share[1] / share[0])[kept]
+    w, b = _fit_logistic(np.concatenate(lists), np.cumsum([0, *map(len, lists)])[:-1], got["y"].to_numpy(), ratio, penalty, rounds)
+    weights[kept] = w * ratio
+    return ToxicityModel(weights, float(b), bits)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
