@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality, toxicity
+from . import exact_dedup, packing, quality, toxicity
 from .common import table
 
 
@@ -16,12 +16,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op6_exact_dedup, op9_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op6_exact_dedup, op8_packing, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
