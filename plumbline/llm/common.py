@@ -58,3 +58,31 @@ def training_labels(labels: DataFrame, label: str, rows: int, id_col: str = "doc
         .groupBy("doc_id").agg(F.max("y").alias("y")),
         "doc_id", rows,
     )
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, share: int = 1_000) -> DataFrame:
+    """rows joined with groups (one row per key), where a few keys may hold most rows.
+
+    size: a group's number of rows in `rows`, which has `total` rows. At most `share` groups can hold a share-th of
+    them each; those are broadcast, so that a hot key stays where it is. The others are joined by a shuffle.
+    """
+    hot_from = max(2, total // share)
+    hot, rest = groups.where(F.col(size) >= hot_from), groups.where(F.col(size) < hot_from)
+    stays = rows.join(F.broadcast(hot), on)
+    moves = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    return stays.unionByName(moves)
+
+
+def member_filter(ids: DataFrame, column: str, bits: int) -> DataFrame:
+    """(word, mask): the non-empty 64-bit words of a one-hash Bloom filter of ids; bits/64 rows at most."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits).cast("long"))
+    return ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask")
+    )
+
+
+def maybe_members(rows: DataFrame, words: DataFrame, column: str, bits: int) -> DataFrame:
+    """The rows whose column may be among the ids of a member_filter: all of those, and a few others."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits).cast("long"))
+    some = rows.withColumn("_place", place).withColumn("word", F.shiftright("_place", 6))
+    return some.join(F.broadcast(words), "word").where(F.getbit("mask", (F.col("_place") % 64).cast("int")) == 1).select(*rows.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality, secrets, toxicity
+from . import exact_dedup, near_dedup, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op5_secrets, op6_exact_dedup, op8_packing, op9_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op5_secrets, op6_exact_dedup, op7_near_dedup, op8_packing, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
