@@ -10,25 +10,27 @@ length and looks its place up in the list of combinations.
 
 from __future__ import annotations
 
-import unicodedata
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 CAPACITY, END_ID = 2048, 0
-#: The pre-tokens of the tokenizer file, as that file states them.
-_PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts of these characters are lower-cased and composed alike here and in the tokenizer.
-_PLAIN = regex.compile(r"[!-~¡-¬®-įĲ-ž]*")
-_BLANKS = str.maketrans("\n\t\r", "   ")
+#: The pre-tokens of the tokenizer file, for lower-cased texts of the plain characters below.
+_PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Characters that are composed, lower-cased and classed alike here and in the tokenizer.
+_PLAIN = re.compile(r"[\t\n\r -~¡-¬®-±´-¸º»¿-įĲ-ž]*")
+#: The characters that stand for bytes in byte-level vocabularies.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
 
 
 def tokenizer_path() -> str:
@@ -40,52 +42,39 @@ def tokenizer_path() -> str:
 class WordTokenizer:
     """Token ids of whole texts, as little-endian 32-bit bytes, equal to those of the tokenizer file.
 
-    The tokenizer drops white space and never joins across it, so texts are split there, and every word is encoded
-    once. Its caches are emptied when they are full, so memory is bounded whatever the texts.
+    Its pre-tokens never depend on each other, so each different one is encoded once, by the file's own merge model,
+    and kept. The cache is emptied when it is full, so memory is bounded whatever the texts. Texts with other than
+    plain characters, or with a special token's string, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), words
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        split, odd = {}, []
-        for w in words:
-            if _PLAIN.fullmatch(w) and not (self.special and self.special.search(w)):
-                split[w] = _PRETOKENS.findall(unicodedata.normalize("NFC", w).lower())
-            else:
-                odd.append(w)
-        new = list({p for parts in split.values() for p in parts} - self.parts.keys())
-        self.parts.update(zip(new, self._encode(new)))
-        for w, parts in split.items():
-            self.words[w] = b"".join([self.parts[p] for p in parts])
-        self.words.update(zip(odd, self._encode(odd)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").translate(_BLANKS).split(" ") if t and ("\n" in t or "\t" in t or "\r" in t) else (t or "").split(" ") for t in texts]
-        out = []
-        for i in range(0, len(split), 64):
-            some = split[i : i + 64]
-            new = set().union(*some) - self.words.keys()
-            if new:
-                if len(self.words) > self.most:
-                    new = set().union(*some)
-                self._learn(new)
-            get = self.words.__getitem__
-            out += [b"".join(map(get, words)) for words in some]
-        return out
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.merges = Tokenizer(self.tokenizer.model)  # the merge model alone
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, parts: set[str]) -> None:
+        order = list(parts)
+        mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES) for p in order]
+        for p, e in zip(order, self.merges.encode_batch_fast(mapped, add_special_tokens=False)):
+            ids = e.ids
+            self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not _PLAIN.fullmatch(text) or any(x in text for x in self.specials):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = _PRETOKENS.findall(text.lower())
+        try:
+            return b"".join(map(self.known.__getitem__, parts))
+        except KeyError:
+            if len(self.known) > self.most:
+                self.known.clear()
+            self._learn(set(parts) - self.known.keys())
+            return b"".join(map(self.known.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
@@ -103,7 +92,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
         encoder = _loaded(path)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b["doc_id"], encoder.encode(b["text"].tolist())):
+            for doc_id, ids in zip(b["doc_id"], map(encoder.encode, b["text"])):
                 ids += end
                 rows += [(doc_id, i // width, i // 4, len(ids[i : i + width]) // 4, zlib.crc32(ids[i : i + width])) for i in range(0, len(ids), width)]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])

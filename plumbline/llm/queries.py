@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, packing, quality, secrets, toxicity
+from . import exact_dedup, html_extract, near_dedup, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -32,8 +32,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op5_secrets, op6_exact_dedup, op7_near_dedup, op8_packing, op9_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op5_secrets, op6_exact_dedup, op7_near_dedup, op8_packing, op9_quality, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
