@@ -55,10 +55,9 @@ class WordTokenizer:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, parts: set[str]) -> None:
-        order = list(parts)
-        mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES) for p in order]
-        for p, e in zip(order, self.merges.encode_batch_fast(mapped, add_special_tokens=False)):
+    def _learn(self, parts: list[str]) -> None:
+        mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES) for p in parts]
+        for p, e in zip(parts, self.merges.encode_batch_fast(mapped, add_special_tokens=False)):
             ids = e.ids
             self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
 
@@ -73,7 +72,7 @@ class WordTokenizer:
         except KeyError:
             if len(self.known) > self.most:
                 self.known.clear()
-            self._learn(set(parts) - self.known.keys())
+            self._learn([p for p in set(parts) if p not in self.known])
             return b"".join(map(self.known.__getitem__, parts))
 
 
