@@ -56,9 +56,9 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, parts: list[str]) -> None:
-        mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES) for p in parts]
-        for p, e in zip(parts, self.merges.encode_batch_fast(mapped, add_special_tokens=False)):
-            ids = e.ids
+        for p in parts:  # one by one: starting threads costs more than so short a text
+            mapped = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)
+            ids = self.merges.encode(mapped, add_special_tokens=False).ids
             self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
