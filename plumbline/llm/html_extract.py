@@ -56,12 +56,15 @@ PRIOR = {
     "tag:nav": -6.0, "tag:footer": -6.0, "tag:aside": -6.0, "tag:form": -6.0, "tag:header": -4.0, "tag:menu": -6.0, "tag:dialog": -6.0, "tag:button": -6.0,
     "tag:fieldset": -4.0, "tag:address": -2.0, "tag:legend": -4.0, "tag:article": 4.0, "tag:main": 3.0, "tag:p": 1.0, "tag:h1": 1.0, "tag:h2": 0.5, "tag:h3": 0.5,
     "tag:blockquote": 1.0, "tag:pre": 1.0, "hint:menu": -5.0, "hint:header": -3.0, "hint:footer": -5.0, "hint:side": -5.0, "hint:notice": -5.0, "hint:advert": -6.0,
-    "hint:form": -4.0, "hint:comment": -6.0, "hint:share": -5.0, "hint:main": 2.0, "links:2": -1.0, "links:3": -2.0, "len:4": 1.0, "len:3": 0.5,
+    "hint:form": -4.0, "hint:comment": -6.0, "hint:share": -5.0, "hint:main": 3.0, "links:2": -1.0, "links:3": -2.0, "len:4": 1.0, "len:3": 0.5,
 }
 TELLING = frozenset("article main nav footer aside header".split())
 #: Kinds of parents for the edge potentials.
 PAGE, BOX, AWAY, TEXT = range(4)
 
+# Stated shares of a child's labels (away, content) below a parent away and below one with content, by kind.
+EDGES = [[[0.5, 0.5], [0.5, 0.5]], [[0.95, 0.05], [0.12, 0.88]], [[0.98, 0.02], [0.3, 0.7]], [[0.97, 0.03], [0.03, 0.97]]]
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -219,7 +222,7 @@ class PageModel:
     weights: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
     bias: float = 0.0
     #: Log potentials [kind of parent][label of parent][label of child].
-    edges: list = field(default_factory=lambda: [[[0.0, 0.0], [0.0, 0.0]], [[0.7, -0.7], [-0.7, 0.7]], [[2.5, -2.5], [-0.5, 0.5]], [[1.0, -1.0], [-1.0, 1.0]]])
+    edges: list = field(default_factory=lambda: [[[log(x) for x in row] for row in k] for k in EDGES])
 
     def marginals(self, t: Tree) -> list[float]:
         """Of content, for every node: messages to the root, then from it."""
@@ -272,7 +275,7 @@ def labels(t: Tree) -> list[int | None] | None:
     return out
 
 
-def fit(pages: list[str], rounds: int = 200, pull: float = 40.0, seed: int = 3) -> PageModel:
+def fit(pages: list[str], rounds: int = 200, pull: float = 150.0, seed: int = 3) -> PageModel:
     """Train node potentials by logistic regression pulled towards PRIOR, and edge potentials from label counts."""
     model, rng = PageModel(), np.random.default_rng(seed)
     rows, ys = [], []
@@ -309,11 +312,12 @@ def fit(pages: list[str], rounds: int = 200, pull: float = 40.0, seed: int = 3)
         w -= 0.3 * gw / np.sqrt(gsq)
         b -= 0.3 * g.sum() / np.sqrt(gb)
     model.weights, model.bias = dict(zip(names, w.tolist())), float(b)
-    # agreement of parent and child: half its log-odds, with pseudo-counts
+    # shares of a child's labels by its parent's, the counted ones weighing no more than the stated ones
     for k in range(1, 4):
-        same, other = counts[k, 0, 0] + counts[k, 1, 1] + 40, counts[k, 0, 1] + counts[k, 1, 0] + 5
-        s = float(np.clip(0.5 * log(same / other), 0.5, 2.5))
-        model.edges[k] = [[s, -s], [-0.5, 0.5] if k == AWAY else [-s, s]]
+        for y in (0, 1):
+            n = counts[k, y].sum()
+            share = (np.array(EDGES[k][y]) + (counts[k, y] / n if n else 0)) / (2 if n else 1)
+            model.edges[k][y] = np.log(share).tolist()
     return model
 
 
