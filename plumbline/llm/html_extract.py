@@ -65,6 +65,8 @@ PAGE, BOX, AWAY, TEXT = range(4)
 # Stated shares of a child's labels (away, content) below a parent away and below one with content, by kind.
 EDGES = [[[0.5, 0.5], [0.5, 0.5]], [[0.95, 0.05], [0.12, 0.88]], [[0.98, 0.02], [0.3, 0.7]], [[0.97, 0.03], [0.03, 0.97]]]
 
+_APART = [[log(0.5), log(0.5)], [log(0.5), log(0.5)]]
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -224,6 +226,10 @@ class PageModel:
     #: Log potentials [kind of parent][label of parent][label of child].
     edges: list = field(default_factory=lambda: [[[log(x) for x in row] for row in k] for k in EDGES])
 
+    def _edge(self, kinds: list[int], parent: int, child: int) -> list:
+        """An article may well hold what is set apart from it, so such a child says nothing against its parent."""
+        return _APART if kinds[child] == AWAY and kinds[parent] in (BOX, TEXT) else self.edges[kinds[parent]]
+
     def marginals(self, t: Tree) -> list[float]:
         """Of content, for every node: messages to the root, then from it."""
         n, w = len(t.tag), self.weights
@@ -232,13 +238,13 @@ class PageModel:
         up = [0.0] * n  # log-odds that children's messages add
         sent = [0.0] * n
         for i in range(n - 1, 0, -1):
-            e, odds = self.edges[kinds[t.parent[i]]], own[i] + up[i]
+            e, odds = self._edge(kinds, t.parent[i], i), own[i] + up[i]
             sent[i] = _logadd(e[1][0], e[1][1] + odds) - _logadd(e[0][0], e[0][1] + odds)
             up[t.parent[i]] += sent[i]
         down = [0.0] * n
         for i in range(1, n):
             p = t.parent[i]
-            e, odds = self.edges[kinds[p]], own[p] + up[p] + down[p] - sent[i]
+            e, odds = self._edge(kinds, p, i), own[p] + up[p] + down[p] - sent[i]
             down[i] = _logadd(e[0][1], e[1][1] + odds) - _logadd(e[0][0], e[1][0] + odds)
         return [1 / (1 + exp(-max(-50.0, min(50.0, own[i] + up[i] + down[i])))) for i in range(n)]
 
@@ -291,7 +297,7 @@ def fit(pages: list[str], rounds: int = 200, pull: float = 150.0, seed: int = 3)
                 rows.append(features(t, i, masked))
                 ys.append(label)
                 p = t.parent[i]
-                if p >= 0 and y[p] is not None:
+                if p >= 0 and y[p] is not None and kind(t, i) != AWAY:
                     counts[kind(t, p), y[p], label] += 1
     if not rows or len(set(ys)) < 2:
         return model
