@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, near_dedup, packing, quality, secrets, toxicity
+from . import ann, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, secrets, toxicity
 from .common import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -37,8 +48,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op5_secrets, op6_exact_dedup, op7_near_dedup, op8_packing, op9_quality, op10_html)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_line_dedup, op5_secrets, op6_exact_dedup, op7_near_dedup, op8_packing, op9_quality, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
