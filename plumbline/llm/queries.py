@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, secrets, toxicity
+from . import ann, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, secrets, sentencepieces, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -48,7 +52,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_line_dedup, op5_secrets, op6_exact_dedup, op7_near_dedup, op8_packing, op9_quality, op10_html)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_line_dedup, op4_sentencepiece, op5_secrets, op6_exact_dedup, op7_near_dedup, op8_packing, op9_quality, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
