@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from importlib import import_module
+
+FLAGSHIP = "c2_score_length"
+PLANS = ("stimuli",)
+
+
+def _plans():
+    return [import_module(f"plumbline.plans.{p}") for p in PLANS]
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in _plans() for k, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for p in _plans() for k, s in p.ORACLES.items()}
