@@ -192,7 +192,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, list_size: int
     lists = materialize(full.groupBy("asker").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("found")), "found")
     groups = asked.groupBy("key", "x").agg(F.min("query_id").alias("asker"), F.count(F.lit(1)).alias("n")).select("asker", "key", "n")
     answers = materialize(groups.join(lists, "asker").select("key", "n", "found"), "answers")
-    everyone = join_hot(asked.select("query_id", "key"), answers, ["key"], "n", max(1, asked.count()))
+    everyone = join_hot(asked.select("query_id", "key"), answers, "key", "n", max(1, asked.count()))
     ranked = everyone.select("query_id", F.posexplode(F.slice(F.filter("found", lambda s: s["vec_id"] != F.col("query_id")), 1, k)).alias("rank", "hit"))
     return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 

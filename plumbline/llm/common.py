@@ -60,17 +60,20 @@ def training_labels(labels: DataFrame, label: str, rows: int, id_col: str = "doc
     )
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, share: int = 1_000) -> DataFrame:
-    """rows joined with groups (one row per key), where a few keys may hold most rows.
+def join_hot(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, share: int = 1_000) -> DataFrame:
+    """rows joined with groups (one row per key, best a written table), where a few keys may hold most rows.
 
     size: a group's number of rows in `rows`, which has `total` rows. At most `share` groups can hold a share-th of
-    them each; those are broadcast, so that a hot key stays where it is. The others are joined by a shuffle.
+    them each; those keys are looked up and their groups broadcast, so that a hot key's rows stay where they are.
+    The others are joined by a shuffle.
     """
-    hot_from = max(2, total // share)
-    hot, rest = groups.where(F.col(size) >= hot_from), groups.where(F.col(size) < hot_from)
-    stays = rows.join(F.broadcast(hot), on)
-    moves = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
-    return stays.unionByName(moves)
+    hot_from = max(2, -(-total // share))
+    hot = groups.where(F.col(size) >= hot_from)
+    keys = [r[0] for r in hot.select(on).collect()]  # `share` keys at most
+    if not keys:
+        return rows.join(groups, on)
+    is_hot = F.col(on).isin(keys)
+    return rows.where(is_hot).join(F.broadcast(hot), on).unionByName(rows.where(~is_hot).join(groups.where(F.col(size) < hot_from), on))
 
 
 def member_filter(ids: DataFrame, column: str, bits: int) -> DataFrame:

@@ -28,11 +28,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # large star: each neighbour above a node goes to the smallest of the node and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        large = join_hot(both.where(F.col("v") > F.col("u")), least, ["u"], "n", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_hot(both.where(F.col("v") > F.col("u")), least, "u", "n", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(large.where(F.col("u") != F.col("v")).distinct(), "edges")
         # small star: each node and its neighbours below it go to the smallest of these
         least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        small = join_hot(edges, least, ["u"], "n", edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_hot(edges, least, "u", "n", edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.where(F.col("u") != F.col("v")).distinct(), "edges")
         last, mark = mark, _mark(edges)

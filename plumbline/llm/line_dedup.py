@@ -44,9 +44,9 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_LINE_WORDS) -> DataFr
     """(doc_id, gone): for documents that repeat earlier runs, the numbers of their non-empty lines that go."""
     all_windows = materialize(windows(docs.where(F.col("doc_id").isNotNull()), long_words), "windows")
     fingerprints = all_windows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("fresh").cast("long")).alias("positions")).where("positions > 1")
-    shared = materialize(join_hot(all_windows, materialize(fingerprints, "fingerprints"), ["fingerprint"], "n", max(1, all_windows.count())).select("doc_id", "start", "span", "lines"), "shared")
+    shared = materialize(join_hot(all_windows, materialize(fingerprints, "fingerprints"), "fingerprint", "n", max(1, all_windows.count())).select("doc_id", "start", "span", "lines"), "shared")
     firsts = shared.groupBy("lines").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
-    repeats = join_hot(shared, materialize(firsts, "firsts"), ["lines"], "n", max(1, shared.count())).where(
+    repeats = join_hot(shared, materialize(firsts, "firsts"), "lines", "n", max(1, shared.count())).where(
         (F.col("doc_id") > F.col("first.doc_id")) | (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") >= F.col("first.start") + F.col("span"))
     )
     lines = repeats.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("span") - 1)).alias("at"))

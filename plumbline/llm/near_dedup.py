@@ -107,7 +107,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _beside(pairs: DataFrame, data: DataFrame, chunk: int = 500) -> DataFrame:
     """pairs (a, b) with n and data of both ends. An a with many pairs is copied for every `chunk` of them."""
     sizes = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).withColumn("salts", F.ceil(F.col("pairs") / chunk).cast("int")), "salts")
-    salted = join_hot(pairs, sizes, ["a"], "pairs", max(1, pairs.count())).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    salted = join_hot(pairs, sizes, "a", "pairs", max(1, pairs.count())).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     left = data.join(sizes, data["rep"] == sizes["a"]).select(
         "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("n").alias("na"), F.col("data").alias("da")
     )
@@ -183,13 +183,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, lags: in
     prefix = F.array(*[F.xxhash64(F.lit(t), *[F.col("sig")[t * DEPTH + i] for i in range(DEPTH)]) for t in range(TREES)])
     placed = materialize(classes.select("rep", F.explode(prefix).alias("region")), "placed")
     regions = materialize(placed.groupBy("region").agg(F.count(F.lit(1)).alias("company")).where("company > 1"), "regions")
-    members = materialize(join_hot(placed, regions, ["region"], "company", n_classes * TREES), "members")
+    members = materialize(join_hot(placed, regions, "region", "company", n_classes * TREES), "members")
     scores = materialize(members.groupBy("rep").agg(F.sum("company").alias("score")), "scores")
 
     # hubs: the highest scores of a region; of equal ones both the smallest and the largest id
     scored = members.join(scores, "rep").select("region", "rep", "company", F.struct("score", "rep").alias("up"), F.struct("score", (-F.col("rep")).alias("rep")).alias("down"))
     hubs = materialize(scored.groupBy("region").agg(F.max("up").alias("up"), F.max("down").alias("down"), F.count(F.lit(1)).alias("n")), "hubs")
-    near = join_hot(members.select("region", "rep"), hubs, ["region"], "n", max(1, members.count()))
+    near = join_hot(members.select("region", "rep"), hubs, "region", "n", max(1, members.count()))
     pairs = near.select(F.explode(F.array(F.col("up.rep"), -F.col("down.rep"))).alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     crowd = materialize(classes.join(scores, "rep", "left_semi"), "crowd")
     pairs = materialize(_screened(materialize(pairs, "pairs"), crowd, percent), "pairs")
@@ -211,6 +211,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, lags: in
     labelled = materialize(
         classes.join(found, classes["rep"] == found["id"], "left").select("set_key", "size", F.coalesce("component", "rep").alias("component_id")), "labelled"
     )
-    with_words = join_hot(rows.select("doc_id", "n_shingles", "set_key"), labelled, ["set_key"], "size", max(1, rows.count())).select("doc_id", "n_shingles", "component_id")
+    with_words = join_hot(rows.select("doc_id", "n_shingles", "set_key"), labelled, "set_key", "size", max(1, rows.count())).select("doc_id", "n_shingles", "component_id")
     without = all_rows.where(F.col("doc_id").isNull() | F.col("set_key").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return with_words.unionByName(without).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
