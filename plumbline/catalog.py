@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FLAGSHIP = "c2_score_length"
-PLANS = ("stimuli",)
+FLAGSHIP = "g9_paired_contrast"
+PLANS = ("stimuli", "joins", "inference", "findings")
 
 
 def _plans():
