@@ -174,11 +174,16 @@ def g15(spark, d):
 
 @add("g25_split", f"SELECT doc_id, CASE WHEN ntile(2) OVER (ORDER BY {HASH.format("'29:' || doc_id")}, doc_id) = 1 THEN 'dev' ELSE 'test' END AS split FROM documents")
 def g25(spark, d):
-    """The median of the hashes splits the items, so that no single task sorts them all."""
+    """The median of the hashes splits the items: counts by their upper 16 bits find its bucket, and only that is sorted."""
     x = table(spark, d, "documents").select("doc_id", hashed(F.lit(29), F.col("doc_id")).alias("h"))
-    n = x.count()
-    edge = x.orderBy("h", "doc_id").offset((n + 1) // 2 - 1).limit(1).first()
-    first = (F.col("h") < edge["h"]) | (F.col("h") == edge["h"]) & (F.col("doc_id") <= edge["doc_id"]) if edge else F.lit(True)
+    counts = sorted((r["k"], r["n"]) for r in x.groupBy(F.shiftright("h", 16).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect())  # 65,536 rows at most
+    left, first = (sum(n for _, n in counts) + 1) // 2, F.lit(True)
+    for k, n in counts:
+        if left <= n:
+            edge = x.where(F.shiftright("h", 16) == k).orderBy("h", "doc_id").limit(left).orderBy(F.desc("h"), F.desc("doc_id")).first()
+            first = (F.col("h") < edge["h"]) | (F.col("h") == edge["h"]) & (F.col("doc_id") <= edge["doc_id"])
+            break
+        left -= n
     return x.select("doc_id", F.when(first, "dev").otherwise("test").alias("split"))
 
 
