@@ -103,7 +103,7 @@ class PieceModel:
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, and back. Memory is bounded: a full cache is emptied."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import normalizers
 
         self.model = PieceModel.parse(open(path, "rb").read())
@@ -174,19 +174,25 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     round_trip: decoding the ids gives the normalised text again. Repeated rows and null ids are kept, an empty
     table gives an empty result, and other columns, whatever their names, are not looked at.
     """
-    path = path or model_path()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = loaded(path)
-        for b in batches:
-            for at in range(0, len(b), batch):
-                part = b.iloc[at : at + batch]
-                ids = [np.frombuffer(x, "<u4") for x in e.encode_batch(part["text"].tolist())]
-                back = [e.decode(i) == _plain(e, t) for i, t in zip(ids, part["text"])]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": [i.astype(np.int32) for i in ids], "n_fallback": [int(e.bytes[i].sum()) for i in ids], "round_trip": back})
+        for part, ids, rest in _encoded(batches, path or model_path(), batch):
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": [i.astype(np.int32) for i in ids], **rest})
+
+    return _slim(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>, n_fallback long, round_trip boolean")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids array<int>, n_fallback long, round_trip boolean")
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _encoded(batches: Iterator[pd.DataFrame], path: str, batch: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray], dict]]:
+    """Small parts of the batches with their ids, n_fallback and round_trip."""
+    e = loaded(path)
+    for b in batches:
+        for at in range(0, len(b), batch):
+            part = b.iloc[at : at + batch]
+            ids = [np.frombuffer(x, "<u4") for x in e.encode_batch(part["text"].tolist())]
+            yield part, ids, {"n_fallback": [int(e.bytes[i].sum()) for i in ids], "round_trip": [e.decode(i) == _plain(e, t) for i, t in zip(ids, part["text"])]}
 
 
 def _plain(e: Encoder, text: str | None) -> str:
@@ -206,12 +212,11 @@ def decode(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids
     return rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str | None = None, **columns) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), n_fallback, round_trip."""
+def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", batch: int = 256) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), n_fallback, round_trip: encode's rows in short."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids = [np.asarray(i, "<u4") for i in b["ids"]]
-            yield b.drop(columns="ids").assign(n_tokens=[len(i) for i in ids], ids_crc32=[zlib.crc32(i.tobytes()) for i in ids])
+        for part, ids, rest in _encoded(batches, path or model_path(), batch):
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": [len(i) for i in ids], "ids_crc32": [zlib.crc32(i) for i in ids], **rest})
 
-    return encode(docs, path, **columns).mapInPandas(run, "doc_id long, n_fallback long, round_trip boolean, n_tokens long, ids_crc32 long")
+    return _slim(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, n_fallback long, round_trip boolean")
