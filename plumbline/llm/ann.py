@@ -3,8 +3,8 @@
 A bounded sample is split in halves again and again, across the line between two means, until its parts are small:
 balanced by construction, and as many as the table's size asks for. Their centroids form a neighbour graph that is
 held in memory; searching it best-first gives the lists nearest to a vector. Each vector is put into its nearest
-list and, near a boundary, also into others that are almost as near (unless a list already chosen is nearer to
-them). A query reads the lists whose distance is within a ratio of the nearest. Lists and their queries are cut into
+list and, near a boundary, also into others that are almost as near. A query reads the lists whose distance is
+within a ratio of the nearest. Lists and their queries are cut into
 blocks of bounded size, so that no list is one task's work, and equal vectors are searched once.
 """
 
@@ -94,23 +94,14 @@ class CentroidGraph:
             ids, d = np.hstack([ids, new_ids]), np.hstack([d, new_d])
             opened = np.hstack([opened, np.isinf(new_d)])
 
-    def lists(self, x: np.ndarray, ratio: float, most: int) -> list[np.ndarray]:
-        """Of each row: its nearest list, and those within ratio times its distance that no list chosen before is nearer to."""
-        ids, d = self.search(x, max(most * 2, 16))
-        out = []
-        for i, dist in zip(ids, d):
-            keep = [i[0]]
-            for j, dj in zip(i[1:], dist[1:]):
-                if len(keep) == most or dj > ratio * ratio * max(dist[0], 1e-12):
-                    break
-                gaps = ((self.centroids[keep] - self.centroids[j]) ** 2).sum(1)
-                if (gaps > dj).all():
-                    keep.append(j)
-            out.append(np.array(keep))
-        return out
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, list_size: int = 64, sample_rows: int = 65_536, replicas: int = 4, replica_ratio: float = 1.1, search_ratio: float = 1.5, search_lists: int = 192, block: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    def lists(self, x: np.ndarray, ratio: float, least: int, most: int) -> list[np.ndarray]:
+        """Distance-ratio pruning: of each row's `most` nearest lists those within ratio times the nearest one's distance, `least` at least."""
+        ids, d = self.search(x, max(most, 32))
+        ids, d = ids[:, :most], d[:, :most]
+        return [i[(np.arange(len(i)) < least) | (e <= ratio * ratio * max(e[0], 1e-12))] for i, e in zip(ids, d)]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, list_size: int = 32, sample_rows: int = 32_768, replicas: int = 4, replica_ratio: float = 1.3, least_lists: int = 96, search_lists: int = 160, search_ratio: float = 1.15, block: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest vectors found, without its own id.
 
     vectors and queries hold id_col and vector_col; nearness is Euclidean distance in double precision, ties go to
@@ -119,8 +110,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, list_size: int
     returned; an empty table gives an empty result. Other columns are not looked at.
 
     list_size: vectors of the sample per list; sample_rows: the sample's bound; replicas, replica_ratio: lists that
-    a boundary vector is put into; search_ratio, search_lists: lists that a query reads; block: the largest number
-    of vectors, and of queries, that one task holds of a list.
+    a boundary vector is put into at most, and how far they may be; least_lists, search_lists, search_ratio: lists
+    that a query reads; block: the largest number of vectors, and of queries, that one task holds of a list.
     """
     spark = vectors.sparkSession
 
@@ -144,22 +135,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, list_size: int
     graph = CentroidGraph.build(balanced_centroids(sample, list_size))
     shared = spark.sparkContext.broadcast(graph)  # sample_rows / list_size centroids, at most twice as many
 
-    def assign(ratio: float, most: int):
+    def assign(ratio: float, least: int, most: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for at in range(0, len(b), 512):
                     part = b.iloc[at : at + 512]
-                    lists = shared.value.lists(np.stack(part["x"].to_numpy()), ratio, most) if most < 64 else _within(shared.value, np.stack(part["x"].to_numpy()), ratio, most)
+                    lists = shared.value.lists(np.stack(part["x"].to_numpy()), ratio, least, most)
                     take = np.repeat(np.arange(len(part)), [len(x) for x in lists])
                     yield part.iloc[take].assign(list=np.concatenate(lists))
 
         return run
 
-    postings = materialize(distinct.select("id", "x").mapInPandas(assign(replica_ratio, replicas), "id long, x array<double>, list long"), "postings")
+    postings = materialize(distinct.select("id", "x").mapInPandas(assign(replica_ratio, 1, replicas), "id long, x array<double>, list long"), "postings")
     asked = usable(queries).where(F.size("x") == lengths[0]["n"]).select(F.col("id").alias("query_id"), F.xxhash64(F.col("x")).alias("key"), "x").distinct()
     asked = materialize(asked, "asked")
     probes = asked.groupBy("key", "x").agg(F.min("query_id").alias("asker"))
-    probes = materialize(probes.select(F.col("asker").alias("id"), "x").mapInPandas(assign(search_ratio, search_lists), "id long, x array<double>, list long"), "probes")
+    probes = materialize(probes.select(F.col("asker").alias("id"), "x").mapInPandas(assign(search_ratio, least_lists, search_lists), "id long, x array<double>, list long"), "probes")
 
     # blocks of a list's vectors meet blocks of its queries
     sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("v")).join(probes.groupBy("list").agg(F.count(F.lit(1)).alias("q")), "list")
@@ -202,9 +193,3 @@ def _least(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     edge = np.partition(d, k - 1)[k - 1]
     at = np.flatnonzero(d <= edge)
     return at[np.lexsort((ids[at], d[at]))][:k]
-
-
-def _within(graph: CentroidGraph, x: np.ndarray, ratio: float, most: int) -> list[np.ndarray]:
-    """Distance-ratio pruning: of the nearest lists, those within ratio times the nearest one's distance, 24 at least."""
-    ids, d = graph.search(x, most)
-    return [i[(np.arange(len(i)) < 24) | (e <= ratio * ratio * max(e[0], 1e-12))] for i, e in zip(ids, d)]
