@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of labels whose crc32(doc_id as text) leaves this remainder are never learnt from.
 HELD_OUT_FOLDS, HELD_OUT_FOLD = 5, 0
@@ -89,3 +94,29 @@ def maybe_members(rows: DataFrame, words: DataFrame, column: str, bits: int) ->
     place = F.pmod(F.xxhash64(column), F.lit(bits).cast("long"))
     some = rows.withColumn("_place", place).withColumn("word", F.shiftright("_place", 6))
     return some.join(F.broadcast(words), "word").where(F.getbit("mask", (F.col("_place") % 64).cast("int")) == 1).select(*rows.columns)
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache_of(name: str, clear: Callable[[], None]) -> None:
+    """Have a worker's cache emptied when it turns to another operator: workers outlive jobs."""
+    _caches[name] = clear
+
+
+def map_texts(df: DataFrame, name: str, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 256) -> DataFrame:
+    """mapInPandas for whole texts: `run` gets a few rows at a time, so that a worker never holds a batch's texts twice."""
+    out = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, clear in _caches.items():
+            if other != name:
+                clear()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                for got in run(iter([batch.slice(at, rows).to_pandas(integer_object_nulls=True)])):
+                    yield pa.RecordBatch.from_pandas(got[list(arrow.names)], schema=arrow, preserve_index=False)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(parts, out)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, map_texts
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -347,4 +347,4 @@ def extract_text(pages: DataFrame, fit_pages: int = 400, id_col: str = "page_id"
 
     slim = pages.select(*[F.col(f"`{f.name}`") for f in others], F.col(html_col))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
-    return slim.mapInPandas(run, f"{schema}text string, n_chars long")
+    return map_texts(slim, "html", run, f"{schema}text string, n_chars long")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, maybe_members, member_filter, materialize
+from .common import join_hot, map_texts, maybe_members, member_filter, materialize
 from .components import components
 
 TREES, DEPTH = 16, 4
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "sig"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key string, sig array<int>")
+    return map_texts(rows, "near", run, "doc_id long, n_shingles long, set_key string, sig array<int>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -101,7 +101,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"rep": b["rep"], "n": [len(s) for s in sets], "data": sets})
 
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "rep long, n long, data array<long>")
+    return map_texts(rows, "near", run, "rep long, n long, data array<bigint>")
 
 
 def _beside(pairs: DataFrame, data: DataFrame, chunk: int = 500) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import cache_of, map_texts, materialize
 
 CAPACITY, END_ID = 2048, 0
 #: The pre-tokens of the tokenizer file, for lower-cased texts of the plain characters below.
@@ -47,7 +47,7 @@ class WordTokenizer:
     plain characters, or with a special token's string, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -81,6 +81,9 @@ def _loaded(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+cache_of("packing", _loaded.cache_clear)
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the documents' ids, each with END_ID added, cut where too long."""
     path = path or tokenizer_path()
@@ -97,7 +100,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(rows, "packing", run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:

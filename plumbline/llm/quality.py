@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, training_labels
+from .common import held_out, map_texts, materialize, training_labels
 
 STATS = (
     "log_words", "word_chars", "distinct_words", "distinct_lines", "line_chars", "upper", "digits", "bangs", "bars",
@@ -62,7 +62,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"doc_id": b["doc_id"], "stats": [statistics(t) for t in b["text"]]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, stats array<double>")
+    return map_texts(rows, "quality", run, "doc_id long, stats array<double>")
 
 
 @dataclass

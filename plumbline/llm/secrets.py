@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialize
+from .common import bounded_sample, map_texts, materialize
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -361,7 +361,7 @@ def find_secrets(docs: DataFrame, fit_rows: int = 1_500, id_col: str = "doc_id",
             yield pd.DataFrame({"doc_id": b["doc_id"], "hit": [bool(base_spans(x)) for x in b["text"]]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = materialize(rows.mapInPandas(rules, f"doc_id {docs.schema[id_col].dataType.simpleString()}, hit boolean"), "marked")
+    marked = materialize(map_texts(rows, "secrets", rules, f"doc_id {docs.schema[id_col].dataType.simpleString()}, hit boolean"), "marked")
     ids = [bounded_sample(marked.where(c).select("doc_id").distinct(), "doc_id", fit_rows) for c in (F.col("hit"), ~F.col("hit"))]
     # two bounded samples: small enough to broadcast, and their texts to gather
     known = rows.join(F.broadcast(ids[0].unionByName(ids[1]).distinct()), "doc_id", "left_semi").toPandas().sort_values("doc_id", kind="stable")
@@ -377,7 +377,7 @@ def find_secrets(docs: DataFrame, fit_rows: int = 1_500, id_col: str = "doc_id",
 
     slim = docs.select(*[F.col(f"`{n}`") for n in names])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    return slim.mapInPandas(run, f"{schema}, spans {_SPANS}")
+    return map_texts(slim, "secrets", run, f"{schema}, spans {_SPANS}")
 
 
 def _joined(spans, kinds):

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cache_of, map_texts
+
 MARK = "▁"
 # Fixed values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -161,6 +163,9 @@ def loaded(path: str) -> Encoder:
     return e
 
 
+cache_of("sentencepieces", loaded.cache_clear)
+
+
 def model_path() -> str:
     import public_tokenizers
 
@@ -178,7 +183,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         for part, ids, rest in _encoded(batches, path or model_path(), batch):
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": [i.astype(np.int32) for i in ids], **rest})
 
-    return _slim(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>, n_fallback long, round_trip boolean")
+    return map_texts(_slim(docs, id_col, text_col), "sentencepieces", run, "doc_id long, ids array<int>, n_fallback long, round_trip boolean")
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -219,4 +224,4 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         for part, ids, rest in _encoded(batches, path or model_path(), batch):
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": [len(i) for i in ids], "ids_crc32": [zlib.crc32(i) for i in ids], **rest})
 
-    return _slim(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, n_fallback long, round_trip boolean")
+    return map_texts(_slim(docs, id_col, text_col), "sentencepieces", run, "doc_id long, n_tokens long, ids_crc32 long, n_fallback long, round_trip boolean")

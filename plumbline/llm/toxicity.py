@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, training_labels
+from .common import held_out, map_texts, materialize, training_labels
 
 ORDERS = (4, 5, 6, 7)
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -153,5 +153,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": [m.score(t) for t in b["text"]]})
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = map_texts(scored, "toxicity", run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
