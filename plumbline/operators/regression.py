@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,10 +42,13 @@ class Fit:
 
 def fit_fe(df: DataFrame, y: str, xs: list[str], cluster: str) -> Fit:
     """Ordinary least squares with a fixed effect per cluster (absorbed by demeaning), CR2 and CR0 errors."""
-    w = Window.partitionBy(cluster)
-    d = df.select(F.col(cluster).alias("cluster"), *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in [*xs, y]])
-    cross = F.array(*[F.sum(F.col(a) * F.col(b)) for a in xs for b in xs])
-    moments = d.groupBy("cluster").agg(cross.alias("xx"), F.array(*[F.sum(F.col(a) * F.col(y)) for a in xs]).alias("xy")).cache()
+    # demeaned cross products are sums less what the cluster's means make of them, so no row has to meet its cluster;
+    # the overall means are taken off first, which keeps the differences exact
+    cols = [*xs, y]
+    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    d = df.select(F.col(cluster).alias("cluster"), *[(F.col(c) - F.lit(means[c])).alias(c) for c in cols])
+    about = lambda u, v: F.sum(F.col(u) * F.col(v)) - F.sum(u) * F.sum(v) / F.count(F.lit(1))
+    moments = d.groupBy("cluster").agg(F.array(*[about(u, v) for u in xs for v in xs]).alias("xx"), F.array(*[about(u, y) for u in xs]).alias("xy")).cache()
     p = len(xs)
     total = moments.agg(F.array(*[F.sum(F.col("xx")[i]) for i in range(p * p)]).alias("xx"), F.array(*[F.sum(F.col("xy")[i]) for i in range(p)]).alias("xy")).first()
     inverse = np.linalg.pinv(np.array(total["xx"]).reshape(p, p))

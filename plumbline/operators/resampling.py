@@ -138,8 +138,10 @@ def westfall_young(sums: DataFrame, contrast: str, draws: int, seed: int) -> Dat
     return p.select(contrast, "t", F.least(F.lit(1.0), F.max("p").over(step)).alias("p"))
 
 
-def centred(df: DataFrame, value: str, template: str) -> Column:
-    return F.col(value) - F.avg(value).over(Window.partitionBy(template))
+def centred(df: DataFrame, value: str, template: str) -> DataFrame:
+    """df with centred: the value less its template's mean. The means are aggregated first, so that rows needn't meet."""
+    means = df.groupBy(template).agg(F.avg(value).alias("_mean"))
+    return df.join(means, template).withColumn("centred", F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def omnibus(names: DataFrame, draws: int, seed: int) -> DataFrame:

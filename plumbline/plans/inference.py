@@ -137,8 +137,8 @@ NAMES = f"x AS (SELECT source, doc_id // 20 AS name, {WORDS.format("coalesce(tex
 def names(spark, d):
     """documents as names (doc_id over 20) in groups and strata, with their mean score, centred within their source."""
     x = table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 20).alias("name"), scoring.length_score(F.col("text")).alias("score"))
-    x = x.withColumn("c", R.centred(x, "score", "source"))
-    return x.groupBy("name").agg(F.avg("c").alias("m")).select("name", (F.col("name") % 4).alias("grp"), (F.col("name") % 2).alias("stratum"), "m")
+    x = R.centred(x, "score", "source")
+    return x.groupBy("name").agg(F.avg("centred").alias("m")).select("name", (F.col("name") % 4).alias("grp"), (F.col("name") % 2).alias("stratum"), "m")
 
 
 @add("f1_template_centred", f"WITH {NAMES} SELECT grp, round(avg(m), 6) AS group_mean, count(*) AS names FROM n GROUP BY grp")
@@ -187,13 +187,16 @@ def g25(spark, d):
     return x.select("doc_id", F.when(first, "dev").otherwise("test").alias("split"))
 
 
-PAIRS = f"s AS (SELECT doc_id, source, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE AS score, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), w AS (SELECT a.source, a.score - b.score AS delta FROM s a JOIN s b ON a.source = b.source AND a.i < b.i AND b.i <= a.i + 5)"
+PAIRS = f"s AS (SELECT doc_id, source, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE AS score, row_number() OVER (PARTITION BY source, doc_id // 2000 ORDER BY doc_id) AS i FROM documents), w AS (SELECT a.source, a.score - b.score AS delta FROM s a JOIN s b ON a.source = b.source AND a.doc_id // 2000 = b.doc_id // 2000 AND a.i < b.i AND b.i <= a.i + 5)"
 
 
 def rewordings(spark, d, near: int = 5):
-    """Deltas between rewordings of one item (documents of one source), each with the next few: linear in the rows."""
+    """Deltas between rewordings of one item, each with the next few: linear in the rows.
+
+    An item is what one source has among 2,000 neighbouring ids, so that a large source is not one task's work.
+    """
     x = table(spark, d, "documents").select("source", "doc_id", scoring.length_score(F.col("text")).alias("score"))
-    w = Window.partitionBy("source").orderBy("doc_id")
+    w = Window.partitionBy("source", F.floor(F.col("doc_id") / 2000)).orderBy("doc_id")
     later = F.array(*[F.lead("score", k).over(w) for k in range(1, near + 1)])
     return x.select("source", "score", later.alias("later")).select("source", "score", F.explode("later").alias("other")).where(F.col("other").isNotNull()).select("source", (F.col("score") - F.col("other")).alias("delta"))
 
@@ -221,16 +224,16 @@ def e18(spark, d):
     return x.groupBy(F.least(F.lit(23), F.floor(F.abs("delta") / F.col("top") * 24)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-GAPS = f"sc AS (SELECT doc_id, lang, quality, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE + ({U.format("'31:' || doc_id")} - 0.5) * 4 AS score FROM documents JOIN labels USING (doc_id)), rk AS (SELECT *, row_number() OVER (PARTITION BY lang, quality ORDER BY doc_id) AS k FROM sc), gp AS (SELECT a.lang, a.k, a.score - b.score AS gap FROM rk a JOIN rk b ON a.lang = b.lang AND a.k = b.k AND a.quality = 1 AND b.quality = 0)"
+GAPS = f"sc AS (SELECT doc_id, lang, quality, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE + ({U.format("'31:' || doc_id")} - 0.5) * 4 AS score FROM documents JOIN labels USING (doc_id)), rk AS (SELECT *, row_number() OVER (PARTITION BY lang, quality, doc_id // 2000 ORDER BY doc_id) AS k FROM sc), gp AS (SELECT a.lang, a.k, a.score - b.score AS gap FROM rk a JOIN rk b ON a.lang = b.lang AND a.doc_id // 2000 = b.doc_id // 2000 AND a.k = b.k AND a.quality = 1 AND b.quality = 0)"
 
 
 def gaps(spark, d):
-    """Preference gaps: the k-th good and the k-th poor document of a language, scored."""
+    """Preference gaps: the k-th good and the k-th poor document of a language among 2,000 neighbouring ids, scored."""
     x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    x = x.select("doc_id", "lang", "quality", (scoring.length_score(F.col("text")) + (uniform(F.lit(31), F.col("doc_id")) - 0.5) * 4).alias("score"))
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("lang", "quality").orderBy("doc_id")))
-    good, poor = x.where("quality = 1").select("lang", "k", F.col("score").alias("a")), x.where("quality = 0").select("lang", "k", F.col("score").alias("b"))
-    return good.join(poor, ["lang", "k"]).select("lang", "k", (F.col("a") - F.col("b")).alias("gap"))
+    x = x.select("doc_id", F.floor(F.col("doc_id") / 2000).alias("block"), "lang", "quality", (scoring.length_score(F.col("text")) + (uniform(F.lit(31), F.col("doc_id")) - 0.5) * 4).alias("score"))
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("lang", "quality", "block").orderBy("doc_id")))
+    good, poor = x.where("quality = 1").select("lang", "block", "k", F.col("score").alias("a")), x.where("quality = 0").select("lang", "block", "k", F.col("score").alias("b"))
+    return good.join(poor, ["lang", "block", "k"]).select("lang", "k", (F.col("a") - F.col("b")).alias("gap"))
 
 
 @add("e17_reliability", f"""WITH {GAPS}, c AS (SELECT 1 / (1 + exp(-abs(gap) / 3)) AS p, gap > 0 AS won FROM gp), e AS (SELECT list_distinct([quantile_cont(p, k / 8.0) FOR k IN range(0, 9)]) AS dummy FROM (SELECT 1 AS p) t),

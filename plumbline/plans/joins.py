@@ -148,13 +148,15 @@ def k1(spark, d):
 
 @add("d15_within_between_spread", f"WITH x AS (SELECT source, lang, doc_id, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE AS s FROM documents) SELECT a.source, round(avg(CASE WHEN a.lang = b.lang THEN abs(a.s - b.s) END), 6) AS within_gap, round(avg(CASE WHEN a.lang <> b.lang THEN abs(a.s - b.s) END), 6) AS between_gap FROM x a JOIN x b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY a.source")
 def d15(spark, d):
-    """Mean gaps of all pairs, from sorted values: the k-th of n is added in k - 1 pairs and taken off in n - k."""
-    x = table(spark, d, "documents").select("source", "lang", scoring.length_score(F.col("text")).alias("s"))
+    """Mean gaps of all pairs, from counts of the different values in order: with c values below it, m equal ones of n
+    are added in c pairs and taken off in n - c - m pairs each."""
+    x = table(spark, d, "documents").select("source", "lang", word_count(F.col("text")).alias("v"))
 
     def total(*by):
         w = Window.partitionBy(*by)
-        k, n = F.row_number().over(w.orderBy("s")), F.count(F.lit(1)).over(w)
-        return x.withColumn("part", F.col("s") * (2 * k - n - 1)).groupBy(*by).agg(F.sum("part").alias("gaps"), (F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("pairs"))
+        k = x.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("m")).withColumn("n", F.sum("m").over(w)).withColumn("c", F.sum("m").over(w.orderBy("v")) - F.col("m"))
+        parts = F.col("v") * 0.01 * F.col("m") * (2 * F.col("c") + F.col("m") - F.col("n"))
+        return k.groupBy(*by).agg(F.sum(parts).alias("gaps"), (F.max("n") * (F.max("n") - 1) / 2).alias("pairs"))
 
     inner = total("source", "lang").groupBy("source").agg(F.sum("gaps").alias("g_in"), F.sum("pairs").alias("p_in"))
     both = total("source").join(inner, "source")
