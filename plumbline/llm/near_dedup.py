@@ -4,14 +4,15 @@ Documents whose shingle sets are equal form a class, and only classes are compar
 the signatures (`TREES`), each beginning with hash functions of its own; classes that share the first `DEPTH` of
 them are one region of that tree. Candidates are of two kinds. First, every class of a region is paired with the
 region's hubs: the classes that share the most with others over all trees. That links large groups of copies with
-their source in linear time. Then every tree is sorted by its whole order, and classes of different components are
-paired with those next to them, which have the longest common prefix there: in crowded regions that prefix is long,
-in sparse ones short, so each region gets a depth of its own. Candidates are screened by their signatures and sizes
-and confirmed on their full shingle sets; components are found by distributed star contraction.
+their source in linear time. Then all classes of a region that are still in different components are paired, without
+any bound by rank: those of small regions as rows, which their signatures and sizes screen, those of crowded ones in
+blocks, whose intersections are counted by matrix products. All links are confirmed on full shingle sets; components
+are found by distributed star contraction.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,9 @@ TREES, DEPTH = 16, 4
 HASHES = TREES * DEPTH
 #: Pairs at the threshold of 0.85 agree in fewer than this share of 64 hashes about once in 10^5 cases.
 SCREEN = 0.65
+#: Regions of more classes are paired in blocks of about so many classes, and shingles, at most; a block counts the
+#: least SKETCH shingles of a class, which are all of most classes.
+SMALL, BLOCK, BLOCK_SHINGLES, SKETCH = 32, 2048, 1 << 20, 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -129,42 +133,121 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _beside(pairs, sets).withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _next_in_order(classes: DataFrame, percent: int, lags: int) -> DataFrame:
-    """Pairs (a, b) of different components that stand at most `lags` apart in a tree's order, in one region."""
-    order = F.concat(F.slice("sig", F.col("tree") * DEPTH + 1, HASHES), F.slice("sig", 1, F.col("tree") * DEPTH))
-    rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "rep", "n", "component", "sig")
-    rows = rows.select("tree", order.alias("order"), "rep", "n", "component")
-    laid = rows.repartitionByRange("tree", "order", "rep").sortWithinPartitions("tree", "order", "rep")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for b in batches:
-            if not len(b):
-                continue
-            now = [b[c].to_numpy() for c in ("tree", "rep", "n", "component")] + [np.stack(b["order"].to_numpy())]
-            fresh = len(b)
-            if kept is not None:
-                now = [np.concatenate([p, q]) for p, q in zip(kept, now)]
-            tree, rep, n, component, sig = now
-            found = []
-            for lag in range(1, lags + 1):
-                # the later row must be of this batch, so that no pair is found twice
-                i = np.arange(max(lag, len(rep) - fresh), len(rep))
-                j = i - lag
-                ok = (tree[i] == tree[j]) & (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                i, j = i[ok], j[ok]
-                ok = (sig[i, :DEPTH] == sig[j, :DEPTH]).all(1)
-                i, j = i[ok], j[ok]
-                ok = (sig[i] == sig[j]).sum(1) >= int(SCREEN * HASHES)
-                found.append(np.stack([np.minimum(rep[i[ok]], rep[j[ok]]), np.maximum(rep[i[ok]], rep[j[ok]])]))
-            kept = [x[-lags:] for x in now]
-            a, b_ = np.concatenate(found, axis=1)
-            yield pd.DataFrame({"a": a, "b": b_})
-
-    return laid.mapInPandas(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, lags: int = 6, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = 1 << 27) -> DataFrame:
+def _shared(p: list[np.ndarray], q: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """How many values each array of p has in common with each of q."""
+    flat = [np.concatenate(x) for x in (p, q)]
+    row = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (p, q)]
+    common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    cells = []
+    for f, r in zip(flat, row):
+        at = np.searchsorted(common, f)
+        ok = at < len(common)
+        ok[ok] = common[at[ok]] == f[ok]
+        order = np.argsort(at[ok], kind="stable")
+        cells.append((at[ok][order], r[ok][order]))
+    out = np.zeros((len(p), len(q)), np.float32)  # counts up to SKETCH are exact
+    for lo in range(0, len(common), columns):
+        part = []
+        for (at, r), n in zip(cells, out.shape):
+            i, j = np.searchsorted(at, [lo, lo + columns])
+            m = np.zeros((n, min(columns, len(common) - lo)), np.float32)
+            m[r[i:j], at[i:j] - lo] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def _spanning(x: np.ndarray) -> list[tuple[int, int]]:
+    """Enough of the true cells (row, column) to connect all that the true cells connect."""
+    across, left = (x, np.ascontiguousarray(x.T)), (np.ones(x.shape[0], bool), np.ones(x.shape[1], bool))
+    found = []
+    for start in np.flatnonzero(x.any(1)):
+        if not left[0][start]:
+            continue
+        left[0][start] = False
+        todo = [(0, start)]
+        while todo:
+            side, i = todo.pop()
+            new = np.flatnonzero(across[side][i] & left[1 - side])
+            left[1 - side][new] = False
+            found += [(j, i) if side else (i, j) for j in new]
+            todo += [(1 - side, j) for j in new]
+    return found
+
+
+def _block_pairs(p: pd.DataFrame, q: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs (a, b) of different components that connect all similar ones of p and q.
+
+    If a class has more than SKETCH shingles, all are compared by a sample: those up to the smallest of such classes'
+    last values. Then all pairs within five standard errors of the threshold are given (2.9 in 10^7 are not).
+    """
+    sets = [[v.view(np.uint64) for v in x["data"]] for x in (p, q)]
+    cuts = [v[-1] for x, vs in zip((p, q), sets) for n, v in zip(x["n"], vs) if n > len(v)]
+    if cuts:
+        sets = [[v[: np.searchsorted(v, min(cuts), "right")] for v in vs] for vs in sets]
+    both = _shared(*sets).astype(float)
+    union = np.array([len(v) for v in sets[0]])[:, None] + np.array([len(v) for v in sets[1]]) - both
+    share = percent / 100
+    near = both >= share * union - 5 * np.sqrt(share * (1 - share) * union) if cuts else 100 * both >= percent * union
+    n, m = p["n"].to_numpy()[:, None], q["n"].to_numpy()
+    near &= (p["component"].to_numpy()[:, None] != q["component"].to_numpy()) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    i, j = np.nonzero(near) if cuts else np.array(_spanning(near), np.int64).reshape(-1, 2).T
+    i, j = p["rep"].to_numpy()[i], q["rep"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)})
+
+
+def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components and one region, from blocks of crowded regions; rows: region, rep, n, component.
+
+    A cell has the classes of a region in one band of sizes; a component with many of them is a cell of its own, as
+    it needs no pairs within. Cells are salted into blocks, and only those of neighbouring bands can have similar sets.
+    """
+    band = F.floor(F.log("n") / (1.0001 * max(math.log(100 / percent), 0.001)))
+    rows = materialize(rows.withColumn("band", band).withColumn("part", F.xxhash64("region", "band", "component")), "crowded")
+    total = max(1, rows.count())
+    parts = rows.groupBy("part", "region", "band", "component").agg(F.count(F.lit(1)).alias("n_part"), F.sum(F.least("n", F.lit(SKETCH))).alias("load"))
+    parts = parts.withColumn("own", F.when(F.col("n_part") >= BLOCK // 4, F.col("component"))).withColumn("cell", F.xxhash64("region", "band", "own"))
+    parts = materialize(parts, "parts")
+    cells = parts.groupBy("cell", "region", "band", "own").agg(F.sum("n_part").alias("n_cell"), F.sum("load").alias("load"))
+    cells = materialize(cells.withColumn("salts", F.ceil(F.greatest(F.col("n_cell") / BLOCK, F.col("load") / BLOCK_SHINGLES)).cast("int")), "cells")
+    dealt = materialize(join_hot(rows.select("rep", "n", "component", "part"), parts.select("part", "cell", "n_part"), "part", "n_part", total).select("rep", "n", "component", "cell"), "dealt")
+    dealt = join_hot(dealt, cells.select("cell", "salts", "n_cell"), "cell", "n_cell", total)
+    dealt = dealt.select("rep", "n", "component", "cell", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
+
+    blocks = cells.select("region", "band", "own", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    blocks = blocks.select("region", "band", "own", F.struct("cell", "salt").alias("block"))
+    other = blocks.select("region", F.col("band").alias("band2"), F.col("own").alias("own2"), F.col("block").alias("block2"))
+    met = blocks.join(other, "region").where("block <= block2 and abs(band - band2) <= 1 and coalesce(own <> own2, true)")
+    sides = met.select("block", "block2", F.explode(F.when(F.col("block") == F.col("block2"), F.array("block")).otherwise(F.array("block", "block2"))).alias("side"))
+    sides = sides.select("block", "block2", F.col("side.cell").alias("cell"), F.col("side.salt").alias("salt"), (F.col("side") == F.col("block")).alias("first"))
+    filled = dealt.join(sides, ["cell", "salt"]).join(sets.select("rep", F.slice("data", 1, SKETCH).alias("data")), "rep")
+    filled = filled.select(F.col("block.cell").alias("p"), F.col("block.salt").alias("ps"), F.col("block2.cell").alias("q"), F.col("block2.salt").alias("qs"), "first", "rep", "n", "component", "data")
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        p, q = x[x["first"]], x[~x["first"]]
+        alone = x["p"].iat[0] == x["q"].iat[0] and x["ps"].iat[0] == x["qs"].iat[0]
+        if alone:
+            q = p
+        return _block_pairs(p, q, percent) if len(p) and len(q) else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+
+    return filled.groupBy("p", "ps", "q", "qs").applyInPandas(run, "a long, b long")
+
+
+def _rest_of_regions(members: DataFrame, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components and one region that may be similar enough: enough to connect all that are."""
+    rows = materialize(members.select("region", "rep").join(rest.select("rep", "n", "component"), "rep"), "placed")
+    mixed = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most"))
+    mixed = materialize(mixed.where("least < most").select("region", "m"), "mixed")
+    rows = materialize(join_hot(rows, mixed, "region", "m", max(1, rows.count())), "rows")
+    all_of = rows.where(F.col("m") <= SMALL).groupBy("region").agg(F.collect_list(F.struct("rep", "n", "component")).alias("all"))
+    few = all_of.select("all", F.explode("all").alias("p")).select("p", F.explode("all").alias("q")).where("p.rep < q.rep and p.component <> q.component")
+    few = few.where(100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
+    few = _screened(materialize(few, "few"), rest, percent)
+    crowded = rows.where(F.col("m") > SMALL).select("region", "rep", "n", "component")
+    return few.unionByName(_in_blocks(crowded, sets, percent)).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = 1 << 27) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked when the Jaccard similarity of their sets of `words`-word shingles (of A-Z lower-cased
@@ -204,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, lags: in
     links = materialize(_confirmed(pairs, sets, percent), "links")
     known = components(links)
     rest = crowd.join(known, crowd["rep"] == known["id"], "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("component"))
-    more = materialize(_next_in_order(materialize(rest, "rest"), percent, lags), "pairs")
+    more = materialize(_rest_of_regions(members, materialize(rest, "rest"), sets, percent), "pairs")
     links = links.unionByName(_confirmed(more, sets, percent))
     found = components(materialize(links, "links"))
 

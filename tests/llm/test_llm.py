@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 
@@ -140,6 +141,37 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_components(texts, 85)
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    # 3,000 documents of one template (mutual similarity 0.752) with 60 planted pairs at 0.860
+    texts = []
+    for i in range(3000):
+        own = [f"p{i}_{k}" if i >= 120 or k >= 8 else f"s{i // 2}_{k}" for k in range(17)]
+        texts.append((i, " ".join([f"t{k}" for k in range(103)] + own)))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, texts), percent=85, words=1).collect()}
+    found = sum(got[i] == got[i + 1] == i for i in range(0, 120, 2))
+    assert found == 60 and all(got[i] == i for i in range(120, 3000))
+
+
+@pytest.mark.parametrize("sketch", [4096, 64])
+def test_block_pairs_match_brute_force(sketch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < 0.93], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for _ in range(60)]
+    x = pd.DataFrame({"rep": range(60), "n": [len(s) for s in sets], "component": np.arange(60) // 2, "data": [s[:sketch].view(np.int64) for s in sets]})
+    want = {(i, j) for i, j in itertools.combinations(range(60), 2) if i // 2 != j // 2 and len(np.intersect1d(sets[i], sets[j])) * 100 >= 85 * len(np.union1d(sets[i], sets[j]))}
+    got = set(near_dedup._block_pairs(x, x, 85).itertuples(index=False, name=None))
+    if sketch == 64:
+        assert want <= got
+    else:  # enough to connect the same
+        def joined(pairs):
+            p = list(range(60))
+            for _ in range(60):
+                for i, j in pairs:
+                    p[i] = p[j] = min(p[i], p[j])
+            return p
+        assert want and got <= want and joined(got) == joined(want)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs(spark, ODD)).collect()}
     assert got[1, 0] == (1, True) and got[3, 0] == (3, True) and got[5, 1] == (4, False)
