@@ -25,8 +25,8 @@ from .components import components
 
 TREES, DEPTH = 16, 4
 HASHES = TREES * DEPTH
-#: Pairs at the threshold of 0.85 agree in fewer than this share of 64 hashes about once in 10^5 cases.
-SCREEN = 0.65
+#: The share of pairs at the threshold, whatever it is, that may agree in too few hashes to pass the screen.
+LOST = 1e-5
 #: Regions of more classes are paired in blocks of about so many classes, and shingles, at most; a block counts the
 #: least SKETCH shingles of a class, which are all of most classes.
 SMALL, BLOCK, BLOCK_SHINGLES, SKETCH = 32, 2048, 1 << 20, 4096
@@ -108,6 +108,17 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(rows, "near", run, "rep long, n long, data array<bigint>")
 
 
+def least_agreement(percent: int) -> int:
+    """In how many of the hashes a pair has to agree: at most LOST of those at percent/100 agree in fewer."""
+    p, below, k = percent / 100, 0.0, 0
+    while k < HASHES:
+        below += math.comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)
+        if below > LOST:
+            break
+        k += 1
+    return k
+
+
 def _beside(pairs: DataFrame, data: DataFrame, chunk: int = 500) -> DataFrame:
     """pairs (a, b) with n and data of both ends. An a with many pairs is copied for every `chunk` of them."""
     sizes = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).withColumn("salts", F.ceil(F.col("pairs") / chunk).cast("int")), "salts")
@@ -120,11 +131,11 @@ def _beside(pairs: DataFrame, data: DataFrame, chunk: int = 500) -> DataFrame:
 
 
 def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes allow the similarity, and whose signatures agree in a share of at least SCREEN."""
+    """The pairs whose sizes allow the similarity, and whose signatures agree in enough hashes."""
     x = _beside(pairs, classes.select("rep", "n", F.col("sig").alias("data")))
     agree = F.aggregate(F.zip_with("da", "db", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return x.where(sizes).where(agree >= int(SCREEN * HASHES)).select("a", "b")
+    return x.where(sizes).where(agree >= least_agreement(percent)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

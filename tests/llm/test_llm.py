@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import struct
 import zlib
@@ -152,6 +153,16 @@ def test_near_duplicates_in_a_crowd(spark):
     assert found == 60 and all(got[i] == i for i in range(120, 3000))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_screen_loses_few_pairs_at_the_threshold(spark, percent):
+    p = percent / 100
+    least = next(k for k in range(65) if sum(math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(k + 1)) > 1e-5)
+    rows = [(0, 100, [0] * 64), (1, 100, [0] * least + [1] * (64 - least)), (2, 100, [0] * (least - 1) + [2] * (65 - least))]
+    classes = spark.createDataFrame(rows, "rep long, n long, sig array<int>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    assert [tuple(r) for r in near_dedup._screened(pairs, classes, percent).collect()] == [(0, 1)]
+
+
 @pytest.mark.parametrize("sketch", [4096, 64])
 def test_block_pairs_match_brute_force(sketch):
     rng = np.random.default_rng(4)
