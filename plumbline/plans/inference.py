@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, stimuli
-from ..functions.text import hashed, uniform
+from ..functions.text import hashed, uniform, word_count
 from ..operators import regression, resampling as R
 from ..sources.tables import answers, table
 from .stimuli import A, U, WORDS, quoted
@@ -224,6 +224,57 @@ def e18(spark, d):
     return x.groupBy(F.least(F.lit(23), F.floor(F.abs("delta") / F.col("top") * 24)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+ALL_PAIRS = f"s AS (SELECT doc_id, source, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE AS score, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), w AS (SELECT a.source, a.score - b.score AS delta FROM s a JOIN s b ON a.source = b.source AND a.i < b.i)"
+
+
+def value_pairs(spark, d, salts: int = 32):
+    """(source, d, gap, c): of all pairs of a source, how many (c) have two given word counts, d and gap (scored) apart.
+
+    Pairs are made of the different word counts only, and a source's are dealt by them, so that it is not one task's work.
+    """
+    x = table(spark, d, "documents").where("source is not null").groupBy("source", word_count(F.col("text")).alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    a = x.select("source", F.pmod(F.xxhash64("v"), F.lit(salts)).alias("salt"), F.col("v").alias("u"), F.col("m").alias("k"))
+    b = x.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "v", "m")
+    c = F.when(F.col("u") == F.col("v"), F.expr("m * (m - 1) div 2")).otherwise(F.col("k") * F.col("m"))
+    return a.join(b, ["source", "salt"]).where("u >= v").select("source", (F.col("u") - F.col("v")).alias("d"), (F.col("u") * 0.01 - F.col("v") * 0.01).alias("gap"), c.alias("c")).where("c > 0")
+
+
+@add("d14_all_pairs", f"WITH {ALL_PAIRS} SELECT source, count(*) AS pairs, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(quantile_cont(abs(delta), 0.95), 6) AS p95 FROM w GROUP BY source")
+def d14_all(spark, d):
+    """Statistics of all pairs, earlier less later id. The i-th of n is added in n - i pairs and taken off in i - 1;
+    ids are ranked in blocks of 2,000, whose counts give the ranks before them."""
+    x = table(spark, d, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / 2000).alias("block"), word_count(F.col("text")).alias("v"))
+    ranked = x.withColumn("i", F.row_number().over(Window.partitionBy("source", "block").orderBy("doc_id")))
+    blocks = ranked.groupBy("source", "block").agg(F.count(F.lit(1)).alias("m"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("i")).alias("si"))
+    w = Window.partitionBy("source")
+    blocks = blocks.withColumn("n", F.sum("m").over(w)).withColumn("before", F.sum("m").over(w.orderBy("block")) - F.col("m"))
+    part = F.col("s") * (F.col("n") + 1 - 2 * F.col("before")) - 2 * F.col("si")
+    sums = blocks.groupBy("source").agg((F.sum(part.cast("double")) * 0.01).alias("total"))
+    gaps_of = value_pairs(spark, d).groupBy("source", "d").agg(F.sum("c").alias("c")).groupBy("source").agg(
+        F.sum("c").alias("pairs"), (F.sum(F.col("c") * (F.col("d") * 0.01) ** 2)).alias("sq"), F.percentile(F.col("d") * 0.01, 0.95, F.col("c")).alias("p95")
+    )
+    mean = F.col("total") / F.col("pairs")
+    sd = F.when(F.col("pairs") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("pairs") * mean * mean) / (F.col("pairs") - 1)))
+    return rounded(gaps_of.join(sums, "source").select("source", "pairs", mean.alias("mean"), sd.alias("sd"), "p95"))
+
+
+@add("e13_all_pairs", f"WITH {ALL_PAIRS}, e AS (SELECT source, avg(score) - (SELECT avg(score) FROM s) AS effect FROM s GROUP BY source) SELECT e.source, round(effect, 6) AS effect, round(avg((abs(w.delta) < abs(effect))::INT) * 100, 4) AS percentile, abs(effect) > (SELECT quantile_cont(abs(delta), 0.95) FROM w) AS beyond FROM e, w GROUP BY e.source, effect")
+def e13_all(spark, d):
+    x = table(spark, d, "documents").select("source", scoring.length_score(F.col("text")).alias("score"))
+    e = x.groupBy("source").agg(F.avg("score").alias("m")).crossJoin(x.agg(F.avg("score").alias("all"))).select(F.col("source").alias("of"), (F.col("m") - F.col("all")).alias("effect"))
+    w = value_pairs(spark, d).groupBy("d").agg(F.sum("c").alias("c")).withColumn("gap", F.col("d") * 0.01)
+    counted = w.crossJoin(F.broadcast(e)).groupBy("of", "effect").agg((F.sum(F.when(F.col("gap") < F.abs("effect"), F.col("c")).otherwise(0)) / F.sum("c") * 100).alias("percentile"))
+    bar = w.agg(F.percentile("gap", 0.95, F.col("c")).alias("bar"))
+    return counted.crossJoin(bar).select(F.col("of").alias("source"), F.round("effect", 6).alias("effect"), F.round("percentile", 4).alias("percentile"), (F.abs("effect") > F.col("bar")).alias("beyond"))
+
+
+@add("e18_all_pairs", f"WITH {ALL_PAIRS}, m AS (SELECT max(abs(delta)) AS top FROM w) SELECT least(23, floor(abs(delta) / top * 24))::BIGINT AS bin, count(*) AS n FROM w, m GROUP BY 1")
+def e18_all(spark, d):
+    w = value_pairs(spark, d)
+    x = w.crossJoin(w.agg(F.max("gap").alias("top")))
+    return x.groupBy(F.least(F.lit(23), F.floor(F.col("gap") / F.col("top") * 24)).cast("long").alias("bin")).agg(F.sum("c").alias("n"))
+
+
 GAPS = f"sc AS (SELECT doc_id, lang, quality, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE + ({U.format("'31:' || doc_id")} - 0.5) * 4 AS score FROM documents JOIN labels USING (doc_id)), rk AS (SELECT *, row_number() OVER (PARTITION BY lang, quality, doc_id // 2000 ORDER BY doc_id) AS k FROM sc), gp AS (SELECT a.lang, a.k, a.score - b.score AS gap FROM rk a JOIN rk b ON a.lang = b.lang AND a.doc_id // 2000 = b.doc_id // 2000 AND a.k = b.k AND a.quality = 1 AND b.quality = 0)"
 
 
