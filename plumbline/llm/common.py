@@ -17,11 +17,12 @@ HELD_OUT_FOLDS, HELD_OUT_FOLD = 5, 0
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, one for local runs is set."""
+    """The folder that driver and executors share. Only local runs, which share /tmp, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file:///tmp/checkpoints/plumbline"
-        spark.conf.set("plumbline.shared.dir", found)
     return found.rstrip("/")
 
 
@@ -52,6 +53,15 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(grain)) < int(grain * rows / n))
 
 
+def bounded_texts(rows: DataFrame, key: str, text: str, most_rows: int, most_chars: int) -> DataFrame:
+    """(key, text): about most_rows rows at most, of at most most_chars characters each, so a bound of bytes too.
+
+    Keys are sampled; of repeated ones the least text is taken. Null keys and texts, and longer texts, are left out.
+    """
+    fit = rows.select(key, text).where(F.col(key).isNotNull() & (F.length(text) <= most_chars))
+    return bounded_sample(fit, key, most_rows).groupBy(key).agg(F.min(text).alias(text))
+
+
 def training_labels(labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
     """(id, y) of labelled rows outside the held-out fold: about `rows` of them at most.
 

@@ -388,17 +388,68 @@ def test_extraction_without_telling_tags():
 
 def test_marginals_match_enumeration():
     t = html_extract.parse("<div><p>one, two.</p><ul><li><a>x</a></li><li>yes and no</li></ul></div><nav><p>far</p></nav>")
-    m, n = html_extract.PageModel(), len(html_extract.parse("<div><p>one, two.</p><ul><li><a>x</a></li><li>yes and no</li></ul></div><nav><p>far</p></nav>").tag)
-    kinds = [html_extract.kind(t, i) for i in range(n)]
-    own = [m.bias + sum(m.weights.get(f, 0.0) for f in html_extract.features(t, i)) for i in range(n)]
+    m, n = html_extract.PageModel(), len(t.tag)
+    own, apart = m.own(t)
+    edge = [html_extract._APART if apart[i] else m.edges[html_extract.kind(t.tag[t.parent[i]])] for i in range(n)]
     total, ones = 0.0, np.zeros(n)
     for y in itertools.product((0, 1), repeat=n):
-        s = sum(o for o, v in zip(own, y) if v) + sum(m._edge(kinds, t.parent[i], i)[y[t.parent[i]]][y[i]] for i in range(1, n))
+        s = sum(o for o, v in zip(own, y) if v) + sum(edge[i][y[t.parent[i]]][y[i]] for i in range(1, n))
         total += np.exp(s)
         ones += np.exp(s) * np.array(y)
     assert np.allclose(m.marginals(t), ones / total)
 
 
+@pytest.fixture(scope="module")
+def page_model():
+    rows = [r[0] for r in duckdb.sql(f"select html from '{MID}/pages.parquet' order by page_id").fetchall()]
+    return html_extract.fit(rows[:150]), rows[150:]
+
+
+def test_held_out_pages_with_and_without_their_tags(page_model):
+    """Pages that the fit has not seen, as they are and with every telling tag replaced: the article's own blocks."""
+    model, rest = page_model
+    for r in rest:
+        t = html_extract.parse(r)
+        want = "\n\n".join(x for (i, x) in t.segments if html_extract.labels(t)[i] == 1)
+        assert model.extract(r) == want
+        assert model.extract(re.sub(r"<(/?)(?:article|main|nav|footer|aside|header)\b", r"<\1div", r)) == want
+
+
+def test_training_moves_the_weights(page_model):
+    moved = {k: w - html_extract.PRIOR.get(k, 0.0) for k, w in page_model[0].weights.items()}
+    assert sum(abs(x) > 0.5 for x in moved.values()) >= 10
+    # a class word that only labelled pages explain is learnt
+    pages = ["<article><p>Text of it, and more.</p></article><div class='zork'><p>Text of it, and more.</p></div>"] * 20
+    assert html_extract.fit(pages).weights["word:zork"] < -0.5
+
+
+KEEPS = [
+    ('<article><h1>T</h1><p title="the hidden cost of x">Some paragraph of the text, yes.</p></article>', "T\n\nSome paragraph of the text, yes."),
+    ('<article><p class="legal">A legal one, in the article.</p><p>Other.</p></article>', "A legal one, in the article.\n\nOther."),
+    ('<div class="entry"><p class="comment-style">A paragraph, of some length.</p><p>Other one, with a stop.</p></div>', "A paragraph, of some length.\n\nOther one, with a stop."),
+    ('<article class="story promo-free"><p class="text legal">The only one, to be kept.</p></article>', "The only one, to be kept."),
+    ("<header><nav><a href=x>Home</a></nav></header><article><header><h1>The title</h1></header><p>Body, fine.</p><footer>me</footer></article>", "The title\n\nBody, fine."),
+    ('<article><p data-x="unclosed>Text of it here.</p><p>More.</p></article>', "Text of it here.\n\nMore."),
+    ('<article><p>Real, text.</p><div hidden><p>Not seen, this.</p></div><form><p>Subscribe now.</p></form><section id="comments"><h2>Comments</h2><p>I do not agree, sir.</p></section></article>', "Real, text."),
+    ('<form id="aspnetForm"><div id="header">Site</div><div id="content"><h1>A</h1><p>The text of the page, with a stop.</p></div></form>', "A\n\nThe text of the page, with a stop."),
+    ("<p>x < y &#0000000000065; &#99999999999999999999; &lt;b&gt;", "x < y A \ufffd <b>"),
+]
+
+
+@pytest.mark.parametrize("page, text", KEEPS)
+def test_adverse_pages(page_model, page, text):
+    assert page_model[0].extract(page) == text
+
+
+@pytest.mark.parametrize("part, tail", [('<a "', ""), ("<a x=\"'", ""), ("<div>", "</p>"), ('<a x="b', ""), ("<!--", ""), ("<", ""), ("<title>", ""), ("<p>x<![CDATA[ >", ""), ("<a = ", ">"), ("&#", ""), ("<i>", "</u>"), ("<li>x", "</b>")])
+def test_long_adverse_pages_take_linear_time(page_model, part, tail):
+    import time
+
+    began = time.process_time()
+    page_model[0].extract(part * (200_000 // len(part)) + tail * 20_000)
+    assert time.process_time() - began < 10
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p>only <p", "x"), (4, "u", "<" * 1000 + "<b>" * 500 + "text", "x"), (5, "u", "<p>" + "long text. " * 50_000, "x"), (None, "u", "<p>a</p>", "x")]
     got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).toPandas()
