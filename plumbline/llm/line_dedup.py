@@ -1,15 +1,17 @@
 """Line deduplication by winnowing over line hashes, in DataFrame operations.
 
-Every non-empty line of a document has a hash; of each window of `WINDOW` consecutive lines the least hash is a
-fingerprint, so two texts that share as many consecutive lines are sure to share one. A line of many words is a
-window of its own. Fingerprints at two or more positions are joined with the windows that they stand for, and each
-such window is extended both ways from its fingerprint to its full lines: windows with the same lines are counted,
-and all but the first (by document id, then line) are repeats. Overlapping repeats make up runs, whose lines go.
+Every non-empty line of a document has a hash; of each window of `WINDOW` consecutive lines the one with the least
+hash (of equal ones the last) is selected, so two texts that share as many consecutive lines are sure to select the
+same line in both. A line of many words is a window of its own. Only selected lines, the fingerprints, are written,
+with their positions. Positions whose fingerprint occurs once drop out; the others are joined with their texts and
+extended to the line before and after, as far as the windows that selected them reach. These matches are compared on
+the texts of their lines (by SHA-256), so a collision of hashes costs time and never a line. All but the first place
+of a match (by document id, then line) are repeats; overlapping repeats make up runs, whose lines go.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_hot, maybe_members, member_filter, materialize
@@ -17,70 +19,99 @@ from .common import join_hot, maybe_members, member_filter, materialize
 WINDOW, LONG_LINE_WORDS = 2, 50
 
 
-def windows(docs: DataFrame, long_words: int = LONG_LINE_WORDS) -> DataFrame:
-    """(doc_id, start, span, fresh, fingerprint, lines): the windows of every whole text, start counting non-empty lines.
+def _lines(text: Column, long_words: int, hash_bits: int) -> Column:
+    """The non-empty lines of a whole text: at (its number among all lines), t, h, long."""
+    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    h = lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - hash_bits)
+    every = F.transform(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x, i: F.struct(i.alias("at"), x.alias("t"), h(x).alias("h"), (words(x) >= long_words).alias("long")))
+    return F.filter(every, lambda x: x["t"] != "")
 
-    fresh: the fingerprint's position differs from the window's before. lines: the hash of all lines of the window.
+
+def _selected_before(i: Column) -> Column:
+    """Whether the window of line i and the one before it selects line i."""
+    return (i > 0) & (F.get("l", i)["h"] <= F.get("l", i - 1)["h"])
+
+
+def _selected_after(i: Column) -> Column:
+    return (i < F.size("l") - 1) & (F.get("l", i)["h"] < F.get("l", i + 1)["h"])
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, key): rows are told apart by id and text; a null id has no key."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+
+
+def fingerprints(rows: DataFrame, long_words: int = LONG_LINE_WORDS, hash_bits: int = 64) -> DataFrame:
+    """(key, at, h): the selected lines of every whole text, at counting its non-empty lines."""
+    lines = rows.where(F.col("key").isNotNull()).select("key", _lines(F.col("text"), long_words, hash_bits).alias("l")).where(F.size("l") > 0)
+    chosen = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: _selected_before(i) | _selected_after(i) | F.get("l", i)["long"])
+    return lines.select("key", F.inline(F.transform(chosen, lambda i: F.struct(i.alias("at"), F.get("l", i)["h"].alias("h")))))
+
+
+def matches(rows: DataFrame, places: DataFrame, long_words: int = LONG_LINE_WORDS, hash_bits: int = 64) -> DataFrame:
+    """(doc_id, key, start, lines, digest): the windows that selected the given places (key, places), extended from them.
+
+    lines: their numbers among all lines of the text; digest: of the texts of the lines.
     """
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    words = lambda x: F.length(F.trim(x)) - F.length(F.replace(F.trim(x), F.lit(" "), F.lit(""))) + 1
-    line = F.transform(F.filter(split, lambda x: F.trim(x) != ""), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), (words(x) >= long_words).alias("long")))
-    rows = docs.select("doc_id", line.alias("l")).where(F.size("l") > 0)
-    least = lambda i: F.when(F.col("l")[i]["h"] <= F.col("l")[i + 1]["h"], i).otherwise(i + 1)
-    pair = lambda i: F.struct(
-        i.alias("start"), F.lit(2).alias("span"), ((i == 0) | (least(i) != least(F.greatest(i - 1, F.lit(0))))).alias("fresh"),
-        F.least(F.col("l")[i]["h"], F.col("l")[i + 1]["h"]).alias("fingerprint"), F.xxhash64(F.lit(2), F.col("l")[i]["h"], F.col("l")[i + 1]["h"]).alias("lines"),
-    )
-    one = lambda i: F.struct(
-        i.alias("start"), F.lit(1).alias("span"), F.lit(True).alias("fresh"), F.xxhash64(F.lit(1), F.col("l")[i]["h"]).alias("fingerprint"), F.xxhash64(F.lit(1), F.col("l")[i]["h"]).alias("lines")
-    )
-    places = F.sequence(F.lit(0), F.size("l") - 1)
-    pairs = F.when(F.size("l") > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size("l") - 2, F.lit(0))), pair)).otherwise(F.expr("filter(array(named_struct('start',0,'span',2,'fresh',true,'fingerprint',0L,'lines',0L)), x -> false)"))
-    long = F.transform(F.filter(places, lambda i: F.col("l")[i]["long"]), one)
-    return rows.select("doc_id", F.inline(F.concat(pairs, long)))
-
-
-def repeated_lines(docs: DataFrame, long_words: int = LONG_LINE_WORDS) -> DataFrame:
-    """(doc_id, gone): for documents that repeat earlier runs, the numbers of their non-empty lines that go."""
-    all_windows = materialize(windows(docs.where(F.col("doc_id").isNotNull()), long_words), "windows")
-    fingerprints = all_windows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("fresh").cast("long")).alias("positions")).where("positions > 1")
-    shared = materialize(join_hot(all_windows, materialize(fingerprints, "fingerprints"), "fingerprint", "n", max(1, all_windows.count())).select("doc_id", "start", "span", "lines"), "shared")
-    firsts = shared.groupBy("lines").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
-    repeats = join_hot(shared, materialize(firsts, "firsts"), "lines", "n", max(1, shared.count())).where(
-        (F.col("doc_id") > F.col("first.doc_id")) | (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") >= F.col("first.start") + F.col("span"))
+    x = rows.join(places, "key").select("doc_id", "key", "places", _lines(F.col("text"), long_words, hash_bits).alias("l"))
+
+    def window(ok: Column, start: Column, n: int) -> Column:
+        lines = [F.get("l", start + k) for k in range(n)]
+        # a line holds no line break, so the joined texts tell windows apart
+        return F.when(ok, F.struct(start.alias("start"), F.array(*[y["at"] for y in lines]).alias("lines"), F.sha2(F.concat_ws("\n", *[y["t"] for y in lines]).cast("binary"), 256).alias("digest")))
+
+    extended = lambda i: F.array(
+        window(_selected_before(i), i - 1, 2), window(_selected_after(i), i, 2), window(F.get("l", i)["long"], i, 1)
     )
-    lines = repeats.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("span") - 1)).alias("at"))
-    return lines.groupBy("doc_id").agg(F.collect_set("at").alias("gone"))  # no more than the document's lines
+    return x.select("doc_id", "key", F.inline(F.filter(F.flatten(F.transform("places", extended)), lambda w: w.isNotNull())))
+
+
+def _maybe(rows: DataFrame, ids: DataFrame, column: str, name: str, bits: int) -> DataFrame:
+    return maybe_members(rows, materialize(member_filter(ids, column, bits), name), column, bits)
 
 
-def dedup_lines(docs: DataFrame, long_words: int = LONG_LINE_WORDS, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = 1 << 26) -> DataFrame:
+def repeated_lines(rows: DataFrame, long_words: int = LONG_LINE_WORDS, hash_bits: int = 64, max_filter_bits: int = 1 << 26) -> DataFrame:
+    """(key, gone): for texts that repeat earlier runs, the numbers (among all lines) of the lines that go."""
+    prints = materialize(fingerprints(rows, long_words, hash_bits), "prints")
+    counted = materialize(prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    # a bounded filter leaves most rows where they are; those it lets through are joined exactly
+    some = materialize(_maybe(prints, counted, "h", "filter", max_filter_bits), "some")
+    places = join_hot(some, counted, "h", "n", max(1, some.count())).groupBy("key").agg(F.collect_set("at").alias("places"))  # no more than a text's lines
+    places = materialize(places, "places")
+    found = materialize(matches(_maybe(rows, places, "key", "filter", max_filter_bits), places, long_words, hash_bits), "matches")
+    firsts = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("first")).where("n > 1")
+    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key")) | (F.col("start") >= F.col("first.start") + F.size("lines"))
+    repeats = join_hot(found, materialize(firsts, "firsts"), "digest", "n", max(1, found.count())).where(later)
+    return repeats.select("key", F.explode("lines").alias("at")).groupBy("key").agg(F.collect_set("at").alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, long_words: int = LONG_LINE_WORDS, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = 1 << 26, hash_bits: int = 64) -> DataFrame:
     """doc_id, text, n_lines, n_removed: one row per row of docs, with the lines of later repeated runs taken out.
 
-    A run is two or more consecutive non-empty lines, or one line of at least long_words words, that stand together
-    at an earlier place too (a smaller id, or earlier in the same text without overlap); lines are compared without
-    spaces at their ends. Line breaks go with their lines; empty lines stay. A null text counts as empty; rows with
-    a null id are returned as they are; ids are taken to be unique, and rows that repeat one share its windows. An
+    A run is two or more consecutive non-empty lines, or one line of at least long_words words (parted by single
+    spaces), that stand together at an earlier place too (a smaller id, or earlier in the same text without overlap);
+    lines are compared without spaces at their ends. Line breaks go with their lines; empty lines stay. A null text
+    counts as empty; rows with a null id are returned as they are. Rows that repeat an id and its text are one
+    document and get the same result; of rows that share an id but not a text, either may be the earlier one. An
     empty table gives an empty result; other columns, whatever their names, are not looked at.
+
+    hash_bits, max_filter_bits change the cost, never the result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = materialize(repeated_lines(rows, long_words), "gone")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(max_filter_bits).cast("long"))
-    words = materialize(member_filter(gone, "doc_id", max_filter_bits), "filter")
+    rows = keyed(docs, id_col, text_col)
+    gone = materialize(repeated_lines(rows, long_words, hash_bits, max_filter_bits), "gone")
+    place = F.pmod(F.xxhash64("key"), F.lit(max_filter_bits).cast("long"))
+    words = materialize(member_filter(gone, "key", max_filter_bits), "filter")
     marked = rows.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))), "_word", "left")
-    hit = F.coalesce(F.getbit("_mask", (place % 64).cast("int")) == 1, F.lit(False))
+    hit = F.col("key").isNotNull() & F.coalesce(F.getbit("_mask", (place % 64).cast("int")) == 1, F.lit(False))
     # only texts that may lose lines are shuffled
     same = marked.where(~hit).select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"))
-    changed = maybe_members(rows, words, "doc_id", max_filter_bits).join(gone, "doc_id", "left").select("doc_id", "text", "gone")
-    both = same.unionByName(changed)
-    split = F.split("text", "\n")
-    number = F.aggregate(
-        split, F.expr("struct(0 as n, cast(array() as array<string>) as kept)"),
-        lambda a, x: F.when(F.trim(x) == "", F.struct(a["n"].alias("n"), F.array_append(a["kept"], x).alias("kept")))
-        .otherwise(F.struct((a["n"] + 1).alias("n"), F.when(F.array_contains("gone", a["n"]), a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept"))),
-    )
-    return both.select(
-        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(number["kept"], "\n")).alias("text"),
-        F.size(F.filter(split, lambda x: F.trim(x) != "")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+    changed = marked.where(hit).select("doc_id", "text", "key").join(gone, "key", "left").select("doc_id", "text", "gone")
+    split = same.unionByName(changed).withColumn("split", F.split("text", "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone"), lambda i: F.get("split", i))
+    return split.select(
+        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.size(F.filter("split", lambda x: F.trim(x) != "")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

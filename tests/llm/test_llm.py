@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import ann, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, queries, secrets, sentencepieces, toxicity
@@ -207,6 +207,52 @@ def test_line_runs(spark):
     assert got[4] == ("", 0) and got[5] == ("", 0)
 
 
+def brute_lines(texts, long_words=50):
+    """(text, removed) by the rule itself: every window against every earlier place."""
+    first, out = {}, {}
+    full = {i: [(k, x.strip(" ")) for k, x in enumerate((t or "").split("\n")) if x.strip(" ")] for i, t in texts}
+    windows = lambda l: [(s, 2, tuple(x for _, x in l[s : s + 2])) for s in range(len(l) - 1)] + [(s, 1, (x,)) for s, (_, x) in enumerate(l) if x.count(" ") + 1 >= long_words]
+    for i in sorted(full):
+        for s, n, w in sorted(windows(full[i])):
+            first.setdefault(w, (i, s))
+    for i, t in texts:
+        gone = {full[i][s + k][0] for s, n, w in windows(full[i]) if first[w] != (i, s) and (first[w][0] != i or s >= first[w][1] + n) for k in range(n)}
+        out[i] = ("\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("hash_bits", [64, 3])
+def test_line_runs_match_brute_force_whatever_collides(spark, hash_bits):
+    rng = np.random.default_rng(8)
+    texts = [(i, "\n".join(" ".join(["w"] * 50 + [str(x)]) if x < 3 else "" if x == 9 else f"line {x} " for x in rng.integers(0, 12, rng.integers(0, 14)))) for i in range(60)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs(spark, texts), hash_bits=hash_bits).collect()}
+    assert got == brute_lines(texts)
+
+
+def test_fingerprints_are_fewer_than_lines_and_one_in_each_window(spark):
+    rows = line_dedup.keyed(spark.read.parquet(f"{MID}/documents.parquet"))
+    lines = rows.select(F.size(line_dedup._lines(F.col("text"), 50, 64)).alias("n"), "key").toPandas()
+    got = line_dedup.fingerprints(rows).toPandas()
+    assert len(got) < 0.75 * lines.n.sum()
+    at = got.groupby("key")["at"].agg(set)
+    assert all({s, s + 1} & at[k] for k, n in zip(lines.key, lines.n) for s in range(n - 1))
+
+
+def test_line_runs_of_repeated_ids(spark):
+    texts = [(1, "a\nb"), (1, "a\nb"), (1, "c\na\nb"), (2, "a\nb\nc")]
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs(spark, texts)).collect())
+    assert [g for g in got if g[0] == 2] == [(2, "c", 2)] and [g[2] for g in got if g[0] == 1] in ([0, 0, 2], [2, 2, 0])
+
+
+def test_many_lines_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"line {i % 30_000}" for i in range(60_000))
+    began = time.time()
+    assert line_dedup.dedup_lines(docs(spark, [(1, text)])).first()["n_removed"] == 30_000
+    assert time.time() - began < 60
+
+
 def test_line_runs_of_odd_rows(spark):
     got = line_dedup.dedup_lines(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and {r["doc_id"]: r["n_removed"] for r in got}[5] == 2
