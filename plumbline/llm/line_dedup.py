@@ -3,10 +3,10 @@
 Every non-empty line of a document has a hash; of each window of `WINDOW` consecutive lines the one with the least
 hash (of equal ones the last) is selected, so two texts that share as many consecutive lines are sure to select the
 same line in both. A line of many words is a window of its own. Only selected lines, the fingerprints, are written,
-with their positions. Positions whose fingerprint occurs once drop out; the others are joined with their texts and
-extended to the line before and after, as far as the windows that selected them reach. These matches are compared on
-the texts of their lines (by SHA-256), so a collision of hashes costs time and never a line. All but the first place
-of a match (by document id, then line) are repeats; overlapping repeats make up runs, whose lines go.
+with their positions. Positions whose fingerprint occurs once drop out; the others are joined, and each is extended to
+the line before and after, as far as the windows that selected it reach. These matches are compared on the texts of
+their lines (by SHA-256), so a collision of line hashes costs time and never a line. All but the first place of a
+match (by document id, then line) are repeats; overlapping repeats make up runs, whose lines go.
 """
 
 from __future__ import annotations
@@ -43,28 +43,25 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def fingerprints(rows: DataFrame, long_words: int = LONG_LINE_WORDS, hash_bits: int = 64) -> DataFrame:
-    """(key, at, h): the selected lines of every whole text, at counting its non-empty lines."""
-    lines = rows.where(F.col("key").isNotNull()).select("key", _lines(F.col("text"), long_words, hash_bits).alias("l")).where(F.size("l") > 0)
-    chosen = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: _selected_before(i) | _selected_after(i) | F.get("l", i)["long"])
-    return lines.select("key", F.inline(F.transform(chosen, lambda i: F.struct(i.alias("at"), F.get("l", i)["h"].alias("h")))))
+    """(doc_id, key, at, h, windows): the selected lines of every whole text, at counting its non-empty lines.
 
-
-def matches(rows: DataFrame, places: DataFrame, long_words: int = LONG_LINE_WORDS, hash_bits: int = 64) -> DataFrame:
-    """(doc_id, key, start, lines, digest): the windows that selected the given places (key, places), extended from them.
-
-    lines: their numbers among all lines of the text; digest: of the texts of the lines.
+    windows: what selected the line, extended from it to the line before or after: start, lines (their numbers among
+    all lines of the text) and digest (128 bits of the SHA-256 of their texts).
     """
-    x = rows.join(places, "key").select("doc_id", "key", "places", _lines(F.col("text"), long_words, hash_bits).alias("l"))
+    x = rows.where(F.col("key").isNotNull()).select("doc_id", "key", _lines(F.col("text"), long_words, hash_bits).alias("l")).where(F.size("l") > 0)
 
     def window(ok: Column, start: Column, n: int) -> Column:
         lines = [F.get("l", start + k) for k in range(n)]
         # a line holds no line break, so the joined texts tell windows apart
-        return F.when(ok, F.struct(start.alias("start"), F.array(*[y["at"] for y in lines]).alias("lines"), F.sha2(F.concat_ws("\n", *[y["t"] for y in lines]).cast("binary"), 256).alias("digest")))
+        digest = F.unhex(F.substring(F.sha2(F.concat_ws("\n", *[y["t"] for y in lines]).cast("binary"), 256), 1, 32))
+        return F.when(ok, F.struct(start.alias("start"), F.array(*[y["at"] for y in lines]).alias("lines"), digest.alias("digest")))
+
+    def chosen(i: Column) -> Column:
+        extended = F.array(window(_selected_before(i), i - 1, 2), window(_selected_after(i), i, 2), window(F.get("l", i)["long"], i, 1))
+        return F.struct(i.alias("at"), F.get("l", i)["h"].alias("h"), F.filter(extended, lambda w: w.isNotNull()).alias("windows"))
 
-    extended = lambda i: F.array(
-        window(_selected_before(i), i - 1, 2), window(_selected_after(i), i, 2), window(F.get("l", i)["long"], i, 1)
-    )
-    return x.select("doc_id", "key", F.inline(F.filter(F.flatten(F.transform("places", extended)), lambda w: w.isNotNull())))
+    picked = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: _selected_before(i) | _selected_after(i) | F.get("l", i)["long"])
+    return x.select("doc_id", "key", F.inline(F.transform(picked, chosen)))
 
 
 def _maybe(rows: DataFrame, ids: DataFrame, column: str, name: str, bits: int) -> DataFrame:
@@ -77,9 +74,8 @@ def repeated_lines(rows: DataFrame, long_words: int = LONG_LINE_WORDS, hash_bits
     counted = materialize(prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
     # a bounded filter leaves most rows where they are; those it lets through are joined exactly
     some = materialize(_maybe(prints, counted, "h", "filter", max_filter_bits), "some")
-    places = join_hot(some, counted, "h", "n", max(1, some.count())).groupBy("key").agg(F.collect_set("at").alias("places"))  # no more than a text's lines
-    places = materialize(places, "places")
-    found = materialize(matches(_maybe(rows, places, "key", "filter", max_filter_bits), places, long_words, hash_bits), "matches")
+    found = join_hot(some, counted, "h", "n", max(1, some.count())).select("doc_id", "key", F.inline("windows"))
+    found = materialize(found, "matches")
     firsts = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("first")).where("n > 1")
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key")) | (F.col("start") >= F.col("first.start") + F.size("lines"))
     repeats = join_hot(found, materialize(firsts, "firsts"), "digest", "n", max(1, found.count())).where(later)
