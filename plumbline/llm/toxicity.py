@@ -2,7 +2,7 @@
 
 A document's features are the distinct hashed character n-grams of its whole lower-cased text. From a bounded
 sample of labelled rows, the log ratio of smoothed document counts in the two classes scales each feature, and a
-logistic regression is fitted to the scaled features that tell the classes apart. Scoring is one pass of array work over the texts.
+logistic regression is fitted to all features that the sample holds. Scoring is one pass of array work over the texts.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, materialize, training_labels
+from .common import bounded_texts, held_out, map_texts, materialize, training_labels
 
-ORDERS = (4, 5, 6, 7)
+ORDERS = (5,)
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -83,59 +83,41 @@ def _fit_logistic(index: np.ndarray, start: np.ndarray, y: np.ndarray, ratio: np
     return w, b
 
 
-def _class_counts(rows: DataFrame, bits: int) -> np.ndarray:
-    """For both labels, the documents that have each feature, and in a last column all: one row per partition is summed."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((2, (1 << bits) + 1), np.int32)
-        for b in batches:
-            for text, y in zip(b["text"], b["y"]):
-                row = counts[int(y > 0)]
-                row[ngrams(text, bits)] += 1
-                row[-1] += 1
-        yield pd.DataFrame({"counts": [counts.tobytes()]})
-
-    total = np.zeros((2, (1 << bits) + 1))
-    for r in rows.mapInPandas(run, "counts binary").toLocalIterator():  # of bounded size, from a bounded number of partitions
-        total += np.frombuffer(r["counts"], np.int32).reshape(total.shape)
-    return total
+def log_count_ratios(lists: list[np.ndarray], y: np.ndarray, bits: int, smoothing: float) -> np.ndarray:
+    """Of each feature: the log ratio of the smoothed shares of toxic and other documents that have it; 0 if none has."""
+    counts = np.zeros((2, 1 << bits))
+    for f, label in zip(lists, y):
+        counts[int(label > 0), f] += 1
+    n = np.array([[(y <= 0).sum()], [(y > 0).sum()]])
+    share = (counts + smoothing) / (n + 2 * smoothing)
+    return np.where(counts.sum(0) > 0, np.log(share[1] / share[0]), 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 19, fit_rows: int = 12_000, features: int = 8_192, least_z: float = 3.0, penalty: float = 3e-4, rounds: int = 150, smoothing: float = 1.0, parts: int = 8) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = 19, fit_rows: int = 6_000, fit_chars: int = 200_000, penalty: float = 3e-4, rounds: int = 60, smoothing: float = 1.0, parts: int = 8) -> ToxicityModel:
     """Learn from about fit_rows labelled rows at most (a bounded sample, by the hash of their id), not held out.
 
-    The `features` n-grams whose shares in the two classes differ most (by at least least_z standard errors) get
-    weights; the others weigh nothing. Without usable labels, or with labels of one kind only, the score is the
-    share of that label, smoothed.
+    Texts of more than fit_chars characters do not teach. All n-grams of the sample get weights; those that it lacks
+    weigh nothing. Without usable labels, or with labels of one kind only, the score is the share of that label,
+    smoothed.
     """
     known = training_labels(labels, label, fit_rows)
     # the sample's size is bounded, so that its ids can be broadcast
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = materialize(rows.repartition(parts, "doc_id"), "labelled")
-    counts = _class_counts(rows, bits)
-    n = counts[:, -1:]
-    share = (counts[:, :-1] + smoothing) / (n + 2 * smoothing)
-    pooled = (counts[:, :-1].sum(0) + smoothing) / (n.sum() + 2 * smoothing)
-    z = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / (n + 1)).sum())
-    kept = np.argsort(-z, kind="stable")[:features]
-    kept = np.sort(kept[(z[kept] >= least_z) & (counts[:, :-1].sum(0)[kept] > 0)])
-    weights = np.zeros(1 << bits, np.float32)
-    if not len(kept) or not n.all():
-        return ToxicityModel(weights, float(np.log((n[1, 0] + smoothing) / (n[0, 0] + smoothing))), bits)
-    column = np.full(1 << bits, -1, np.int32)
-    column[kept] = np.arange(len(kept))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    rows = materialize(bounded_texts(rows, "doc_id", "text", fit_rows, fit_chars).repartition(parts, "doc_id"), "labelled")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [column[ngrams(t, bits)] for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "f": [f[f >= 0].tobytes() for f in found]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "f": [ngrams(t, bits).astype(np.int32).tobytes() for t in b["text"]]})
 
-    got = rows.mapInPandas(run, "doc_id long, y double, f binary").toPandas().sort_values("doc_id", kind="stable")
+    # sorted places of about fit_rows texts of bounded length
+    got = map_texts(rows, "toxicity", run, "doc_id long, f binary").join(F.broadcast(known), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    y = got["y"].to_numpy(float)
+    if not len(y) or len(set(y > 0)) < 2:
+        return ToxicityModel(np.zeros(1 << bits, np.float32), float(np.log(((y > 0).sum() + smoothing) / ((y <= 0).sum() + smoothing))), bits)
     lists = [np.frombuffer(f, np.int32) for f in got["f"]]
-    ratio = np.log(share[1] / share[0])[kept]
-    w, b = _fit_logistic(np.concatenate(lists), np.cumsum([0, *map(len, lists)])[:-1], got["y"].to_numpy(), ratio, penalty, rounds)
-    weights[kept] = w * ratio
-    return ToxicityModel(weights, float(b), bits)
+    ratio = log_count_ratios(lists, y, bits, smoothing)
+    w, b = _fit_logistic(np.concatenate(lists), np.cumsum([0, *map(len, lists)])[:-1], y, ratio, penalty, rounds)
+    return ToxicityModel((w * ratio).astype(np.float32), float(b), bits)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
