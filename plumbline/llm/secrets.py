@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_texts, materialize
+from .common import bounded_sample, bounded_texts, map_texts, materialize
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -247,8 +247,23 @@ class SecretModel:
         return [(a, b) for a, b in spans]
 
 
-def _fit_field(features: np.ndarray, y: np.ndarray, rounds: int, penalty: float) -> SecretModel:
-    """Maximum likelihood, with a quadratic penalty, of windows (features: window, token, feature; y: window, token)."""
+def posteriors(e: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows with scores e (window, token, tag) and moves m: each tag's probabilities, and the expected moves."""
+    a, b = np.empty_like(e), np.zeros_like(e)
+    a[:, 0] = e[:, 0]
+    for t in range(1, e.shape[1]):
+        a[:, t] = _logsum(a[:, t - 1, :, None] + m, 1) + e[:, t]
+    for t in range(e.shape[1] - 2, -1, -1):
+        b[:, t] = _logsum(m + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
+    z = _logsum(a[:, -1], 1)[:, None, None]
+    return np.exp(a + b - z), np.exp(a[:, :-1, :, None] + m + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[..., None]).sum((0, 1))
+
+
+def _fit_field(features: np.ndarray, y: np.ndarray, beyond: np.ndarray, rounds: int, penalty: float) -> SecretModel:
+    """Maximum likelihood, with a quadratic penalty, of windows (features: window, token, feature; y: window, token).
+
+    beyond: places after the end of a text; as in decoding, these are outside whatever their features.
+    """
     n, length, k = features.shape
     flat = features.reshape(-1, k)
     used, packed = np.unique(flat, return_inverse=True)
@@ -262,17 +277,9 @@ def _fit_field(features: np.ndarray, y: np.ndarray, rounds: int, penalty: float)
     for _ in range(rounds):
         e = w[packed].sum(1).reshape(n, length, 3)
         e[:, 0, 2] += _NEVER  # nothing begins inside
-        a = np.empty_like(e)
-        a[:, 0] = e[:, 0]
-        for t in range(1, length):
-            a[:, t] = _logsum(a[:, t - 1, :, None] + m, 1) + e[:, t]
-        b = np.zeros_like(e)
-        for t in range(length - 2, -1, -1):
-            b[:, t] = _logsum(m + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-        z = _logsum(a[:, -1], 1)[:, None, None]
-        p = np.exp(a + b - z)
-        pairs = np.exp(a[:, :-1, :, None] + m + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[..., None]).sum((0, 1))
-        g = (p - onehot).reshape(-1, 3)
+        e[beyond] = [0, _NEVER, _NEVER]
+        p, pairs = posteriors(e, m)
+        g = np.where(beyond[..., None], 0.0, p - onehot).reshape(-1, 3)
         gw = np.stack([np.bincount(packed.ravel(), weights=np.repeat(g[:, c], k), minlength=len(used)) for c in range(3)], 1) + penalty * w
         gm = pairs - seen_moves + penalty * m * (m > _NEVER)
         gm[0, 2] = 0
@@ -292,30 +299,35 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit(texts: list[str], spans: list[list[tuple[int, int, int]]], window: int = 48, rounds: int = 60, penalty: float = 0.05, most: int = 8_000, seed: int = 9) -> SecretModel:
-    """Fit to windows of the texts: all those that hold a secret, and as many others as there is room for."""
-    feats, ys = [], []
+    """Fit to windows of the texts, short texts and ends of texts included: `most` of them, evenly chosen, at most.
+
+    Those that hold a secret come first, and as many others as there is room for.
+    """
+    feats, ys, ends = [], [], []
     for d, found in zip(texts, spans):
         t = tokens([d])
         y = tags(t, [found])
         for at in range(0, len(y), window):
             f, tag = t.features[at : at + window], y[at : at + window]
-            if len(f) == window:
-                feats.append(f)
-                ys.append(tag)
+            ends.append(len(f))
+            feats.append(np.pad(f, ((0, window - len(f)), (0, 0)), mode="edge"))
+            ys.append(np.pad(tag, (0, window - len(tag))))
     if not feats or not any(t.any() for t in ys):
         return SecretModel(moves=np.array([[0, _NEVER, _NEVER]] + [[0.0, 0.0, 0.0]] * 2))
     hit = [i for i, t in enumerate(ys) if t.any()]
+    hit = hit[:: -(-len(hit) // most)]
     rest = [i for i, t in enumerate(ys) if not t.any()]
-    rest = rest[:: max(1, -(-len(rest) // max(1, most - len(hit))))]
-    keep = sorted(hit[:most] + rest)
+    rest = rest[:: -(-len(rest) // (most - len(hit)))] if rest and most > len(hit) else []
+    keep = sorted(hit + rest)
     y = np.stack([ys[i] for i in keep])
     y[:, 0] = np.where(y[:, 0] == 2, 1, y[:, 0])
     x = np.stack([feats[i] for i in keep])
+    beyond = np.arange(window) >= np.array([ends[i] for i in keep])[:, None]
     # half of the windows lose their neighbouring words, so that a telling shape can be enough
     blind = np.random.default_rng(seed).random(len(x)) < 0.5
     for i in range(len(NEIGHBOURS)):
         x[blind, :, i + 1] = SHAPES + i * BUCKETS
-    return _fit_field(x, y, rounds, penalty)
+    return _fit_field(x, y, beyond, rounds, penalty)
 
 
 def _chunks(texts: list[str], chars: int = 1_000_000) -> Iterator[range]:
@@ -347,13 +359,14 @@ def added_spans(model: SecretModel, texts: list[str], bases: list[list[tuple[int
 _SPANS = "array<struct<start:int,end:int,kind:int>>"
 
 
-def find_secrets(docs: DataFrame, fit_rows: int = 1_500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, fit_rows: int = 1_500, fit_chars: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a column spans, array<struct<start, end, kind>>: the secrets of each whole text (kind: index in KINDS).
 
     A null text counts as empty and has no spans. All rows and columns of docs are kept (a column named spans is
     replaced); repeated rows get the same spans; an empty table gives an empty result. The field learns from about
     fit_rows documents with and fit_rows without a match of the rules at most (bounded samples, by the hash of
-    their id); without any match it adds nothing.
+    their id), of at most fit_chars characters each, and from 8,000 windows of their tokens at most; without any
+    match it adds nothing.
     """
 
     def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -364,7 +377,8 @@ def find_secrets(docs: DataFrame, fit_rows: int = 1_500, id_col: str = "doc_id",
     marked = materialize(map_texts(rows, "secrets", rules, f"doc_id {docs.schema[id_col].dataType.simpleString()}, hit boolean"), "marked")
     ids = [bounded_sample(marked.where(c).select("doc_id").distinct(), "doc_id", fit_rows) for c in (F.col("hit"), ~F.col("hit"))]
     # two bounded samples: small enough to broadcast, and their texts to gather
-    known = rows.join(F.broadcast(ids[0].unionByName(ids[1]).distinct()), "doc_id", "left_semi").toPandas().sort_values("doc_id", kind="stable")
+    known = bounded_texts(rows.join(F.broadcast(ids[0].unionByName(ids[1]).distinct()), "doc_id", "left_semi"), "doc_id", "text", 2 * fit_rows, fit_chars)
+    known = known.toPandas().sort_values("doc_id", kind="stable")
     texts = known["text"].fillna("").tolist()
     shared = docs.sparkSession.sparkContext.broadcast(fit(texts, [base_spans(x) for x in texts]))
     names = [f.name for f in docs.schema if f.name != "spans"]
