@@ -33,6 +33,13 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
 
 
+#: What any other way of cutting or joining pre-tokens is seen by.
+PROBES = (
+    "Hello, World! it's we'll THEY'RE o'clock 'tis don''t", "a1b22c333 4,444.5 x_y__z 100%", " two  spaces\n\n\ttab and end ", "foo.bar@baz.com http://a.b/c?d=e&f=g",
+    "été Über ñandú façade Ångström Żółw ¡hola! ¿qué? «x»", "$$$ ### *** --- ...!?", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa internationalisation Zwölf", "(a) [b] {c} <d> \"e\" 'f' `g`",
+)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -44,7 +51,8 @@ class WordTokenizer:
 
     Its pre-tokens never depend on each other, so each different one is encoded once, by the file's own merge model,
     and kept. The cache is emptied when it is full, so memory is bounded whatever the texts. Texts with other than
-    plain characters, or with a special token's string, go through the whole tokenizer.
+    plain characters, or with a special token's string, go through the whole tokenizer; so do all texts if the file
+    at hand doesn't agree on PROBES, as one with other pre-tokens will not.
     """
 
     def __init__(self, path: str, most: int = 700_000):
@@ -54,6 +62,11 @@ class WordTokenizer:
         self.merges = Tokenizer(self.tokenizer.model)  # the merge model alone
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.in_parts = True
+        self.in_parts = all(self.encode(x) == self._whole(x) for x in PROBES)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, parts: list[str]) -> None:
         for p in parts:  # one by one: starting threads costs more than so short a text
@@ -64,8 +77,8 @@ class WordTokenizer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not _PLAIN.fullmatch(text) or any(x in text for x in self.specials):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not self.in_parts or not _PLAIN.fullmatch(text) or any(x in text for x in self.specials):
+            return self._whole(text)
         parts = _PRETOKENS.findall(text.lower())
         try:
             return b"".join(map(self.known.__getitem__, parts))
@@ -85,7 +98,10 @@ cache_of("packing", _loaded.cache_clear)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): the documents' ids, each with END_ID added, cut where too long."""
+    """(doc_id, piece, start, length, ids_crc32, dealt): the documents' ids, each with END_ID added, cut where too long.
+
+    dealt: a random number, which repeated rows do not share; it says nothing once the pieces are written.
+    """
     path = path or tokenizer_path()
     end = np.array([END_ID], "<u4").tobytes()
     width = 4 * capacity
@@ -97,10 +113,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
             for doc_id, ids in zip(b["doc_id"], map(encoder.encode, b["text"])):
                 ids += end
                 rows += [(doc_id, i // width, i // 4, len(ids[i : i + width]) // 4, zlib.crc32(ids[i : i + width])) for i in range(0, len(ids), width)]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            got = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield got.assign(dealt=np.random.default_rng().integers(0, 1 << 62, len(got)))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_texts(rows, "packing", run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(rows, "packing", run, "doc_id long, piece int, start long, length long, ids_crc32 long, dealt long")
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -166,35 +183,42 @@ def _plan_rows(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, i
     return rows
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, salts: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Whole texts are packed; a null or empty text is one piece that holds END_ID alone. Only documents longer than
     capacity are cut. Repeated rows are packed as often as they occur, a null id is kept, and an empty table gives
     an empty result; other columns, whatever their names, are not looked at.
 
-    salts: rows of one length are ranked in so many groups, so that a frequent length is not one task's work.
+    group_rows: rows of one length are ranked in groups of about so many, so that a frequent length is not one task's
+    work. A piece as long as a sequence needs no rank: it is a sequence of its own.
     """
     spark = docs.sparkSession
-    rows = materialize(pieces(docs, path, capacity, id_col, text_col).withColumn("salt", (F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts))).cast("int")), "pieces")
-    counted = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity * salts rows at most
-    before, counts = [], {}
-    for r in sorted(counted, key=lambda r: (r["length"], r["salt"])):
-        before.append((r["length"], r["salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
+    rows = materialize(pieces(docs, path, capacity, id_col, text_col), "pieces")
+    counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # capacity rows at most
+    full = counts.pop(capacity, 0)
     plan = _plan_rows(minimum_bin_slack(counts, capacity))
-    offsets = spark.createDataFrame(pd.DataFrame(before, columns=["length", "salt", "before"]), "length long, salt int, before long") if before else spark.createDataFrame([], "length long, salt int, before long")
+    first_full = max((r[3] + (r[2] - r[1]) // r[4] for r in plan), default=0)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    alone = rows.where(F.col("length") == capacity).select(*columns, (F.monotonically_increasing_id() + first_full).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if not counts:
+        return alone
+
+    groups = F.broadcast(spark.createDataFrame([(x, -(-n // group_rows)) for x, n in counts.items()], "length long, salts int"))
+    rows = rows.where(F.col("length") < capacity).join(groups, "length").withColumn("salt", F.pmod("dealt", F.col("salts")).cast("int"))
+    before, taken = [], {}
+    for r in sorted(rows.groupBy("length", "salt").count().collect()):  # one row per group
+        before.append((r["length"], r["salt"], taken.get(r["length"], 0)))
+        taken[r["length"]] = taken.get(r["length"], 0) + r["count"]
+    offsets = spark.createDataFrame(before, "length long, salt int, before long")
     slots = spark.createDataFrame(plan, "length long, low long, high long, first long, each long, slot long, offset long")
 
     # ranks of one length, cut where a combination ends; a bounded number of rows
     ranked = rows.join(F.broadcast(offsets), ["length", "salt"]).withColumn(
-        "rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+        "rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "dealt")) - 1
     )
     by_length = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "slot", "high", "first", "each", "offset"))).alias("slots"))
     found = ranked.join(F.broadcast(by_length), "length").withColumn(
         "at", F.expr("filter(slots, s -> s.low <= rank and rank < s.high and (rank - s.low) % s.each = s.slot)[0]")
     )
-    return found.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("at.first") + F.expr("(rank - at.low) div at.each")).alias("sequence_id"), F.col("at.offset").alias("offset"),
-    )
+    return found.select(*columns, (F.col("at.first") + F.expr("(rank - at.low) div at.each")).alias("sequence_id"), F.col("at.offset").alias("offset")).unionByName(alone)
