@@ -102,12 +102,16 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", features: int = 256, width: float = 3.0, ridge: float = 0.3, fit_rows: int = 20_000, parts: int = 8, seed: int = 7) -> QualityModel:
     """Learn from about fit_rows labelled rows at most (a bounded sample, by the hash of their id), not held out.
 
-    Without usable labels every score is 0.5.
+    A quarter of them, by another hash, is kept from the ridge and calibrates its scores. Without usable labels
+    every score is 0.5.
     """
     d = len(STATS)
     rng = np.random.default_rng(seed)
     model = QualityModel(np.zeros(d), np.ones(d), rng.normal(size=(d, features)) / width, rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), np.array([0.0]), np.array([0.5]))
-    rows = materialize(stats.join(training_labels(labels, label, fit_rows), "doc_id").repartition(parts, "doc_id"), "fit")
+    # the sample's size is bounded, so that its ids can be broadcast
+    drawn = stats.join(F.broadcast(training_labels(labels, label, fit_rows)), "doc_id").groupBy("doc_id", "y").agg(F.min("stats").alias("stats"))
+    drawn = materialize(drawn.repartition(parts, "doc_id").withColumn("calibrates", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0), "fit")
+    rows = drawn.where("not calibrates")
     moments = rows.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(F.col("stats")[i]).alias(f"m{i}") for i in range(d)],
@@ -131,7 +135,9 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", features: i
     penalty = np.full(features + 1, ridge)
     penalty[-1] = 1e-6
     model.beta = np.linalg.solve(total[:, :-1] + np.diag(penalty), total[:, -1])
-    known = rows.select("stats", "y").toPandas()  # about fit_rows rows at most
+    known = drawn.where("calibrates").select("stats", "y").toPandas()  # about fit_rows rows at most
+    if not len(known):  # too few rows to keep some apart
+        known = rows.select("stats", "y").toPandas()
     model.cut, model.value = isotonic(model.raw(np.stack(known["stats"].to_numpy())), known["y"].to_numpy())
     return model
 

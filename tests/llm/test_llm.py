@@ -69,9 +69,80 @@ def test_exact_duplicates_of_odd_rows(spark, bits):
     assert (r["keep_id"], r["group_size"], r["kept"]) == (5, 4, False)
 
 
+def test_few_rows_with_a_text_of_their_own_pass_the_filter(spark):
+    digests = exact_dedup.text_digests(spark.createDataFrame([(i, f"text {i if i >= 300 else i // 3}") for i in range(30_000)], "doc_id long, text string"))
+    bits = exact_dedup.filter_bits(30_000, 64, 1 << 28)
+    words_ = {r[0] for r in exact_dedup.repeated_words(digests, bits).collect()}
+    rows = digests.select("doc_id", F.shiftright(exact_dedup._place(bits), 6).alias("w")).collect()
+    passed = [r["doc_id"] for r in rows if r["w"] in words_]
+    assert {r["doc_id"] for r in rows if r["doc_id"] < 300} <= set(passed) and len(passed) < 300 + 0.03 * 30_000 + 100 * 2
+
+
 # classifiers
 
 
+def training_rows(label):
+    rows = duckdb.sql(f"select d.doc_id, coalesce(text, '') as text, {label} as y from '{DATA}/documents.parquet' d join '{DATA}/labels.parquet' using (doc_id) where {label} is not null").fetchall()
+    return [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+
+
+def test_toxicity_matches_a_plain_fit(spark):
+    """Log-count ratios from sets of n-grams, and a plain gradient descent on the same objective."""
+    rows = training_rows("toxic")
+    model = toxicity.fit(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"), bits=16, rounds=400)
+    sets = [set(toxicity.ngrams(t, 16).tolist()) for _, t, _ in rows]
+    y = np.array([r[2] for r in rows], float)
+    n = [(y == k).sum() for k in (0, 1)]
+    has = {k: {} for k in (0, 1)}
+    for s, v in zip(sets, y):
+        for f in s:
+            has[int(v)][f] = has[int(v)].get(f, 0) + 1
+    names = sorted(has[0].keys() | has[1].keys())
+    ratio = np.array([math.log((has[1].get(f, 0) + 1) / (n[1] + 2)) - math.log((has[0].get(f, 0) + 1) / (n[0] + 2)) for f in names])
+    x = np.zeros((len(rows), len(names)))
+    at = {f: i for i, f in enumerate(names)}
+    for i, s in enumerate(sets):
+        x[i, [at[f] for f in s]] = ratio[[at[f] for f in s]]
+    w, b = np.zeros(len(names)), 0.0
+    step = 1 / (0.25 * (np.linalg.norm(x @ x.T, 2) / len(y) + 1) + 3e-4)
+    for _ in range(4000):
+        g = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        w, b = w - step * (x.T @ g + 3e-4 * w), b - step * g.sum()
+    loss = lambda z, v: np.mean(np.log1p(np.exp(-z * (2 * y - 1)))) + 1.5e-4 * v @ v
+    mine = model.weights[names].astype(float) / np.where(ratio == 0, 1, ratio)
+    assert set(np.flatnonzero(model.weights)) <= set(names)
+    assert loss(x @ mine + model.bias, mine) <= loss(x @ w + b, w) + 2e-3
+    t = rows[0][1]
+    assert model.score(t) == pytest.approx(1 / (1 + math.exp(-(model.bias + sum(float(model.weights[f]) for f in sets[0])))), abs=1e-6)
+
+
+def test_quality_matches_a_plain_fit(spark):
+    """Features, ridge and calibration once more, from full matrices on one machine."""
+    d, lab = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(quality.document_statistics(d), lab)
+    rows = training_rows("quality")
+    part = {r["doc_id"]: r["c"] for r in d.select("doc_id", (F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).alias("c")).collect()}
+    s, y, c = np.array([quality.statistics(t) for _, t, _ in rows]), np.array([r[2] for r in rows], float), np.array([part[r[0]] for r in rows])
+    assert 0 < c.sum() < len(c)
+    mean, scale = s[~c].mean(0), np.maximum(s[~c].std(0), 1e-6)
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale)
+    z = np.cos(np.clip((s - mean) / scale, -6, 6) @ model.w + model.phase) * np.sqrt(2 / model.w.shape[1])
+    z = np.hstack([z, np.ones((len(z), 1))])
+    root = np.sqrt(np.append(np.full(z.shape[1] - 1, 0.3), 1e-6))
+    beta = np.linalg.lstsq(np.vstack([z[~c], np.diag(root)]), np.append(y[~c], np.zeros(z.shape[1])), rcond=None)[0]
+    assert np.allclose(z @ model.beta, z @ beta, atol=1e-6)
+    # the features stand for the Gaussian kernel
+    u = (s[:40] - mean) / scale
+    kernel = np.exp(-((np.clip(u, -6, 6)[:, None] - np.clip(u, -6, 6)) ** 2).sum(2) / (2 * 3.0**2))
+    assert np.abs(z[:40, :-1] @ z[:40, :-1].T - kernel).mean() < 0.06
+    # calibration: the best ascending fit of the rows kept apart, with straight lines between its blocks
+    raw = z[c] @ model.beta
+    yc = y[c][np.argsort(raw, kind="stable")]
+    best = [max(min(yc[i : k + 1].mean() for k in range(j, len(yc))) for i in range(j + 1)) for j in range(len(yc))]
+    assert sorted(set(np.round(best, 9))) == sorted(set(np.round(model.value, 9)))
+    assert np.allclose(model.score(s), np.interp(z @ model.beta, model.cut, model.value))
+
+
 def test_quality_on_held_out_rows(spark):
     m, accuracy = held_out(queries.op9_quality(spark, MID), "quality")
     assert accuracy > 0.93 and m.score.between(0, 1).all() and (m.predicted == (m.score >= 0.3)).all()
@@ -282,6 +353,52 @@ def test_field_finds_what_the_rules_miss_and_leaves_clean_text():
     assert [probe[0][a:b] for a, b, k in found[0] if k == 3] == [hidden] and found[1] == found[2] == []
 
 
+def test_posteriors_match_enumeration():
+    rng = np.random.default_rng(4)
+    e, m = rng.normal(size=(2, 5, 3)), rng.normal(size=(3, 3))
+    e[1, 3:] = [0, secrets._NEVER, secrets._NEVER]
+    p, pairs = secrets.posteriors(e, m)
+    want_p, want_pairs = np.zeros_like(p), np.zeros((3, 3))
+    for i in range(2):
+        paths = list(itertools.product(range(3), repeat=5))
+        s = np.array([sum(e[i, t, y[t]] for t in range(5)) + sum(m[y[t], y[t + 1]] for t in range(4)) for y in paths])
+        w = np.exp(s - s.max())
+        for y, v in zip(paths, w / w.sum()):
+            for t in range(5):
+                want_p[i, t, y[t]] += v
+            for t in range(4):
+                want_pairs[y[t], y[t + 1]] += v
+    assert np.allclose(p, want_p) and np.allclose(pairs, want_pairs)
+
+
+def test_short_texts_teach():
+    texts = [f"k {i} token = {hashlib.md5(str(i).encode()).hexdigest()}" for i in range(40)] + ["a few words only"] * 40
+    model = secrets.fit(texts, [secrets.base_spans(t) for t in texts])
+    probe = "k token " + hashlib.md5(b"x").hexdigest()[:30]
+    assert [(a, b) for a, b, k in secrets.added_spans(model, [probe], [[]])[0]] == [(8, 38)]
+
+
+def test_precision_and_recall_of_added_spans():
+    """Secrets that no rule sees, planted in documents without any; and those documents as they are."""
+    rng = np.random.default_rng(5)
+    rows = [r[0] or "" for r in duckdb.sql(f"select text from '/root/testdata/sf0.1/documents.parquet' where length(text) < 5000 order by doc_id").fetchall()]
+    bases = [secrets.base_spans(t) for t in rows]
+    hit, clean = [i for i, b in enumerate(bases) if b], [i for i, b in enumerate(bases) if not b]
+    known = hit + clean[:400]
+    model = secrets.fit([rows[i] for i in known], [bases[i] for i in known], most=2_000)
+    texts, want = [], []
+    for i in clean[400:600]:
+        w = rows[i].split(" ")
+        before = " ".join(w[: len(w) // 2]) + " credential "
+        secret = "".join(rng.choice(list("0123456789abcdef"), 28))
+        texts.append(f"{before}{secret} {' '.join(w[len(w) // 2 :])}")
+        want.append((len(before), len(before) + 28, 3))
+    got = secrets.added_spans(model, texts, [[]] * len(texts))
+    right = sum(w in g for w, g in zip(want, got))
+    assert right >= 0.9 * len(want) and sum(map(len, got)) - right <= 0.02 * len(want)
+    assert not any(secrets.added_spans(model, [rows[i] for i in clean[400:600]], [[]] * 200))
+
+
 def test_window_decoding_equals_full_viterbi():
     rng = np.random.default_rng(2)
     model = secrets.SecretModel(rng.normal(0, 1.5, (secrets.WIDTH, 3)) - np.array([0, 2.0, 2.0]), rng.normal(0, 0.5, (3, 3)))
@@ -319,6 +436,30 @@ def test_packing_round_trip(spark):
     assert p.sequence_id.nunique() == -(-p.length.sum() // 2048)
 
 
+def test_another_tokenizer_is_used_as_a_whole(spark, tmp_path):
+    """A file with other pre-tokens: the ids are its own."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(packing.tokenizer_path())
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "other.json"))
+    assert packing._loaded(packing.tokenizer_path()).in_parts and not packing._loaded(str(tmp_path / "other.json")).in_parts
+    text = "Hello there, it's 100% x_y"
+    got = packing.pieces(docs(spark, [(1, text)]), str(tmp_path / "other.json")).first()
+    ids = other.encode(text, add_special_tokens=False).ids + [0]
+    assert got["length"] == len(ids) and got["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_packing_in_small_groups(spark):
+    """Many rows of one length, repeated rows, full pieces: every place is taken once."""
+    texts = [(1, "one two three")] * 40 + [(i, "a b c d") for i in range(60)] + [(99, words(3_000, 2))] * 3
+    p = packing.pack(docs(spark, texts), group_rows=7).toPandas()
+    assert len(p[p.doc_id == 1]) == 41
+    for _, g in p.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
+    assert p.sequence_id.nunique() == p[p.length == 2048].shape[0] + -(-p[p.length < 2048].length.sum() // 2048)
+
+
 def test_fullest_matches_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(200):
