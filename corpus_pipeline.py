@@ -6,54 +6,81 @@ written as Parquet and read again. All stages but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exact_dedup, near_dedup, packing, quality, secrets
-from plumbline.llm.common import maybe_members, member_filter, materialize, table
+from plumbline.llm.common import member_filter, materialize, table
+
+MOST_FILTER_BITS = 1 << 28
 
-FILTER_BITS = 1 << 26
 
+def _sha() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
 
-def _keep(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without those whose doc_id is in dropped.
 
-    A broadcast filter of bounded size lets the texts of all documents that are surely kept stay where they are;
-    only the few that it is not sure of are joined.
+def _apart(docs: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """docs that surely share no key with keys, and the others. docs and keys hold the columns of `on`.
+
+    A broadcast filter of bounded size lets most texts stay where they are; only the others are worth a join.
     """
-    dropped = materialize(dropped.select("doc_id").distinct(), "dropped")
-    words = materialize(member_filter(dropped, "doc_id", FILTER_BITS), "filter")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS).cast("long"))
-    some = docs.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))), "_word", "left")
+    keys = keys.select(F.xxhash64(*on).alias("_key")).distinct()
+    bits = min(MOST_FILTER_BITS, max(1 << 16, 1 << (32 * keys.count()).bit_length()))
+    words = materialize(member_filter(keys, "_key", bits), "filter").select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))
+    place = F.pmod(F.xxhash64(F.xxhash64(*on)), F.lit(bits).cast("long"))
+    marked = docs.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(words), "_word", "left")
     hit = F.coalesce(F.getbit("_mask", (place % 64).cast("int")) == 1, F.lit(False))
-    sure = some.where(~hit).select(*docs.columns)
-    return sure.unionByName(maybe_members(docs, words, "doc_id", FILTER_BITS).join(dropped, "doc_id", "left_anti").select(*docs.columns))
+    return marked.where(~hit).select(*docs.columns), marked.where(hit).select(*docs.columns)
+
+
+def _same(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
+    conditions = [left[c].eqNullSafe(right["_" + c]) for c in on]
+    return functools.reduce(Column.__and__, conditions)
+
+
+def _without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
+    """docs without the rows whose `on` (null equals null) is in dropped."""
+    dropped = materialize(dropped.select(*on).distinct(), "dropped")
+    sure, other = _apart(docs, dropped, on)
+    named = dropped.select(*[F.col(c).alias("_" + c) for c in on])
+    return sure.unionByName(other.join(named, _same(other, named, on), "left_anti"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, scored.where("predicted = 0"))
+    """Documents that the quality classifier rejects go, by their own text: a null text is scored as an empty one,
+    rows with a null id or a repeated id each have their own verdict, and equal rows share it. Empty in, empty out."""
+    rows = docs.withColumn("sha", _sha())
+    scored = quality.quality_scores(rows, table(spark, sf_dir, "labels"), carry=("sha",))
+    return _without(rows, scored.where("predicted = 0"), ["doc_id", "sha"]).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
-    return _keep(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
+    """Of equal texts (null counts as empty), one row with the largest id stays. A null id stays only where no row with
+    the text has an id, and then once; rows that repeat id and text stay once. Empty in, empty out."""
+    rows = docs.withColumn("sha", _sha())
+    groups = materialize(exact_dedup.exact_duplicates(docs).where("group_size > 1").select("doc_id", F.col("text_sha256").alias("sha"), (F.col("kept") | F.col("keep_id").isNull()).alias("stays")).distinct(), "groups")
+    alone, repeated = _apart(rows, groups, ["sha"])
+    gone = groups.where("not stays").select(F.col("doc_id").alias("_doc_id"), F.col("sha").alias("_sha"))
+    once = repeated.join(gone, _same(repeated, gone, ["doc_id", "sha"]), "left_anti").dropDuplicates(["doc_id", "sha"])
+    return alone.unionByName(once).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8), the document with the smallest id stays."""
-    return _keep(docs, near_dedup.near_duplicates(docs).where("not kept"))
+    """Of each group of near-duplicates (five words, 0.8), the document with the smallest id stays. Texts without words
+    and rows with a null id stay; rows that share an id stay or go together. Empty in, empty out."""
+    return _without(docs, near_dedup.near_duplicates(docs).where("not kept"), ["doc_id"])
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; every document stays, and n_chars follows its text."""
+    """Secrets are masked in the texts; every row stays, and n_chars follows its text. A null text stays null."""
     masked = secrets.redact(secrets.find_secrets(docs))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences: of every row, repeated ones and null ids too; a null text is one piece."""
     return packing.pack(docs)
 
 
@@ -67,6 +94,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the stages leave of the documents; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -54,15 +54,16 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, stats array<double>), one row per row of docs."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, stats array<double>), and the columns to carry along, one row per row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "stats": [statistics(t) for t in b["text"]]})
+            yield b.drop(columns=["text"]).assign(stats=[statistics(t) for t in b["text"]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_texts(rows, "quality", run, "doc_id long, stats array<double>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return map_texts(rows, "quality", run, f"doc_id long{more}, stats array<double>")
 
 
 @dataclass
@@ -142,20 +143,22 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", features: i
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1, higher: better), predicted (1 if score >= threshold).
 
+    carry: names of columns of docs that the rows are to keep.
+
     Whole texts are scored; null counts as empty, and an empty text is scored as any other. Repeated rows get one
     score each; a null id is never held out; an empty table gives an empty result. Labels, language, source and id
     are no inputs of a score, and other columns, whatever their names, are not looked at.
     """
-    stats = materialize(document_statistics(docs, id_col, text_col), "stats")
+    stats = materialize(document_statistics(docs, id_col, text_col, carry), "stats")
     model = fit(stats, labels, **options)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = model.score(np.stack(b["stats"].to_numpy())) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s})
+            yield b.drop(columns=["stats"]).assign(score=s)
 
-    scored = stats.mapInPandas(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = stats.mapInPandas(run, stats.drop("stats").withColumn("score", F.lit(0.0)).schema)
+    return scored.select("doc_id", *carry, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

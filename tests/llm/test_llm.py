@@ -714,3 +714,22 @@ def test_pipeline(spark):
     kept = {i for i in kept if comp[i][1] == i}
     assert set(got.doc_id) == kept and got.groupby("sequence_id").length.sum().max() <= 2048
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "MinHash near-dedup", "secret scans", "best-fit packing"]
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, repeated rows, empty tables: each stage by itself."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], schema)
+    rows = [(1, "same words here"), (2, "same words here"), (2, "same words here"), (None, "same words here"), (None, "lone text"), (None, "lone text"), (3, None), (4, ""), (5, words(80, 1)), (5, words(80, 2)), (6, words(80, 1) + " more"), (7, LONG)]
+    got = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    exact = got(corpus_pipeline.exact_stage(spark, frame(rows), MID))
+    assert exact == sorted([(2, "same words here"), (None, "lone text"), (4, ""), (5, words(80, 1)), (5, words(80, 2)), (6, words(80, 1) + " more"), (7, LONG)], key=str)
+    near = got(corpus_pipeline.near_stage(spark, frame(rows), MID))
+    assert (6, words(80, 1) + " more") not in near and (5, words(80, 2)) in near and near.count((None, "lone text")) == 2 and (2, "same words here") not in near
+    kept = got(corpus_pipeline.quality_stage(spark, frame(rows), MID))
+    score = {(r["doc_id"], r["sha"]): r["predicted"] for r in quality.quality_scores(frame(rows).withColumn("sha", corpus_pipeline._sha()), spark.read.parquet(f"{MID}/labels.parquet"), carry=("sha",)).collect()}
+    assert kept == sorted(((i, t) for i, t in rows if score[i, hashlib.sha256((t or "").encode()).hexdigest()]), key=str)
+    assert len(got(corpus_pipeline.secrets_stage(spark, frame(rows), MID))) == len(rows)
+    assert corpus_pipeline.packing_stage(spark, frame(rows), MID).select("doc_id").distinct().count() == 8
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame([]), MID).count() == 0
