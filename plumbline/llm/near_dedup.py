@@ -2,12 +2,14 @@
 
 Documents whose shingle sets are equal form a class, and only classes are compared. A forest holds several orders of
 the signatures (`TREES`), each beginning with hash functions of its own; classes that share the first `DEPTH` of
-them are one region of that tree. Candidates are of two kinds. First, every class of a region is paired with the
-region's hubs: the classes that share the most with others over all trees. That links large groups of copies with
-their source in linear time. Then all classes of a region that are still in different components are paired, without
-any bound by rank: those of small regions as rows, which their signatures and sizes screen, those of crowded ones in
-blocks, whose intersections are counted by matrix products. All links are confirmed on full shingle sets; components
-are found by distributed star contraction.
+them are one region of that tree. A crowded region is told apart by the hashes that come next in its order, `DEPTH`
+at a time, until its parts are small: its depth adapts to the region. Within a part the signatures are sorted, so that
+neighbours in the order share the longest common prefixes; they are candidates, and so is every class with its
+region's hubs, the classes that share the most with others over all trees. Together these link groups of copies in
+linear time. Then all classes of a region that are still in different components are paired, without any bound by
+rank, so no edge of a part and no crowd hides a pair: those of small regions as rows, which their signatures and sizes
+screen, those of crowded ones in blocks, whose intersections are counted by matrix products. All links are confirmed
+on full shingle sets; components are found by distributed star contraction.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_hot, map_texts, maybe_members, member_filter, materialize
@@ -244,6 +246,28 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return filled.groupBy("p", "ps", "q", "qs").applyInPandas(run, "a long, b long")
 
 
+def _prefix_neighbours(members: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """Pairs (a, b) of classes that are next to each other in the sorted order of their region's part.
+
+    members: region, tree, rep, company (the region's classes). Parts of more than SMALL classes go `DEPTH` hashes
+    deeper, up to three times; what is crowded even then is dealt into groups of about SMALL at random.
+    """
+    order = F.transform(F.sequence(F.lit(DEPTH), F.lit(4 * DEPTH - 1)), lambda i: F.get("sig", (F.col("tree") * DEPTH + i) % HASHES))
+    rows = members.join(classes.select("rep", "sig"), "rep").select("rep", F.col("region").alias("part"), F.col("company").alias("n"), order.alias("next"))
+    done = rows.where(F.col("n") <= SMALL).select("rep", "part", "next")
+    rows = materialize(rows.where(F.col("n") > SMALL), "crowded")
+    for level in range(3):
+        rows = rows.select("rep", F.xxhash64("part", F.slice("next", level * DEPTH + 1, DEPTH)).alias("part"), "next")
+        sizes = materialize(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        rows = materialize(join_hot(rows, sizes, "part", "n", max(1, total)), "deeper")
+        done = done.unionByName(rows.where(F.col("n") <= SMALL).select("rep", "part", "next"))
+        rows = rows.where(F.col("n") > SMALL)
+    dealt = rows.select("rep", F.xxhash64("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SMALL))).alias("part"), "next")
+    after = F.lead("rep").over(Window.partitionBy("part").orderBy("next", "rep"))
+    pairs = done.unionByName(dealt).select("rep", after.alias("other")).where(F.col("other").isNotNull())
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
 def _rest_of_regions(members: DataFrame, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components and one region that may be similar enough: enough to connect all that are."""
     rows = materialize(members.select("region", "rep").join(rest.select("rep", "n", "component"), "rep"), "placed")
@@ -274,8 +298,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     n_classes = classes.count()
 
     # regions with company, and the classes in them
-    prefix = F.array(*[F.xxhash64(F.lit(t), *[F.col("sig")[t * DEPTH + i] for i in range(DEPTH)]) for t in range(TREES)])
-    placed = materialize(classes.select("rep", F.explode(prefix).alias("region")), "placed")
+    prefix = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *[F.col("sig")[t * DEPTH + i] for i in range(DEPTH)]).alias("region")) for t in range(TREES)])
+    placed = materialize(classes.select("rep", F.inline(prefix)), "placed")
     regions = materialize(placed.groupBy("region").agg(F.count(F.lit(1)).alias("company")).where("company > 1"), "regions")
     members = materialize(join_hot(placed, regions, "region", "company", n_classes * TREES), "members")
     scores = materialize(members.groupBy("rep").agg(F.sum("company").alias("score")), "scores")
@@ -284,7 +308,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     scored = members.join(scores, "rep").select("region", "rep", "company", F.struct("score", "rep").alias("up"), F.struct("score", (-F.col("rep")).alias("rep")).alias("down"))
     hubs = materialize(scored.groupBy("region").agg(F.max("up").alias("up"), F.max("down").alias("down"), F.count(F.lit(1)).alias("n")), "hubs")
     near = join_hot(members.select("region", "rep"), hubs, "region", "n", max(1, members.count()))
-    pairs = near.select(F.explode(F.array(F.col("up.rep"), -F.col("down.rep"))).alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    pairs = near.select(F.explode(F.array(F.col("up.rep"), -F.col("down.rep"))).alias("a"), F.col("rep").alias("b")).where("a <> b")
+    pairs = pairs.unionByName(_prefix_neighbours(members, classes, n_classes * TREES)).distinct()
     crowd = materialize(classes.join(scores, "rep", "left_semi"), "crowd")
     pairs = materialize(_screened(materialize(pairs, "pairs"), crowd, percent), "pairs")
 

@@ -213,6 +213,53 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_components(texts, 85)
 
 
+def similar_pairs(sets, percent):
+    """All pairs of sets at the threshold or above: those that share one of their rarest members, counted in full."""
+    often = {}
+    for s in sets.values():
+        for x in s:
+            often[x] = often.get(x, 0) + 1
+    where, found = {}, set()
+    for i, s in sets.items():
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]
+        for j in {j for x in rare for j in where.get(x, ())}:
+            if 100 * len(s & sets[j]) >= percent * len(s | sets[j]):
+                found.add((j, i))
+        for x in rare:
+            where.setdefault(x, []).append(i)
+    return found
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_recall_of_links_on_the_table(spark, percent):
+    """All pairs of different sets of sf0.1 that are similar enough, by brute force: 99 % or more end up together."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    sets = {}
+    for i, t in duckdb.sql(f"select doc_id, text from '{path}' order by doc_id").fetchall():
+        s = frozenset(near_dedup.shingles(t).tolist())
+        if s and s not in sets:
+            sets[s] = i
+    pairs = similar_pairs({i: s for s, i in sets.items()}, percent)
+    comp = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.read.parquet(path), percent).collect()}
+    assert len(pairs) >= 10 and sum(comp[a] == comp[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_prefix_neighbours_share_the_longest_prefixes(spark):
+    """A crowded region goes deeper: each class is paired with one that shares as long a prefix as any."""
+    rng = np.random.default_rng(7)
+    sigs = rng.integers(0, 3, (200, near_dedup.HASHES)).astype(int)
+    sigs[:, :4] = 1
+    classes = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sigs)], "rep long, sig array<int>")
+    members = spark.createDataFrame([(5, 0, i, 200) for i in range(200)], "region long, tree int, rep long, company long")
+    pairs = near_dedup._prefix_neighbours(members, classes, 200).collect()
+    shared = lambda a, b: next((k for k in range(4, 16) if sigs[a][k] != sigs[b][k]), 16)
+    best = {i: max(shared(i, j) for j in range(200) if j != i) for i in range(200)}
+    met = {}
+    for a, b in pairs:
+        met[a], met[b] = max(met.get(a, 0), shared(a, b)), max(met.get(b, 0), shared(a, b))
+    assert len(pairs) < 200 and all(met.get(i) == best[i] for i in best if best[i] >= 8)
+
+
 def test_near_duplicates_in_a_crowd(spark):
     # 3,000 documents of one template (mutual similarity 0.752) with 60 planted pairs at 0.860
     texts = []
