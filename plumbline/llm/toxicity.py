@@ -59,25 +59,42 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[f].sum(dtype=np.float64), -30, 30))))
 
 
-def _fit_logistic(index: np.ndarray, start: np.ndarray, y: np.ndarray, ratio: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows (feature ids of row i from start[i]) by accelerated gradient descent."""
-    lengths = np.diff(np.append(start, len(index)))
-    values = ratio[index]
+def _fit_logistic(index: np.ndarray, start: np.ndarray, y: np.ndarray, ratio: np.ndarray, penalty: float, rounds: int, part: int = 500_000) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse rows (feature ids of row i from start[i]) by accelerated gradient descent.
+
+    Rows are gone through in parts of about `part` features, so that memory beyond index itself is bounded.
+    """
+    ends = np.append(start[1:], len(index))
+    cuts = [0]
+    for i, e in enumerate(ends):
+        if e - start[cuts[-1]] >= part or i + 1 == len(ends):
+            cuts.append(i + 1)
+    parts = [(slice(i, j), index[start[i] : ends[j - 1]], start[i:j] - start[i], (ends - start)[i:j]) for i, j in zip(cuts, cuts[1:])]
+    ratio = ratio.astype(np.float64)
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        scaled, out = w * ratio, np.zeros(len(y))
+        for rows, f, at, n in parts:
+            out[rows] = np.add.reduceat(np.append(scaled[f], 0.0), at) * (n > 0)
+        return out
+
+    def backward(g: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ratio))
+        for rows, f, at, n in parts:
+            out += np.bincount(f, weights=np.repeat(g[rows], n), minlength=len(ratio))
+        return out * ratio
+
     prior = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     w, b = np.zeros(len(ratio)), prior
     vw, vb = w.copy(), b
     # the largest curvature is bounded by a quarter of the largest eigenvalue, found by a few power steps
     u = np.random.default_rng(0).normal(size=len(ratio))
     for _ in range(8):
-        u /= max(np.linalg.norm(u), 1e-12)
-        z = np.add.reduceat(np.append(u[index] * values, 0.0), start) * (lengths > 0)
-        u = np.bincount(index, weights=np.repeat(z, lengths) * values, minlength=len(ratio))
+        u = backward(forward(u / max(np.linalg.norm(u), 1e-12)))
     step = 1 / (0.25 * (np.linalg.norm(u) / len(y) + 1) * 1.1 + penalty)
     for k in range(rounds):
-        z = np.add.reduceat(np.append(vw[index] * values, 0.0), start) * (lengths > 0) + vb
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        gw = np.bincount(index, weights=np.repeat(g, lengths) * values, minlength=len(ratio)) + penalty * vw
-        nw, nb = vw - step * gw, vb - step * g.sum()
+        g = (1 / (1 + np.exp(-np.clip(forward(vw) + vb, -30, 30))) - y) / len(y)
+        nw, nb = vw - step * (backward(g) + penalty * vw), vb - step * g.sum()
         m = k / (k + 3)
         vw, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
     return w, b
@@ -115,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     if not len(y) or len(set(y > 0)) < 2:
         return ToxicityModel(np.zeros(1 << bits, np.float32), float(np.log(((y > 0).sum() + smoothing) / ((y <= 0).sum() + smoothing))), bits)
     lists = [np.frombuffer(f, np.int32) for f in got["f"]]
+    del got
     ratio = log_count_ratios(lists, y, bits, smoothing)
     w, b = _fit_logistic(np.concatenate(lists), np.cumsum([0, *map(len, lists)])[:-1], y, ratio, penalty, rounds)
     return ToxicityModel((w * ratio).astype(np.float32), float(b), bits)
