@@ -2,17 +2,22 @@
 
 All mean-type statistics need only the sum and the number of rows of each (contrast, cluster), so rows are
 aggregated to those first, and only then multiplied by draws. Draws come from a hash, so results depend neither on
-partitioning nor on order.
+partitioning nor on order. What reaches one task or the driver is bounded by the number of draws, of contrasts or of
+stated buckets, never by rows or clusters.
 """
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashed
+from ..sources.tables import written
 
 
 def cluster_sums(df: DataFrame, cluster: str, value: str, *by: str) -> DataFrame:
@@ -20,31 +25,42 @@ def cluster_sums(df: DataFrame, cluster: str, value: str, *by: str) -> DataFrame
     return df.where(F.col(value).isNotNull()).groupBy(*by, F.col(cluster).alias("cluster")).agg(F.sum(value).cast("double").alias("s"), F.count(F.lit(1)).alias("n"))
 
 
+def _beside(df: DataFrame, totals: DataFrame, *by: str) -> DataFrame:
+    """df with the totals of its group: one row of totals if there is no by."""
+    return df.join(totals, [*by]) if by else df.crossJoin(F.broadcast(totals))
+
+
 def cr0(sums: DataFrame, *by: str) -> DataFrame:
     """(*by, n, clusters, mean, se): the mean and its cluster-robust standard error."""
-    total = Window.partitionBy(*by) if by else None
-    over = (lambda c: c.over(total)) if by else (lambda c: c)
-    if by:
-        x = sums.withColumn("mean", over(F.sum("s")) / over(F.sum("n")))
-    else:
-        m = sums.agg((F.sum("s") / F.sum("n")).alias("mean"))
-        x = sums.crossJoin(F.broadcast(m))  # one row
+    x = _beside(sums, sums.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("mean")), *by)
     r = F.col("s") - F.col("n") * F.col("mean")
     return x.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"), F.max("mean").alias("mean"), (F.sqrt(F.sum(r * r)) / F.sum("n")).alias("se"))
 
 
 def numbered(sums: DataFrame, *by: str) -> DataFrame:
-    """sums with ix (from 0, by cluster) and g, the number of clusters."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return sums.withColumn("ix", F.row_number().over(w.orderBy("cluster")) - 1).withColumn("g", F.count(F.lit(1)).over(w))
+    """sums with ix (from 0, by cluster, in each group) and g, the group's number of clusters.
 
-
-def bootstrap_means(sums: DataFrame, draws: int, seed: int, *by: str) -> DataFrame:
-    """(*by, b, m): means of clusters drawn with replacement, all rows of a cluster together."""
-    n = numbered(sums, *by)
-    sizes = n.select(*by, "g").distinct()
-    slots = sizes.select(*by, "g", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).select(*by, "g", "b", F.explode(F.sequence(F.lit(0), (F.col("g") - 1).cast("int"))).alias("j"))
-    picked = slots.withColumn("ix", (hashed(F.lit(seed), F.col("b"), F.col("j")) % F.col("g")).cast("int"))
+    A sort in ranges, and the counts of the ranges, number the rows; no group is one task's work.
+    """
+    x = written(sums.orderBy(*by, "cluster").withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    counts = x.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low")).orderBy("part").collect()  # one row per partition
+    before, starts = 0, []
+    for r in counts:
+        starts.append((r["part"], before - r["low"]))
+        before += r["n"]
+    shift = F.broadcast(sums.sparkSession.createDataFrame(starts, "part long, shift long"))
+    x = x.join(shift, F.shiftright("_at", 33) == F.col("part")).withColumn("_at", F.col("_at") + F.col("shift")).drop("part", "shift")
+    x = _beside(x, x.groupBy(*by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("g")), *by)
+    return x.withColumn("ix", (F.col("_at") - F.col("_first")).cast("int")).drop("_at", "_first")
+
+
+def bootstrap_means(n: DataFrame, draws: int, seed: int, *by: str) -> DataFrame:
+    """(*by, b, m): means of clusters drawn with replacement, all rows of a cluster together. n: numbered sums.
+
+    Every cluster's row stands for one slot of each draw, so the slots are made where the clusters are.
+    """
+    slots = n.select(*by, "g", F.col("ix").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    picked = slots.select(*by, "b", (hashed(F.lit(seed), F.col("b"), F.col("j")) % F.col("g")).cast("int").alias("ix"))
     return picked.join(n.select(*by, "ix", "s", "n"), [*by, "ix"]).groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("m"))
 
 
@@ -53,32 +69,59 @@ def percentile_interval(means: DataFrame, level: float, *by: str) -> DataFrame:
     return means.groupBy(*by).agg(F.percentile("m", a).alias("lo"), F.percentile("m", 1 - a).alias("hi"))
 
 
-def bca_interval(sums: DataFrame, draws: int, seed: int, level: float = 0.95) -> DataFrame:
-    """One row (mean, z0, accel, lo, hi): the bias-corrected and accelerated interval; the percentile one where that is undefined."""
-    spark = sums.sparkSession
-    t = sums.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("g")).first()
-    mean = t["s"] / t["n"]
-    left_out = sums.where(F.lit(t["n"]) > F.col("n")).select(((F.lit(t["s"]) - F.col("s")) / (F.lit(t["n"]) - F.col("n"))).alias("j"))
-    centre = left_out.agg(F.avg("j")).first()[0]
-    moments = left_out.agg(F.sum(F.pow(F.lit(centre) - F.col("j"), 3)).alias("c"), F.sum(F.pow(F.lit(centre) - F.col("j"), 2)).alias("q")).first()
-    accel = moments["c"] / (6 * moments["q"] ** 1.5) if moments["q"] else 0.0
-    means = bootstrap_means(sums, draws, seed).cache()
-    share = means.agg(F.avg((F.col("m") < mean).cast("double"))).first()[0]
-    a, nd, z0 = (1 - level) / 2, NormalDist(), None
-    levels = (a, 1 - a)
-    if 0 < share < 1 and t["g"] >= 3:
-        z0 = nd.inv_cdf(share)
-        levels = tuple(nd.cdf(z0 + (z0 + z) / (1 - accel * (z0 + z))) for z in map(nd.inv_cdf, levels))
-    lo, hi = means.agg(F.percentile("m", F.array(*map(F.lit, levels)))).first()[0]
-    return spark.createDataFrame([(mean, z0, accel, lo, hi)], "mean double, z0 double, accel double, lo double, hi double")
+def bca_levels(share: float, accel: float, clusters: int, level: float) -> tuple[float | None, float, float]:
+    """(z0, lower, upper): the levels of the draws' percentiles that bound the interval; plain ones where BCa is undefined."""
+    a, nd = (1 - level) / 2, NormalDist()
+    if not 0 < share < 1 or clusters < 3:
+        return None, a, 1 - a
+    z0 = nd.inv_cdf(share)
+    below = [1 - accel * (z0 + z) for z in map(nd.inv_cdf, (a, 1 - a))]
+    if min(map(abs, below)) < 1e-12:
+        return z0, a, 1 - a
+    return z0, *(nd.cdf(z0 + (z0 + z) / d) for z, d in zip(map(nd.inv_cdf, (a, 1 - a)), below))
+
+
+def bca_interval(sums: DataFrame, draws: int, seed: int, level: float = 0.95, *by: str) -> DataFrame:
+    """(*by, mean, z0, accel, lo, hi): bias-corrected and accelerated intervals of the mean.
+
+    The percentile interval where that is undefined (fewer than three clusters, all draws on one side); the mean
+    itself where all draws are equal. The acceleration comes from leaving out each cluster in turn, in closed form.
+    """
+    n = numbered(sums, *by)
+    totals = sums.groupBy(*by).agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("clusters"))
+    mean = F.col("all_s") / F.col("all_n")
+    left = _beside(sums, totals, *by).where("all_n > n").withColumn("u", (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) - mean)
+    jack = left.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("u").alias("u1"), F.sum(F.pow("u", F.lit(2))).alias("u2"), F.sum(F.pow("u", F.lit(3))).alias("u3"))
+    means = bootstrap_means(n, draws, seed, *by).groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("draws"))  # `draws` numbers a group
+
+    @F.pandas_udf("struct<z0: double, accel: double, lo: double, hi: double>")
+    def interval(d: pd.Series, obs: pd.Series, g: pd.Series, k: pd.Series, u1: pd.Series, u2: pd.Series, u3: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, o, clusters, n_, a1, a2, a3 in zip(d, obs, g, k, u1, u2, u3):
+            x, accel = np.asarray(x), 0.0
+            if n_ and n_ > 0:
+                m = a1 / n_
+                square, cube = a2 - n_ * m * m, n_ * m**3 - 3 * m * m * a1 + 3 * m * a2 - a3
+                accel = cube / (6 * square**1.5) if square > 0 else 0.0
+            z0, low, high = bca_levels(float((x < o).mean()), accel, int(clusters), level)
+            lo, hi = (o, o) if np.allclose(x, x[0]) else np.percentile(x, [100 * low, 100 * high])
+            rows.append((z0, accel, float(lo), float(hi)))
+        return pd.DataFrame(rows, columns=["z0", "accel", "lo", "hi"])
+
+    if by:
+        x = totals.join(means, [*by]).join(jack, [*by], "left")
+    else:
+        x = totals.crossJoin(means).crossJoin(jack)  # one row each
+    x = x.withColumn("mean", mean).withColumn("i", interval("draws", "mean", "clusters", "k", "u1", "u2", "u3"))
+    return x.select(*by, "mean", "i.z0", "i.accel", "i.lo", "i.hi")
 
 
 def sign(*parts) -> Column:
     return F.when(hashed(*parts) % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def wild_p(sums: DataFrame, draws: int, seed: int) -> DataFrame:
-    """One row (mean, t, p): wild cluster bootstrap of mean zero, two-sided, with Rademacher signs."""
+def wild_p(sums: DataFrame, draws: int, seed: int, two_sided: bool = True) -> DataFrame:
+    """One row (mean, t, p): wild cluster bootstrap of mean zero, with Rademacher signs."""
     c = F.broadcast(cr0(sums).select(F.col("n").alias("total"), "mean", "se"))  # one row
     x = sums.crossJoin(c).withColumn("r", F.col("s") - F.col("n") * F.col("mean"))
     flipped = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("e", sign(F.lit(seed), F.col("b"), F.col("cluster")) * F.col("r"))
@@ -88,46 +131,122 @@ def wild_p(sums: DataFrame, draws: int, seed: int) -> DataFrame:
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("ee") - 2 * m * F.col("en") + m * m * F.col("nn"))) / F.col("total")
     t_b = F.when(sd > 0, m / sd).otherwise(0.0)
     t = F.when(F.col("se") > 0, F.col("mean") / F.col("se")).otherwise(0.0)
-    return d.groupBy(F.col("mean"), t.alias("t")).agg(((F.sum((F.abs(t_b) >= F.abs(t) - 1e-12).cast("long")) + 1) / F.lit(draws + 1.0)).alias("p"))
-
+    beyond = F.abs(t_b) >= F.abs(t) - 1e-12 if two_sided else t_b >= t - 1e-12
+    return d.groupBy(F.col("mean"), t.alias("t")).agg(((F.sum(beyond.cast("long")) + 1) / F.lit(draws + 1.0)).alias("p"))
+
+
+def binomial_tail(k: int, n: int) -> float:
+    """P(X >= k) of n fair coins, as a regularised incomplete beta function by its continued fraction."""
+    if k <= 0:
+        return 1.0
+    if k > n:
+        return 0.0
+    a, b = float(k), float(n - k + 1)
+    if a < b:  # the fraction converges on the other side
+        return 1.0 - binomial_tail(n - k + 1, n)
+    x, tiny = 0.5, 1e-300
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a + b) * math.log(x)) / a
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    f = d
+    for m in range(1, 10_000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + num * d, 1 + num / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            f *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return min(1.0, front * f)
+
+
+def _sign_p(two_sided: bool):
+    @F.pandas_udf("double")
+    def p(wins: pd.Series, n: pd.Series) -> pd.Series:
+        if two_sided:
+            return pd.Series([min(1.0, 2 * binomial_tail(max(w, m - w), m)) if m else 1.0 for w, m in zip(wins, n)], dtype=float)
+        return pd.Series([binomial_tail(w, m) if m else 1.0 for w, m in zip(wins, n)], dtype=float)
+
+    return p
+
+
+def sign_test(df: DataFrame, value: str, *by: str, two_sided: bool = True) -> DataFrame:
+    """(*by, wins, n, p): exact binomial test on non-zero values, two-sided or of more wins than losses; 1 if there are none."""
+    x = df.groupBy(*by).agg(F.coalesce(F.sum((F.col(value) > 0).cast("long")), F.lit(0)).alias("wins"), F.coalesce(F.sum((F.col(value) != 0).cast("long")), F.lit(0)).alias("n"))
+    return x.withColumn("p", _sign_p(two_sided)("wins", "n"))
+
+
+def signed_rank_p(n: int, w: float, z: float, ties: bool, two_sided: bool) -> float:
+    """p of the signed-rank sum w of n values: exact for 50 values or fewer without ties, else from the normal score z."""
+    if not n:
+        return 1.0
+    if n <= 50 and not ties:
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for r in range(1, n + 1):
+            ways[r:] = ways[r:] + ways[: len(ways) - r]
+        ways /= 2.0**n
+        upper, lower = ways[int(w) :].sum(), ways[: int(w) + 1].sum()
+        return float(min(1.0, 2 * min(upper, lower)) if two_sided else upper)
+    tail = lambda t: 0.5 * math.erfc(t / math.sqrt(2))
+    return 2 * tail(abs(z)) if two_sided else tail(z)
+
+
+def wilcoxon(df: DataFrame, value: str, *by: str, two_sided: bool = True) -> DataFrame:
+    """(*by, n, w, z, p): signed-rank statistic of non-zero values with average ranks, its normal score, and p.
+
+    Sizes are counted, and counted again in buckets of their logarithms: ranks are sums over buckets of bounded
+    number and over the sizes of one bucket.
+    """
+    x = df.where(F.col(value) != 0).groupBy(*by, F.abs(value).cast("double").alias("size")).agg(F.count(F.lit(1)).alias("ties"), F.sum((F.col(value) > 0).cast("long")).alias("up"))
+    x = x.withColumn("bucket", F.floor(F.log2("size") * 64))
+    buckets = x.groupBy(*by, "bucket").agg(F.sum("ties").alias("in_bucket"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    buckets = buckets.withColumn("before", F.sum("in_bucket").over(w.orderBy("bucket")) - F.col("in_bucket"))
+    inside = Window.partitionBy(*by, "bucket").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("upto", F.sum("ties").over(inside)).join(buckets, [*by, "bucket"])
+    x = x.withColumn("rank", F.col("before") + F.col("upto") - (F.col("ties") - 1) / 2.0)
+    n, t = F.sum("ties"), F.sum(F.pow("ties", F.lit(3)) - F.col("ties"))
+    z = (F.sum(F.col("up") * F.col("rank")) - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1.0) * (2 * n + 1) / 24.0 - t / 48.0)
+    x = x.groupBy(*by).agg(n.alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), z.alias("z"), (F.max("ties") > 1).alias("tied"))
 
-def sign_test(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """(*by, wins, n, p): exact two-sided binomial test on non-zero values; p is 1 if there are none."""
-    x = df.groupBy(*by).agg(F.sum((F.col(value) > 0).cast("long")).alias("wins"), F.sum((F.col(value) != 0).cast("long")).alias("n"))
-    steps = x.select(*by, "wins", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("i"))
-    w = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    log_choose = F.sum(F.when(F.col("i") > 0, F.ln((F.col("n") - F.col("i") + 1) / F.greatest(F.col("i"), F.lit(1)))).otherwise(0.0)).over(w)
-    tail = steps.withColumn("lc", log_choose).where(F.col("i") >= F.greatest("wins", F.col("n") - F.col("wins")))
-    return tail.groupBy(*by, "wins", "n").agg(F.least(F.lit(1.0), 2 * F.sum(F.exp(F.col("lc") - F.col("n") * F.ln(F.lit(2.0))))).alias("p"))
+    @F.pandas_udf("double")
+    def p(n: pd.Series, w: pd.Series, z: pd.Series, tied: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_p(int(a), b, c, bool(t), two_sided) if a and a > 0 else 1.0 for a, b, c, t in zip(n, w, z, tied)], dtype=float)
 
+    return x.withColumn("p", p("n", "w", "z", "tied")).drop("tied")
 
-def wilcoxon(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """(*by, n, w, z): signed-rank statistic of non-zero values with average ranks, and its normal score."""
-    x = df.where(F.col(value) != 0).groupBy(*by, F.abs(value).alias("size")).agg(F.count(F.lit(1)).alias("ties"), F.sum((F.col(value) > 0).cast("long")).alias("up"))
-    w = Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("rank", F.sum("ties").over(w) - (F.col("ties") - 1) / 2.0)
-    n, t = F.sum("ties"), F.sum(F.pow("ties", F.lit(3)) - F.col("ties"))
-    z = (F.sum(F.col("up") * F.col("rank")) - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1.0) * (2 * n + 1) / 24.0 - t / 48.0)
-    return x.groupBy(*by).agg(n.alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), z.alias("z"))
 
+def benjamini_hochberg(df: DataFrame, p: str, tie: str, buckets: int = 65_536) -> DataFrame:
+    """df (one row per test) with q, which depends on p alone. tie: not looked at, equal ones share their q.
 
-def benjamini_hochberg(df: DataFrame, p: str, tie: str) -> DataFrame:
-    """df (one row per test) with q."""
-    up = Window.partitionBy(F.lit(0)).orderBy(p, tie)
-    x = df.withColumn("_rank", F.row_number().over(up)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_rank", "_m")
+    Different p are counted, ranked over buckets of p and inside one bucket, and the least ratios run back likewise.
+    """
+    k = df.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.floor(F.col("_p") * buckets))
+    w = Window.partitionBy(F.lit(0)).orderBy("_b")
+    bucket = k.groupBy("_b").agg(F.sum("_n").alias("_all")).withColumn("_before", F.sum("_all").over(w) - F.col("_all"))  # `buckets` rows at most
+    m = df.agg(F.count(p).alias("_m"))
+    inside = Window.partitionBy("_b").orderBy("_p")
+    k = k.join(bucket, "_b").crossJoin(F.broadcast(m)).withColumn("_r", F.col("_p") * F.col("_m") / (F.col("_before") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0))))
+    k = k.withColumn("_low", F.min("_r").over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    later = k.groupBy("_b").agg(F.min("_r").alias("_least")).withColumn("_later", F.min("_least").over(w.rowsBetween(1, Window.unboundedFollowing)))
+    q = k.join(later, "_b").select("_p", F.least(F.lit(1.0), "_low", "_later").alias("q"))
+    return df.join(q, df[p] == q["_p"], "left").drop("_p")
 
 
 def westfall_young(sums: DataFrame, contrast: str, draws: int, seed: int) -> DataFrame:
-    """(contrast, t, p): step-down max-T over contrasts; every draw flips a cluster's sign in all of them together."""
+    """(contrast, t, p): step-down max-T over contrasts; every draw flips a cluster's sign in all of them together.
+
+    A cluster's sums of all contrasts stand in one row, so its sign is drawn once; flipping leaves squares as they
+    are, so a draw needs two sums for each contrast.
+    """
     base = cr0(sums, contrast).select(contrast, F.col("n").alias("total"), F.when(F.col("se") > 0, F.col("mean") / F.col("se")).otherwise(0.0).alias("t"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("t")), contrast)
-    ranked = base.withColumn("rank", F.row_number().over(order))
-    x = sums.join(F.broadcast(ranked), contrast)  # one row per contrast
-    e = sign(F.lit(seed), F.col("b"), F.col("cluster")) * F.col("s")
-    d = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("e", e)
-    d = d.groupBy("b", contrast, "rank", "t", "total").agg(F.sum("e").alias("se_"), F.sum(F.col("e") * F.col("e")).alias("ee"), F.sum(F.col("e") * F.col("n")).alias("en"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    fixed = sums.groupBy(contrast).agg(F.sum(F.col("s") * F.col("s")).alias("ee"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("t")), contrast)  # contrasts only
+    ranked = base.join(fixed, contrast).withColumn("rank", F.row_number().over(order))
+    of = sums.groupBy("cluster").agg(F.collect_list(F.struct(contrast, "s", "n")).alias("of"))
+    drawn = of.select("cluster", "of", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("sign", sign(F.lit(seed), F.col("b"), F.col("cluster")))
+    drawn = drawn.select("b", "sign", F.inline("of"))
+    d = drawn.groupBy("b", contrast).agg(F.sum(F.col("sign") * F.col("s")).alias("se_"), F.sum(F.col("sign") * F.col("s") * F.col("n")).alias("en")).join(F.broadcast(ranked), contrast)
     m = F.col("se_") / F.col("total")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("ee") - 2 * m * F.col("en") + m * m * F.col("nn"))) / F.col("total")
     d = d.withColumn("tb", F.when(sd > 0, F.abs(m / sd)).otherwise(0.0))
@@ -138,6 +257,37 @@ def westfall_young(sums: DataFrame, contrast: str, draws: int, seed: int) -> Dat
     return p.select(contrast, "t", F.least(F.lit(1.0), F.max("p").over(step)).alias("p"))
 
 
+def paired_contrast(x: DataFrame, draws: int, seed: int, *by: str, two_sided: bool = True) -> DataFrame:
+    """One row for each contrast (by), from rows (*by, cluster, delta, and truncated if known).
+
+    The sign test speaks for the direction and the mean for the size; both intervals are BCa over clusters, those of
+    the win rate with draws of their own. p_adjusted is null until the family is known.
+    """
+    deltas = cluster_sums(x, "cluster", "delta", *by)
+    wins = cluster_sums(x.withColumn("won", (F.col("delta") > 0).cast("double")), "cluster", "won", *by)
+    truncated = F.sum(F.col("truncated").cast("long")) if "truncated" in x.columns else F.lit(0).cast("long")
+    parts = [
+        cr0(deltas, *by).select(*by, F.col("n").alias("n_items"), F.col("clusters").alias("n_clusters"), F.col("mean").alias("mean_delta"), F.col("se").alias("cluster_se"), F.when(F.col("se") > 0, F.col("mean") / F.col("se")).otherwise(0.0).alias("t_stat")),
+        x.groupBy(*by).agg(F.coalesce(F.stddev_samp("delta"), F.lit(0.0)).alias("sd_delta"), truncated.alias("n_truncated")),
+        bca_interval(deltas, draws, seed, 0.95, *by).select(*by, F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high")),
+        bca_interval(wins, draws, seed + 1, 0.95, *by).select(*by, F.col("lo").alias("win_ci_low"), F.col("hi").alias("win_ci_high")),
+        sign_test(x, "delta", *by, two_sided=two_sided).select(*by, F.coalesce(F.col("wins") / F.nullif("n", F.lit(0)), F.lit(0.5)).alias("win_rate"), F.col("p").alias("p_sign")),
+        wilcoxon(x, "delta", *by, two_sided=two_sided).select(*by, F.col("p").alias("p_wilcoxon")),
+    ]
+    out = parts[0]
+    for y in parts[1:]:
+        out = out.join(y, [*by], "left") if by else out.crossJoin(y)  # one row each
+    return out.withColumn("p_wilcoxon", F.coalesce("p_wilcoxon", F.lit(1.0))).withColumn("two_sided", F.lit(two_sided)).withColumn("p_adjusted", F.lit(None).cast("double"))
+
+
+def adjust_family(rows: DataFrame, name: str, sums: DataFrame | None = None, draws: int = 2_000, seed: int = 0, p: str = "p_sign") -> DataFrame:
+    """rows (one per contrast of a family) with p_adjusted: Westfall-Young where the deltas' cluster sums are at hand, else Benjamini-Hochberg."""
+    rows = rows.drop("p_adjusted")
+    if sums is None:
+        return benjamini_hochberg(rows, p, name).withColumnRenamed("q", "p_adjusted")
+    return rows.join(westfall_young(sums, name, draws, seed).select(name, F.col("p").alias("p_adjusted")), name)
+
+
 def centred(df: DataFrame, value: str, template: str) -> DataFrame:
     """df with centred: the value less its template's mean. The means are aggregated first, so that rows needn't meet."""
     means = df.groupBy(template).agg(F.avg(value).alias("_mean"))
@@ -158,10 +308,28 @@ def omnibus(names: DataFrame, draws: int, seed: int) -> DataFrame:
     return null.crossJoin(F.broadcast(observed)).groupBy("gap").agg(((F.sum((F.col("gap_b") >= F.col("gap") - 1e-12).cast("long")) + 1) / F.lit(draws + 1.0)).alias("p"), F.avg("gap_b").alias("null_mean"), F.percentile("gap_b", 0.95).alias("null_p95"))
 
 
+def within_template(cells: DataFrame, draws: int, seed: int) -> DataFrame:
+    """One row (gap, p, null_p95, n_levels, n_templates): is the largest gap between level means more than chance?
+
+    cells: template, level, score, each level once or never in a template. Scores are centred in their template, and
+    a draw deals each template's scores out to its levels anew, in hash order.
+    """
+    x = centred(cells, "score", "template")
+    gap = (F.max("m") - F.min("m"))
+    observed = x.groupBy("level").agg(F.avg("centred").alias("m")).agg(gap.alias("gap"), F.count(F.lit(1)).alias("n_levels"))
+    slots = x.select("template", "level", F.row_number().over(Window.partitionBy("template").orderBy("level")).alias("slot"))
+    dealt = x.select("template", "level", "centred", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    w = Window.partitionBy("b", "template").orderBy(hashed(F.lit(seed), F.col("b"), F.col("template"), F.col("level")), "level")
+    dealt = dealt.withColumn("slot", F.row_number().over(w)).drop("level").join(slots, ["template", "slot"])
+    null = dealt.groupBy("b", "level").agg(F.avg("centred").alias("m")).groupBy("b").agg(gap.alias("gap_b"))
+    p = null.crossJoin(F.broadcast(observed)).groupBy("gap", "n_levels").agg(((F.sum((F.col("gap_b") >= F.col("gap") - 1e-12).cast("long")) + 1) / F.lit(draws + 1.0)).alias("p"), F.percentile("gap_b", 0.95).alias("null_p95"))
+    return p.crossJoin(cells.agg(F.countDistinct("template").alias("n_templates")))
+
+
 def half_split(names: DataFrame, draws: int, seed: int) -> DataFrame:
     """One row (mean_gap, p95, n): gaps between random halves of groups of four names or more."""
-    w = Window.partitionBy("grp")
-    x = names.withColumn("size", F.count(F.lit(1)).over(w)).where("size >= 4").select("grp", "name", "m", "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    sizes = names.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size >= 4")
+    x = names.join(F.broadcast(sizes), "grp").select("grp", "name", "m", "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("b", "grp").orderBy(hashed(F.lit(seed), F.col("b"), F.col("name")), "name")))
     first = F.col("rank") <= F.floor(F.col("size") / 2)
     gaps = x.groupBy("b", "grp").agg(F.abs(F.avg(F.when(first, F.col("m"))) - F.avg(F.when(~first, F.col("m")))).alias("gap"))

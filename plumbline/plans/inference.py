@@ -12,7 +12,8 @@ from ..sources.tables import answers, table
 from .stimuli import A, U, WORDS, quoted
 
 QUERIES, ORACLES = {}, {}
-DRAWS = 200
+#: Draws of the bootstraps, of the permutations and half splits, and of the regression's bootstrap: the least of the usual presets.
+BOOT, PERM, REG = 1_000, 2_000, 200
 
 
 def add(name: str, sql: str | None = None):
@@ -45,26 +46,45 @@ def g1(spark, d):
     return rounded(R.cr0(R.cluster_sums(deltas(spark, d), "cluster", "delta")))
 
 
-BOOT = f"bt AS (SELECT b, sum(s) / sum(n) AS m FROM (SELECT b, {HASH.format("'11:' || b || ':' || j")} % g AS ix FROM range({DRAWS}) x(b), (SELECT ix AS j, g FROM i)) JOIN i USING (ix) GROUP BY b)"
+def boot_sql(name: str, source: str, seed: int) -> str:
+    """Draws of clusters (source: ix, g, s, n) by their hashes: name (b, m)."""
+    return f"{name} AS (SELECT b, sum(s) / sum(n) AS m FROM (SELECT b, {HASH.format(f"'{seed}:' || b || ':' || j")} % g AS ix FROM range({BOOT}) x(b), (SELECT ix AS j, g FROM {source})) JOIN {source} USING (ix) GROUP BY b)"
 
 
-@add("g2_bootstrap_ci", f"WITH {D}, {BOOT} SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM bt")
+# the normal distribution by its series, and its inverse by Newton's steps
+PHI = "(0.5::DOUBLE + exp(-({0}) * ({0}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 90), lambda k: CASE WHEN ({0}) = 0 THEN 0 ELSE sign({0}) * exp((2 * k + 1) * ln(abs({0})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) END)))"
+PPF = "list_reduce(list_transform(range(0, 40), lambda i: 0.0::DOUBLE), lambda z, i: z - (" + PHI.format("z") + " - ({0})) / (exp(-z * z / 2) / sqrt(2 * pi())))"
+
+
+def bca_sql(name: str, source: str, draws: str) -> str:
+    """BCa bounds from clusters and draws: name (mean, z0, accel, lo, hi)."""
+    z = lambda p: PPF.format(p)
+    return f"""{name}_t AS (SELECT sum(s) AS s, sum(n) AS n, count(*) AS g FROM {source}), {name}_j AS (SELECT (t.s - c.s) / (t.n - c.n) AS j FROM {source} c, {name}_t t WHERE t.n > c.n), {name}_c AS (SELECT avg(j) AS c FROM {name}_j),
+{name}_a AS (SELECT CASE WHEN sum((c - j) ** 2) > 0 THEN sum((c - j) ** 3) / (6 * sum((c - j) ** 2) ** 1.5) ELSE 0 END AS accel FROM {name}_j, {name}_c), {name}_p AS (SELECT avg((d.m < t.s / t.n)::INT) AS share FROM {draws} d, {name}_t t),
+{name}_z AS (SELECT CASE WHEN share > 0 AND share < 1 AND g >= 3 THEN {z("share")} END AS z0, accel, s / n AS mean FROM {name}_p, {name}_a, {name}_t),
+{name}_l AS (SELECT *, CASE WHEN z0 IS NULL THEN 0.025 ELSE {PHI.format(f"(z0 + (z0 + {z('0.025::DOUBLE')}) / (1 - accel * (z0 + {z('0.025::DOUBLE')})))")} END AS low, CASE WHEN z0 IS NULL THEN 0.975 ELSE {PHI.format(f"(z0 + (z0 + {z('0.975::DOUBLE')}) / (1 - accel * (z0 + {z('0.975::DOUBLE')})))")} END AS high FROM {name}_z),
+{name}_s AS (SELECT list_sort(list(m)) AS d FROM {draws}),
+{name} AS (SELECT mean, z0, accel, d[floor((len(d) - 1) * low)::INT + 1] + ((len(d) - 1) * low - floor((len(d) - 1) * low)) * (d[least(len(d), floor((len(d) - 1) * low)::INT + 2)] - d[floor((len(d) - 1) * low)::INT + 1]) AS lo,
+d[floor((len(d) - 1) * high)::INT + 1] + ((len(d) - 1) * high - floor((len(d) - 1) * high)) * (d[least(len(d), floor((len(d) - 1) * high)::INT + 2)] - d[floor((len(d) - 1) * high)::INT + 1]) AS hi FROM {name}_l, {name}_s)"""
+
+
+@add("g2_bootstrap_ci", f"WITH {D}, {boot_sql('bt', 'i', 11)} SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM bt")
 def g2(spark, d):
-    return rounded(R.percentile_interval(R.bootstrap_means(R.cluster_sums(deltas(spark, d), "cluster", "delta"), DRAWS, 11), 0.95))
+    return rounded(R.percentile_interval(R.bootstrap_means(R.numbered(R.cluster_sums(deltas(spark, d), "cluster", "delta")), BOOT, 11), 0.95))
 
 
-@add("g4_bca")
+@add("g4_bca", f"WITH {D}, {boot_sql('bt', 'i', 11)}, {bca_sql('q', 'i', 'bt')} SELECT round(mean, 6) AS mean, round(z0, 6) AS z0, round(accel, 6) AS accel, round(lo, 6) AS lo, round(hi, 6) AS hi FROM q")
 def g4(spark, d):
-    return rounded(R.bca_interval(R.cluster_sums(deltas(spark, d), "cluster", "delta"), DRAWS, 11))
+    return rounded(R.bca_interval(R.cluster_sums(deltas(spark, d), "cluster", "delta"), BOOT, 11))
 
 
 @add("g6_wild_p", f"""WITH {D}, r AS (SELECT cluster, n, s, s - n * {MEAN} AS r, {MEAN} AS mean, (SELECT sum(n) FROM c) AS total FROM c),
-w AS (SELECT b, cluster, n, CASE WHEN {HASH.format("'13:' || b || ':' || cluster")} % 2 = 0 THEN r ELSE -r END AS e, total FROM range({DRAWS}) x(b), r),
+w AS (SELECT b, cluster, n, CASE WHEN {HASH.format("'13:' || b || ':' || cluster")} % 2 = 0 THEN r ELSE -r END AS e, total FROM range({BOOT}) x(b), r),
 m AS (SELECT b, sum(e) / any_value(total) AS m FROM w GROUP BY b), t AS (SELECT b, any_value(m) / (sqrt(sum((e - n * m) ** 2)) / any_value(total)) AS t FROM w JOIN m USING (b) GROUP BY b),
 o AS (SELECT any_value(mean) AS mean, any_value(mean) / (sqrt(sum(r * r)) / any_value(total)) AS t FROM r)
-SELECT round(o.mean, 6) AS mean, round(o.t, 6) AS t, round((1 + count(*) FILTER (abs(t.t) >= abs(o.t) - 1e-12)) / {DRAWS + 1}.0::DOUBLE, 6) AS p FROM t, o GROUP BY o.mean, o.t""")
+SELECT round(o.mean, 6) AS mean, round(o.t, 6) AS t, round((1 + count(*) FILTER (abs(t.t) >= abs(o.t) - 1e-12)) / {BOOT + 1}.0::DOUBLE, 6) AS p FROM t, o GROUP BY o.mean, o.t""")
 def g6(spark, d):
-    return rounded(R.wild_p(R.cluster_sums(deltas(spark, d), "cluster", "delta"), DRAWS, 13))
+    return rounded(R.wild_p(R.cluster_sums(deltas(spark, d), "cluster", "delta"), BOOT, 13))
 
 
 @add("g7_sign_test", """WITH x AS (SELECT c_mktsegment, count(*) FILTER (c_acctbal > 4500) AS wins, count(*) FILTER (c_acctbal <> 4500) AS n FROM customer GROUP BY 1)
@@ -80,42 +100,45 @@ SELECT c_mktsegment, count(*) AS n, round(sum(CASE WHEN v > 0 THEN r ELSE 0 END)
 round(((sum(CASE WHEN v > 0 THEN r ELSE 0 END) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1.0) * (2 * count(*) + 1) / 24.0 - sum(t * t - 1) / 48.0))::DOUBLE, 6) AS z FROM k GROUP BY c_mktsegment""")
 def g8(spark, d):
     x = table(spark, d, "customer").select("c_mktsegment", (F.col("c_acctbal") - 4500).alias("delta"))
-    return rounded(R.wilcoxon(x, "delta", "c_mktsegment"))
+    return rounded(R.wilcoxon(x, "delta", "c_mktsegment").drop("p"))
 
 
 PADDED = f"{A}, v AS (SELECT doc_id, cluster, question, answer, answer || ' ' || {quoted(' '.join(stimuli.FILLER[:2]))} AS padded FROM a), sc AS (SELECT cluster, ({WORDS.format('padded')} * 0.01::DOUBLE + ({U.format("'7:' || question || ':' || padded")} - 0.5) * 0.4) - ({WORDS.format('answer')} * 0.01::DOUBLE + ({U.format("'7:' || question || ':' || answer")} - 0.5) * 0.4) AS delta FROM v)"
 
 
-@add("g9_paired_contrast", f"""WITH {PADDED}, c AS (SELECT cluster, sum(delta) AS s, count(*) AS n FROM sc GROUP BY cluster), m AS (SELECT sum(s) / sum(n) AS mean, sum(n) AS total FROM c),
+#: One-sided sign test and the signed ranks of x (delta): sg (wins, n, p_sign), wx (p_wilcoxon).
+SIGNS = """sg AS (SELECT wins, n, CASE WHEN n = 0 THEN 1 ELSE least(1.0, {side} * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(0, 200000) r(i) WHERE i BETWEEN {least} AND n)) END AS p_sign FROM (SELECT count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta <> 0) AS n FROM {x})),
+wk AS (SELECT delta AS v, rank() OVER (ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY abs(delta)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY abs(delta)) AS t FROM {x} WHERE delta <> 0),
+wz AS (SELECT ((sum(CASE WHEN v > 0 THEN r ELSE 0 END) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1.0) * (2 * count(*) + 1) / 24.0 - sum(t * t - 1) / 48.0))::DOUBLE AS z FROM wk)"""
+
+
+@add("g9_paired_contrast", f"""WITH {PADDED}, c AS (SELECT cluster, sum(delta) AS s, count(*) AS n, sum((delta > 0)::INT)::DOUBLE AS won FROM sc GROUP BY cluster), m AS (SELECT sum(s) / sum(n) AS mean, sum(n) AS total FROM c),
 q AS (SELECT any_value(total)::BIGINT AS n_items, count(*) AS n_clusters, any_value(mean) AS mean_delta, sqrt(sum((s - n * mean) ** 2)) / any_value(total) AS cluster_se FROM c, m),
-w AS (SELECT count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta <> 0) AS n, stddev_samp(delta) AS sd FROM sc)
-SELECT n_items, n_clusters, round(mean_delta, 6) AS mean_delta, round(sd, 6) AS sd_delta, round(cluster_se, 6) AS cluster_se, round(mean_delta / cluster_se, 4) AS t_stat, round(wins::DOUBLE / n, 6) AS win_rate,
-round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(0, 200000) r(i) WHERE i BETWEEN greatest(wins, n - wins) AND n)), 6) AS p_sign FROM q, w""")
+i AS (SELECT s, n, row_number() OVER (ORDER BY cluster) - 1 AS ix, count(*) OVER () AS g FROM c), iw AS (SELECT won AS s, n, row_number() OVER (ORDER BY cluster) - 1 AS ix, count(*) OVER () AS g FROM c),
+{boot_sql('bt', 'i', 5)}, {bca_sql('bd', 'i', 'bt')}, {boot_sql('bw', 'iw', 6)}, {bca_sql('bx', 'iw', 'bw')}, {SIGNS.format(x='sc', side=2, least='greatest(wins, n - wins)')}, w AS (SELECT stddev_samp(delta) AS sd FROM sc)
+SELECT 'padding_d2' AS name, 'style' AS family, n_items, n_clusters, round(mean_delta, 6) AS mean_delta, round(sd, 6) AS sd_delta, round(bd.lo, 5) AS ci_low, round(bd.hi, 5) AS ci_high, round(wins::DOUBLE / sg.n, 6) AS win_rate,
+CASE WHEN (SELECT max(m) - min(m) FROM bw) < 1e-8 THEN round(bx.mean, 5) ELSE round(bx.lo, 5) END AS win_ci_low, CASE WHEN (SELECT max(m) - min(m) FROM bw) < 1e-8 THEN round(bx.mean, 5) ELSE round(bx.hi, 5) END AS win_ci_high,
+round(p_sign, 6) AS p_sign, round(2 * (1 - {PHI.format('least(abs(z), 9)')}), 6) AS p_wilcoxon, round(cluster_se, 6) AS cluster_se, round(mean_delta / cluster_se, 4) AS t_stat, true AS two_sided, 0::BIGINT AS n_truncated, NULL::DOUBLE AS p_adjusted FROM q, w, sg, wz, bd, bx""")
 def g9(spark, d):
     """documents, their padded variants, both scored; one paired contrast clustered by source."""
     a = answers(spark, d)
     v = a.select("cluster", "question", "answer", stimuli.padding(F.col("answer"), 2).alias("padded"))
     s = lambda c: scoring.score(F.col("question"), F.col(c), size=0.2)
     x = v.select("cluster", (s("padded") - s("answer")).alias("delta"))
-    return paired_contrast(x)
-
-
-def paired_contrast(x):
-    """One row of a contrast from (cluster, delta)."""
-    c = R.cr0(R.cluster_sums(x, "cluster", "delta")).select(F.col("n").alias("n_items"), F.col("clusters").alias("n_clusters"), F.round("mean", 6).alias("mean_delta"), F.round("se", 6).alias("cluster_se"), F.round(F.when(F.col("se") > 0, F.col("mean") / F.col("se")).otherwise(0.0), 4).alias("t_stat"))
-    w = x.agg(F.round(F.coalesce(F.stddev_samp("delta"), F.lit(0.0)), 6).alias("sd_delta"))
-    s = R.sign_test(x.withColumn("one", F.lit(1)), "delta", "one").select(F.round(F.coalesce(F.col("wins") / F.nullif("n", F.lit(0)), F.lit(0.5)), 6).alias("win_rate"), F.round("p", 6).alias("p_sign"))
-    return c.crossJoin(w).crossJoin(s)  # one row each
+    out = R.paired_contrast(x, BOOT, 5)
+    bounds = ("ci_low", "ci_high", "win_ci_low", "win_ci_high")
+    out = out.withColumns({c: F.round(c, 4 if c == "t_stat" else 5 if c in bounds else 6) for c, t in out.dtypes if t == "double"})
+    return out.select(F.lit("padding_d2").alias("name"), F.lit("style").alias("family"), *out.columns)
 
 
 @add("g11_westfall_young", f"""WITH {D}, k AS (SELECT contrast, cluster, sum(delta) AS s, count(*) AS n FROM d GROUP BY ALL), m AS (SELECT contrast, sum(s) / sum(n) AS mean, sum(n) AS total FROM k GROUP BY contrast),
 o AS (SELECT contrast, any_value(mean) / (sqrt(sum((s - n * mean) ** 2)) / any_value(total)) AS t, any_value(total) AS total FROM k JOIN m USING (contrast) GROUP BY contrast), r AS (SELECT *, row_number() OVER (ORDER BY abs(t) DESC, contrast) AS rank FROM o),
-w AS (SELECT b, contrast, n, CASE WHEN {HASH.format("'17:' || b || ':' || cluster")} % 2 = 0 THEN s ELSE -s END AS e FROM range({DRAWS}) x(b), k), wm AS (SELECT b, contrast, sum(e) / sum(n) AS m FROM w GROUP BY ALL),
+w AS (SELECT b, contrast, n, CASE WHEN {HASH.format("'17:' || b || ':' || cluster")} % 2 = 0 THEN s ELSE -s END AS e FROM range({PERM}) x(b), k), wm AS (SELECT b, contrast, sum(e) / sum(n) AS m FROM w GROUP BY ALL),
 tb AS (SELECT b, contrast, abs(any_value(m) / (sqrt(sum((e - n * m) ** 2)) / sum(n))) AS tb FROM w JOIN wm USING (b, contrast) GROUP BY ALL),
-tops AS (SELECT contrast, rank, t, max(tb) OVER (PARTITION BY b ORDER BY rank DESC) AS top FROM tb JOIN r USING (contrast)), p AS (SELECT contrast, rank, t, (1 + count(*) FILTER (top >= abs(t) - 1e-12)) / {DRAWS + 1}.0::DOUBLE AS p FROM tops GROUP BY ALL)
+tops AS (SELECT contrast, rank, t, max(tb) OVER (PARTITION BY b ORDER BY rank DESC) AS top FROM tb JOIN r USING (contrast)), p AS (SELECT contrast, rank, t, (1 + count(*) FILTER (top >= abs(t) - 1e-12)) / {PERM + 1}.0::DOUBLE AS p FROM tops GROUP BY ALL)
 SELECT contrast, round(t, 6) AS t, round(least(1.0, max(p) OVER (ORDER BY rank)), 6) AS p FROM p""")
 def g11(spark, d):
-    return rounded(R.westfall_young(R.cluster_sums(deltas(spark, d), "cluster", "delta", "contrast"), "contrast", DRAWS, 17))
+    return rounded(R.westfall_young(R.cluster_sums(deltas(spark, d), "cluster", "delta", "contrast"), "contrast", PERM, 17))
 
 
 @add("f3_bh", """WITH p AS (SELECT l_suppkey, abs(sin(l_suppkey)) * avg(l_discount) AS p FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, l_suppkey) AS k, count(*) OVER () AS m FROM p)
@@ -149,27 +172,32 @@ def f1(spark, d):
 def _omnibus_sql(stratum: str) -> str:
     return f"""WITH {NAMES}, z AS (SELECT name, grp, {stratum} AS stratum, m FROM n), g AS (SELECT grp, avg(m) AS g FROM z GROUP BY grp), o AS (SELECT max(g) - min(g) AS gap FROM g),
 sl AS (SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY grp, name) AS slot, grp FROM z),
-dl AS (SELECT b, stratum, m, row_number() OVER (PARTITION BY b, stratum ORDER BY {HASH.format("'19:' || b || ':' || name")}, name) AS slot FROM range({DRAWS}) x(b), z),
+dl AS (SELECT b, stratum, m, row_number() OVER (PARTITION BY b, stratum ORDER BY {HASH.format("'19:' || b || ':' || name")}, name) AS slot FROM range({PERM}) x(b), z),
 nu AS (SELECT b, max(g) - min(g) AS gap_b FROM (SELECT b, grp, avg(m) AS g FROM dl JOIN sl USING (stratum, slot) GROUP BY ALL) GROUP BY b)
-SELECT round(gap, 6) AS gap, round((1 + count(*) FILTER (gap_b >= gap - 1e-12)) / {DRAWS + 1}.0::DOUBLE, 6) AS p, round(avg(gap_b), 6) AS null_mean, round(quantile_cont(gap_b, 0.95), 6) AS null_p95 FROM nu, o GROUP BY gap"""
+SELECT round(gap, 6) AS gap, round((1 + count(*) FILTER (gap_b >= gap - 1e-12)) / {PERM + 1}.0::DOUBLE, 6) AS p, round(avg(gap_b), 6) AS null_mean, round(quantile_cont(gap_b, 0.95), 6) AS null_p95 FROM nu, o GROUP BY gap"""
 
 
 @add("g13_omnibus", _omnibus_sql("stratum"))
 def g13(spark, d):
-    return rounded(R.omnibus(names(spark, d), DRAWS, 19))
+    return rounded(R.omnibus(names(spark, d), PERM, 19))
 
 
-@add("g14_within_template", _omnibus_sql("name // 8"))
+@add("g14_within_template", f"""WITH {NAMES}, z AS (SELECT name // 8 AS template, name % 8 AS level, m - avg(m) OVER (PARTITION BY name // 8) AS c FROM n), o AS (SELECT max(m) - min(m) AS gap, count(*) AS n_levels FROM (SELECT level, avg(c) AS m FROM z GROUP BY level)),
+sl AS (SELECT template, level, row_number() OVER (PARTITION BY template ORDER BY level) AS slot FROM z), dl AS (SELECT b, template, c, row_number() OVER (PARTITION BY b, template ORDER BY {HASH.format("'19:' || b || ':' || template || ':' || level")}, level) AS slot FROM range({PERM}) x(b), z),
+nu AS (SELECT b, max(m) - min(m) AS gap_b FROM (SELECT b, level, avg(c) AS m FROM dl JOIN sl USING (template, slot) GROUP BY ALL) GROUP BY b)
+SELECT round(gap, 6) AS gap, n_levels, round((1 + count(*) FILTER (gap_b >= gap - 1e-12)) / {PERM + 1}.0::DOUBLE, 6) AS p, round(quantile_cont(gap_b, 0.95), 6) AS null_p95, (SELECT count(DISTINCT template) FROM z) AS n_templates FROM nu, o GROUP BY gap, n_levels""")
 def g14(spark, d):
-    return rounded(R.omnibus(names(spark, d).withColumn("stratum", F.floor(F.col("name") / 8)), DRAWS, 19))
+    """Eight levels (names over eight) of each template: are some scored higher?"""
+    x = names(spark, d).select(F.floor(F.col("name") / 8).alias("template"), (F.col("name") % 8).alias("level"), F.col("m").alias("score"))
+    return rounded(R.within_template(x, PERM, 19))
 
 
 @add("g15_half_split", f"""WITH {NAMES}, z AS (SELECT *, count(*) OVER (PARTITION BY grp) AS size FROM n),
-r AS (SELECT b, grp, m, size, row_number() OVER (PARTITION BY b, grp ORDER BY {HASH.format("'23:' || b || ':' || name")}, name) AS rank FROM range({DRAWS}) x(b), z WHERE size >= 4),
+r AS (SELECT b, grp, m, size, row_number() OVER (PARTITION BY b, grp ORDER BY {HASH.format("'23:' || b || ':' || name")}, name) AS rank FROM range({PERM}) x(b), z WHERE size >= 4),
 h AS (SELECT b, grp, abs(avg(m) FILTER (rank <= size // 2) - avg(m) FILTER (rank > size // 2)) AS gap FROM r GROUP BY ALL)
 SELECT round(avg(gap), 6) AS mean_gap, round(quantile_cont(gap, 0.95), 6) AS p95, count(*) AS n FROM h""")
 def g15(spark, d):
-    return rounded(R.half_split(names(spark, d), DRAWS, 23))
+    return rounded(R.half_split(names(spark, d), PERM, 23))
 
 
 @add("g25_split", f"SELECT doc_id, CASE WHEN ntile(2) OVER (ORDER BY {HASH.format("'29:' || doc_id")}, doc_id) = 1 THEN 'dev' ELSE 'test' END AS split FROM documents")
@@ -187,43 +215,6 @@ def g25(spark, d):
     return x.select("doc_id", F.when(first, "dev").otherwise("test").alias("split"))
 
 
-PAIRS = f"s AS (SELECT doc_id, source, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE AS score, row_number() OVER (PARTITION BY source, doc_id // 2000 ORDER BY doc_id) AS i FROM documents), w AS (SELECT a.source, a.score - b.score AS delta FROM s a JOIN s b ON a.source = b.source AND a.doc_id // 2000 = b.doc_id // 2000 AND a.i < b.i AND b.i <= a.i + 5)"
-
-
-def rewordings(spark, d, near: int = 5):
-    """Deltas between rewordings of one item, each with the next few: linear in the rows.
-
-    An item is what one source has among 2,000 neighbouring ids, so that a large source is not one task's work.
-    """
-    x = table(spark, d, "documents").select("source", "doc_id", scoring.length_score(F.col("text")).alias("score"))
-    w = Window.partitionBy("source", F.floor(F.col("doc_id") / 2000)).orderBy("doc_id")
-    later = F.array(*[F.lead("score", k).over(w) for k in range(1, near + 1)])
-    return x.select("source", "score", later.alias("later")).select("source", "score", F.explode("later").alias("other")).where(F.col("other").isNotNull()).select("source", (F.col("score") - F.col("other")).alias("delta"))
-
-
-@add("d14_pairwise_paraphrase", f"WITH {PAIRS} SELECT source, count(*) AS pairs, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(quantile_cont(abs(delta), 0.95), 6) AS p95 FROM w GROUP BY source")
-def d14(spark, d):
-    return rounded(rewordings(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("pairs"), F.avg("delta").alias("mean"), F.stddev_samp("delta").alias("sd"), F.percentile(F.abs("delta"), 0.95).alias("p95")))
-
-
-@add("e13_noise_percentile", f"WITH {PAIRS}, e AS (SELECT source, avg(score) - (SELECT avg(score) FROM s) AS effect FROM s GROUP BY source) SELECT e.source, round(effect, 6) AS effect, round(avg((abs(w.delta) < abs(effect))::INT) * 100, 4) AS percentile, abs(effect) > (SELECT quantile_cont(abs(delta), 0.95) FROM w) AS beyond FROM e, w GROUP BY e.source, effect")
-def e13(spark, d):
-    x = table(spark, d, "documents").select("source", scoring.length_score(F.col("text")).alias("score"))
-    e = x.groupBy("source").agg(F.avg("score").alias("m")).crossJoin(x.agg(F.avg("score").alias("all"))).select(F.col("source").alias("of"), (F.col("m") - F.col("all")).alias("effect"))
-    w = rewordings(spark, d)
-    # the effects (one per source) go to every delta; each delta is read once
-    counted = w.crossJoin(F.broadcast(e)).groupBy("of", "effect").agg((F.avg((F.abs("delta") < F.abs("effect")).cast("double")) * 100).alias("percentile"))
-    bar = w.agg(F.percentile(F.abs("delta"), 0.95).alias("bar"))
-    return counted.crossJoin(bar).select(F.col("of").alias("source"), F.round("effect", 6).alias("effect"), F.round("percentile", 4).alias("percentile"), (F.abs("effect") > F.col("bar")).alias("beyond"))
-
-
-@add("e18_histogram", f"WITH {PAIRS}, m AS (SELECT max(abs(delta)) AS top FROM w) SELECT least(23, floor(abs(delta) / top * 24))::BIGINT AS bin, count(*) AS n FROM w, m GROUP BY 1")
-def e18(spark, d):
-    w = rewordings(spark, d)
-    x = w.crossJoin(w.agg(F.max(F.abs("delta")).alias("top")))
-    return x.groupBy(F.least(F.lit(23), F.floor(F.abs("delta") / F.col("top") * 24)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
 ALL_PAIRS = f"s AS (SELECT doc_id, source, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE AS score, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), w AS (SELECT a.source, a.score - b.score AS delta FROM s a JOIN s b ON a.source = b.source AND a.i < b.i)"
 
 
@@ -239,6 +230,7 @@ def value_pairs(spark, d, salts: int = 32):
     return a.join(b, ["source", "salt"]).where("u >= v").select("source", (F.col("u") - F.col("v")).alias("d"), (F.col("u") * 0.01 - F.col("v") * 0.01).alias("gap"), c.alias("c")).where("c > 0")
 
 
+@add("d14_pairwise_paraphrase", f"WITH {ALL_PAIRS} SELECT source, count(*) AS pairs, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(quantile_cont(abs(delta), 0.95), 6) AS p95 FROM w GROUP BY source")
 @add("d14_all_pairs", f"WITH {ALL_PAIRS} SELECT source, count(*) AS pairs, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(quantile_cont(abs(delta), 0.95), 6) AS p95 FROM w GROUP BY source")
 def d14_all(spark, d):
     """Statistics of all pairs, earlier less later id. The i-th of n is added in n - i pairs and taken off in i - 1;
@@ -258,6 +250,7 @@ def d14_all(spark, d):
     return rounded(gaps_of.join(sums, "source").select("source", "pairs", mean.alias("mean"), sd.alias("sd"), "p95"))
 
 
+@add("e13_noise_percentile", f"WITH {ALL_PAIRS}, e AS (SELECT source, avg(score) - (SELECT avg(score) FROM s) AS effect FROM s GROUP BY source) SELECT e.source, round(effect, 6) AS effect, round(avg((abs(w.delta) < abs(effect))::INT) * 100, 4) AS percentile, abs(effect) > (SELECT quantile_cont(abs(delta), 0.95) FROM w) AS beyond FROM e, w GROUP BY e.source, effect")
 @add("e13_all_pairs", f"WITH {ALL_PAIRS}, e AS (SELECT source, avg(score) - (SELECT avg(score) FROM s) AS effect FROM s GROUP BY source) SELECT e.source, round(effect, 6) AS effect, round(avg((abs(w.delta) < abs(effect))::INT) * 100, 4) AS percentile, abs(effect) > (SELECT quantile_cont(abs(delta), 0.95) FROM w) AS beyond FROM e, w GROUP BY e.source, effect")
 def e13_all(spark, d):
     x = table(spark, d, "documents").select("source", scoring.length_score(F.col("text")).alias("score"))
@@ -268,6 +261,7 @@ def e13_all(spark, d):
     return counted.crossJoin(bar).select(F.col("of").alias("source"), F.round("effect", 6).alias("effect"), F.round("percentile", 4).alias("percentile"), (F.abs("effect") > F.col("bar")).alias("beyond"))
 
 
+@add("e18_histogram", f"WITH {ALL_PAIRS}, m AS (SELECT max(abs(delta)) AS top FROM w) SELECT least(23, floor(abs(delta) / top * 24))::BIGINT AS bin, count(*) AS n FROM w, m GROUP BY 1")
 @add("e18_all_pairs", f"WITH {ALL_PAIRS}, m AS (SELECT max(abs(delta)) AS top FROM w) SELECT least(23, floor(abs(delta) / top * 24))::BIGINT AS bin, count(*) AS n FROM w, m GROUP BY 1")
 def e18_all(spark, d):
     w = value_pairs(spark, d)
@@ -275,16 +269,21 @@ def e18_all(spark, d):
     return x.groupBy(F.least(F.lit(23), F.floor(F.col("gap") / F.col("top") * 24)).cast("long").alias("bin")).agg(F.sum("c").alias("n"))
 
 
-GAPS = f"sc AS (SELECT doc_id, lang, quality, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE + ({U.format("'31:' || doc_id")} - 0.5) * 4 AS score FROM documents JOIN labels USING (doc_id)), rk AS (SELECT *, row_number() OVER (PARTITION BY lang, quality, doc_id // 2000 ORDER BY doc_id) AS k FROM sc), gp AS (SELECT a.lang, a.k, a.score - b.score AS gap FROM rk a JOIN rk b ON a.lang = b.lang AND a.doc_id // 2000 = b.doc_id // 2000 AND a.k = b.k AND a.quality = 1 AND b.quality = 0)"
+GAPS = f"sc AS (SELECT doc_id, lang, quality, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE + ({U.format("'31:' || doc_id")} - 0.5) * 4 AS score FROM documents JOIN labels USING (doc_id)), rk AS (SELECT *, row_number() OVER (PARTITION BY lang, quality ORDER BY doc_id) AS k FROM sc), gp AS (SELECT a.lang, a.k, a.score - b.score AS gap FROM rk a JOIN rk b ON a.lang = b.lang AND a.k = b.k AND a.quality = 1 AND b.quality = 0)"
 
 
 def gaps(spark, d):
-    """Preference gaps: the k-th good and the k-th poor document of a language among 2,000 neighbouring ids, scored."""
+    """Preference gaps: the k-th good and the k-th poor document of a language, scored.
+
+    Documents are ranked in blocks of 2,000 ids; the counts of the blocks before give the rest of the rank.
+    """
     x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     x = x.select("doc_id", F.floor(F.col("doc_id") / 2000).alias("block"), "lang", "quality", (scoring.length_score(F.col("text")) + (uniform(F.lit(31), F.col("doc_id")) - 0.5) * 4).alias("score"))
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("lang", "quality", "block").orderBy("doc_id")))
-    good, poor = x.where("quality = 1").select("lang", "block", "k", F.col("score").alias("a")), x.where("quality = 0").select("lang", "block", "k", F.col("score").alias("b"))
-    return good.join(poor, ["lang", "block", "k"]).select("lang", "k", (F.col("a") - F.col("b")).alias("gap"))
+    counts = x.groupBy("lang", "quality", "block").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("lang", "quality", "block", (F.sum("n").over(Window.partitionBy("lang", "quality").orderBy("block")) - F.col("n")).alias("before"))
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("lang", "quality", "block").orderBy("doc_id"))).join(counts, ["lang", "quality", "block"]).withColumn("k", F.col("k") + F.col("before"))
+    good, poor = x.where("quality = 1").select("lang", "k", F.col("score").alias("a")), x.where("quality = 0").select("lang", "k", F.col("score").alias("b"))
+    return good.join(poor, ["lang", "k"]).select("lang", "k", (F.col("a") - F.col("b")).alias("gap"))
 
 
 @add("e17_reliability", f"""WITH {GAPS}, c AS (SELECT 1 / (1 + exp(-abs(gap) / 3)) AS p, gap > 0 AS won FROM gp), e AS (SELECT list_distinct([quantile_cont(p, k / 8.0) FOR k IN range(0, 9)]) AS dummy FROM (SELECT 1 AS p) t),
@@ -340,7 +339,7 @@ def g19(spark, d):
 
 @add("g20_wild_reg")
 def g20(spark, d):
-    return rounded(regression.wild_tests(regression.fit_fe(regression.with_spline(panel(spark, d), "x"), "y", ["x", "z1"], "cluster"), DRAWS, 37), 5)
+    return rounded(regression.wild_tests(regression.fit_fe(regression.with_spline(panel(spark, d), "x"), "y", ["x", "z1"], "cluster"), REG, 37), 5)
 
 
 @add("g21_length_curve")
