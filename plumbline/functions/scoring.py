@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,17 +26,21 @@ def score(question: Column, answer: Column, rule: str = "length", coef: float =
     return base + noise(question, answer, size, seed) if size else base
 
 
-def measured(question: Column, answer: Column, separator: str = "[SEP]", limit: int = 512) -> dict[str, Column]:
-    """Token counts of a word-level scorer, whether it would cut the pair, and separators that the answer forges."""
+def measured(question: Column, answer: Column, separator: str = "[SEP]", limit: int = 512, plain: Column | None = None) -> dict[str, Column]:
+    """Token counts of a word-level scorer, whether it would cut the pair, separators that the answer forges (beyond
+    those of the plain answer that it was made from, never less than none), and characters no vocabulary knows."""
     n = word_count(answer)
+    separators = lambda c: F.size(F.split(c, re.escape(separator))) - 1
     return {
         "n_answer_tokens": n,
         "n_tokens": n + word_count(question) + 3,
         "truncated": n + word_count(question) + 3 > limit,
-        "n_sep_in_answer": F.regexp_count(answer, F.lit(r"\[SEP\]")) if separator == "[SEP]" else F.size(F.split(answer, separator)) - 1,
+        "n_sep_in_answer": F.greatest(F.lit(0), separators(answer) - (separators(plain) if plain is not None else 0)),
+        "n_unknown": F.size(F.split(answer, "\ufffd")) - 1,
     }
 
 
 def cache_key(question: Column, answer: Column, model: str = "length", revision: str = "1", form: str = "bare", max_len: int = 512, split_special: bool = False) -> Column:
-    flag = "true" if split_special else "false"
-    return F.sha2(F.concat_ws("|", F.lit(model), F.lit(revision), F.lit(form), F.lit(str(max_len)), F.lit(flag), question, answer).cast("binary"), 256)
+    """SHA-256 of a JSON array: no two requests share one, and a null is not an empty text."""
+    fixed = [model, revision, form, str(max_len), "true" if split_special else "false"]
+    return F.sha2(F.to_json(F.array(*map(F.lit, fixed), question, answer)).cast("binary"), 256)

@@ -28,12 +28,15 @@ def digest(c: Column) -> Column:
 
 
 def uniform(*parts: Column | str | int) -> Column:
-    """A number from 0 to 1 that depends on the parts alone: the hash generator behind all resampling."""
-    return hashed(*parts).cast("double") / F.lit(4294967296.0)
+    """A number from 0 to 1 that depends on the parts alone: the first 8 bytes of their SHA-256 over 2^64."""
+    return F.conv(F.substring(_hex(*parts), 1, 16), 16, 10).cast("double") / F.lit(18446744073709551616.0)
 
 
 def hashed(*parts: Column | str | int) -> Column:
     """32 bits of SHA-256 over the parts, joined by colons, as a long."""
+    return F.conv(F.substring(_hex(*parts), 1, 8), 16, 10).cast("long")
+
+
+def _hex(*parts: Column | str | int) -> Column:
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    joined = F.concat_ws(":", *[c.cast("string") for c in cols])
-    return F.conv(F.substring(F.sha2(joined.cast("binary"), 256), 1, 8), 16, 10).cast("long")
+    return F.sha2(F.concat_ws(":", *[c.cast("string") for c in cols]).cast("binary"), 256)

@@ -14,7 +14,7 @@ A = "a AS (SELECT doc_id, source AS cluster, lang, 'q' || doc_id AS question, co
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 SENT = r"list_filter(string_split(regexp_replace(" + STRIP + r", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> ''))"
-U = "(('0x' || substr(sha256({0}), 1, 8))::BIGINT / 4294967296.0)"
+U = "(('0x' || substr(sha256({0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE)"
 S = f"s AS (SELECT doc_id, answer, {SENT.format('answer')} AS s FROM a)"
 
 
@@ -210,13 +210,15 @@ def c4(spark, d):
     return answers(spark, d).select("doc_id", F.round(scoring.noise(F.col("question"), F.col("answer")), 8).alias("noise"))
 
 
-@add("c7_token_measure", f"WITH {GRID_SQL} SELECT item_id, affix_id, position, {WORDS.format('v')}::BIGINT AS n_answer_tokens, {WORDS.format('v')}::BIGINT + 4 AS n_tokens, {WORDS.format('v')} + 4 > 512 AS truncated, (length(v) - length(replace(v, '[SEP]', ''))) // 5 AS n_sep FROM g")
+@add("c7_token_measure", f"WITH {GRID_SQL} SELECT item_id, affix_id, position, {WORDS.format('v')}::BIGINT AS n_answer_tokens, {WORDS.format('v')}::BIGINT + 4 AS n_tokens, {WORDS.format('v')} + 4 > 512 AS truncated, greatest(0, (length(v) - length(replace(v, '[SEP]', ''))) // 5 - (length(base) - length(replace(base, '[SEP]', ''))) // 5)::BIGINT AS n_sep, len(regexp_extract_all(v, '\ufffd'))::BIGINT AS n_unknown FROM g")
 def c7(spark, d):
-    m = scoring.measured(F.lit("q"), F.col("v"))
-    return grid(spark, d).select("item_id", "affix_id", "position", m["n_answer_tokens"].cast("long").alias("n_answer_tokens"), m["n_tokens"].cast("long").alias("n_tokens"), m["truncated"].alias("truncated"), m["n_sep_in_answer"].cast("long").alias("n_sep"))
+    m = scoring.measured(F.lit("q"), F.col("v"), plain=F.col("base"))
+    return grid(spark, d).select("item_id", "affix_id", "position", m["n_answer_tokens"].cast("long").alias("n_answer_tokens"), m["n_tokens"].cast("long").alias("n_tokens"), m["truncated"].alias("truncated"), m["n_sep_in_answer"].cast("long").alias("n_sep"), m["n_unknown"].cast("long").alias("n_unknown"))
 
 
-KEY = "sha256('length|1|bare|512|false|q|' || answer)"
+#: What JSON writes for a text: quoted, with escapes as the key's writer makes them.
+JSON = "to_json({0})"
+KEY = "sha256('[\"length\",\"1\",\"bare\",\"512\",\"false\",\"q\",' || " + JSON.format("answer") + " || ']')"
 
 
 @add("c8_cache_anti_join", f"WITH {A}, k AS (SELECT doc_id, {KEY} AS key, answer FROM a), cache AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0) SELECT key, round({WORDS.format('any_value(answer)')} * 0.01::DOUBLE, 6) AS score, count(*) AS asked FROM k ANTI JOIN cache USING (key) GROUP BY key")
@@ -240,6 +242,6 @@ def a9(spark, d):
     return upsert(c.where("version < 2"), c.where("version >= 2"), "key", "version")
 
 
-@add("a10_cache_key", "SELECT conv_id, turn, sha256('length|1|bare|512|false|' || coalesce(role, '') || '|' || coalesce(text, '')) AS key FROM conversations")
+@add("a10_cache_key", f"SELECT conv_id, turn, sha256('[\"length\",\"1\",\"bare\",\"512\",\"false\",' || coalesce({JSON.format('role')}, 'null') || ',' || coalesce({JSON.format('text')}, 'null') || ']') AS key FROM conversations")
 def a10(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", scoring.cache_key(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("key"))
+    return table(spark, d, "conversations").select("conv_id", "turn", scoring.cache_key(F.col("role"), F.col("text")).alias("key"))

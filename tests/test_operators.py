@@ -132,3 +132,86 @@ def test_stream_scores_each_text_once(spark, tmp_path):
         score_stream(spark, str(tmp_path / "in"), schema, str(tmp_path / "cache"), str(tmp_path / "cp"), lambda q, a: scoring.score(q, a)).awaitTermination()
         got = spark.read.parquet(str(tmp_path / "cache")).collect()
         assert sorted(r["score"] for r in got) == [[0.02], [0.01, 0.02]][i]
+
+
+def test_cache_keys_never_collide(spark):
+    x = frame(spark, [("a|b", "c"), ("a", "b|c"), ("a", None), ("a", ""), ('a","b', "c"), ("a", 'b","c')], "q string, a string")
+    keys = [r[0] for r in x.select(scoring.cache_key(F.col("q"), F.col("a"))).collect()]
+    assert len(set(keys)) == len(keys)
+    other = [r[0] for r in x.select(scoring.cache_key(F.col("q"), F.col("a"), model="other")).collect()]
+    assert not set(keys) & set(other)
+
+
+def test_scorers_share_a_cache_without_sharing_scores(spark, tmp_path):
+    frame(spark, [("q", "a b")], "question string, answer string").write.parquet(str(tmp_path / "in"))
+    for i, coef in enumerate((0.01, 0.5)):
+        score_stream(spark, str(tmp_path / "in"), "question string, answer string", str(tmp_path / "cache"), str(tmp_path / f"cp{i}"), lambda q, a: scoring.score(q, a, coef=coef), model=f"m{i}").awaitTermination()
+    assert sorted(r["score"] for r in spark.read.parquet(str(tmp_path / "cache")).collect()) == [0.02, 1.0]
+
+
+def test_forged_separators_count_beyond_the_plain_answer(spark):
+    x = frame(spark, [("a [SEP] b [SEP]", "a [SEP] b"), ("a", "a [SEP]"), ("[SEP]", "x")], "v string, base string")
+    assert [r[0] for r in x.select(scoring.measured(F.lit("q"), F.col("v"), plain=F.col("base"))["n_sep_in_answer"]).collect()] == [1, 0, 1]
+
+
+@pytest.mark.parametrize("k, n", [(0, 0), (1, 1), (3, 7), (7, 7), (60, 100), (40, 100), (5200, 10_000), (500_600, 1_000_000)])
+def test_binomial_tail(k, n):
+    from math import comb, erfc, sqrt
+
+    got = resampling.binomial_tail(k, n)
+    if n <= 10_000:
+        assert got == pytest.approx(sum(comb(n, i) for i in range(k, n + 1)) / 2**n, rel=1e-9)
+    else:
+        assert got == pytest.approx(erfc((k - 0.5 - n / 2) / sqrt(n / 2)) / 2, rel=1e-3)
+
+
+@pytest.mark.parametrize("two_sided", [True, False])
+def test_signed_ranks_of_few_values_are_exact(spark, two_sided):
+    import itertools
+
+    v = [3.0, -1.0, 4.5, 2.0, -0.5, 6.0, 7.0]
+    rank = {x: i + 1 for i, x in enumerate(sorted(map(abs, v)))}
+    w = sum(rank[abs(x)] for x in v if x > 0)
+    all_w = [sum(r for r, s in zip(range(1, 8), signs) if s) for signs in itertools.product((0, 1), repeat=7)]
+    upper, lower = np.mean([x >= w for x in all_w]), np.mean([x <= w for x in all_w])
+    got = resampling.wilcoxon(frame(spark, [(x,) for x in [*v, 0.0]], "delta double"), "delta", two_sided=two_sided).first()
+    assert (got["n"], got["w"]) == (7, w) and got["p"] == pytest.approx(min(1, 2 * min(upper, lower)) if two_sided else upper)
+
+
+def test_bca_matches_a_plain_one(spark):
+    """The same draws in numpy: shares, leave-one-out acceleration and percentiles."""
+    import hashlib
+    from statistics import NormalDist
+
+    x = clustered(spark, 0.4)
+    s = resampling.cluster_sums(x, "cluster", "delta")
+    got = resampling.bca_interval(s, 400, 3).first()
+    rows = sorted((r["cluster"], r["s"], r["n"]) for r in s.collect())
+    a, n, g = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), len(rows)
+    pick = np.array([[int(hashlib.sha256(f"3:{b}:{j}".encode()).hexdigest()[:8], 16) % g for j in range(g)] for b in range(400)])
+    draws, obs = a[pick].sum(1) / n[pick].sum(1), a.sum() / n.sum()
+    jack = (a.sum() - a) / (n.sum() - n)
+    d = jack.mean() - jack
+    accel, nd = (d**3).sum() / (6 * (d**2).sum() ** 1.5), NormalDist()
+    z0 = nd.inv_cdf((draws < obs).mean())
+    level = lambda q: 100 * nd.cdf(z0 + (z0 + nd.inv_cdf(q)) / (1 - accel * (z0 + nd.inv_cdf(q))))
+    assert (got["z0"], got["accel"]) == pytest.approx((z0, accel)) and (got["lo"], got["hi"]) == pytest.approx((np.percentile(draws, level(0.025)), np.percentile(draws, level(0.975))))
+
+
+def test_contrasts_by_name_equal_each_alone_and_degenerate_ones_are_defined(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, g, float(rng.normal(m, 1))) for k, m in (("a", 0.0), ("b", 1.0)) for g in range(12) for _ in range(3)] + [("zero", g, 0.0) for g in range(4)] + [("one", 0, 1.5), ("one", 0, 2.5)]
+    x = frame(spark, rows, "name string, cluster int, delta double")
+    got = {r["name"]: r.asDict() for r in resampling.paired_contrast(x, 200, 5, "name").collect()}
+    alone = resampling.paired_contrast(x.where("name = 'b'").drop("name"), 200, 5).first().asDict()
+    assert {k: v for k, v in got["b"].items() if k != "name"} == pytest.approx(alone)
+    assert got["b"]["ci_low"] < got["b"]["mean_delta"] < got["b"]["ci_high"] and got["b"]["p_sign"] < 0.01 < got["a"]["p_sign"]
+    assert (got["zero"]["p_sign"], got["zero"]["p_wilcoxon"], got["zero"]["win_rate"], got["zero"]["ci_low"]) == (1.0, 1.0, 0.5, 0.0)
+    assert (got["one"]["ci_low"], got["one"]["ci_high"], got["one"]["n_clusters"]) == (2.0, 2.0, 1)
+
+
+def test_within_template_sees_a_planted_level(spark):
+    rng = np.random.default_rng(10)
+    cells = lambda shift: frame(spark, [(t, l, float(5 * t + rng.normal() + shift * (l == 2))) for t in range(12) for l in range(5)], "template int, level int, score double")
+    p = [resampling.within_template(cells(s), 199, 3).first()["p"] for s in (0.0, 3.0)]
+    assert p[1] <= 0.01 < p[0]
