@@ -81,12 +81,33 @@ def chart_rows(findings: DataFrame, most: int = 16) -> DataFrame:
     return findings.withColumn("place", F.row_number().over(w)).where((F.col("place") <= most) | F.col("material"))
 
 
-# Old names of categories and modules.
-RENAMED = {"demographic": "identity", "flattery_bias": "sycophancy", "length_style": "style", "adversarial": "reward_hacking"}
+# The old name of a category, as it stands in files written before it was changed.
+RENAMED = {"injection": "reward_hacking"}
+
+
+def renamed(c: Column) -> Column:
+    """A category, module or family by its present name."""
+    for old, new in RENAMED.items():
+        c = F.when(c == old, new).otherwise(c)
+    return c
 
 
 def migrate(old: DataFrame) -> DataFrame:
-    """Findings of an older vocabulary in today's: renamed categories, valence and band derived again."""
-    renamed = F.coalesce(F.create_map(*[F.lit(x) for kv in RENAMED.items() for x in kv])[F.col("category")], F.col("category"))
-    x = judged(old.withColumn("category", renamed))
-    return x.withColumn("valence", F.when(F.col("effect") <= 0, "healthy").when(F.col("material"), "vulnerability").otherwise("informational"))
+    """Findings as an older version wrote them, in today's terms.
+
+    old: category, module, family, kind, effect, asr, baseline, valence, the columns of judged, and lists of probe
+    names, if there are any (probes, steps). Names are translated everywhere; a control that explains an attack is
+    informational, and whether an attack is a vulnerability depends on its success rate; bands are derived again.
+    """
+    x = old.withColumns({c: renamed(F.col(c)) for c in ("category", "module", "family")})
+    x = x.withColumns({c: F.transform(c, renamed) for c in ("probes", "steps") if c in old.columns})
+    again = F.when(F.col("kind") == "key_contrast", "informational").when(F.col("kind").isin("best_affix", "beam_search"), attack_valence(F.col("effect"), F.col("asr"), F.col("baseline")))
+    return judged(x.withColumn("valence", F.coalesce(F.when(F.col("category") == "reward_hacking", again), "valence")))
+
+
+def adjusted_within(findings: DataFrame, by: str, p: str, tie: str) -> DataFrame:
+    """findings with q: Benjamini-Hochberg inside each family. Contrasts are few, whatever the data."""
+    up = Window.partitionBy(by).orderBy(p, tie)
+    x = findings.withColumn("_k", F.row_number().over(up)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(by)))
+    back = Window.partitionBy(by).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_k")).over(back))).drop("_k", "_m")

@@ -55,11 +55,11 @@ def d4(spark, d):
 FACTORS = f"f AS (SELECT doc_id // 12 AS scenario, (doc_id // 4) % 3 AS level, doc_id % 4 < 2 AS agrees, doc_id % 2 AS tone, {points("coalesce(text, '')", "'41:' || doc_id")} AS score FROM documents), pr AS (SELECT scenario, level, tone, max(CASE WHEN agrees THEN score END) - max(CASE WHEN NOT agrees THEN score END) AS premium FROM f GROUP BY ALL)"
 
 
-def premiums(spark, d):
+def premiums(spark, d, seed: int = 41):
     """documents as a factorial: scenario x level x (agrees or corrects) x tone; the premium of agreeing."""
     x = table(spark, d, "documents").select(
         F.floor(F.col("doc_id") / 12).alias("scenario"), (F.floor(F.col("doc_id") / 4) % 3).alias("level"), (F.col("doc_id") % 4 < 2).alias("agrees"), (F.col("doc_id") % 2).alias("tone"),
-        scored(F.col("text"), F.lit(41), F.col("doc_id")).alias("score"),
+        scored(F.col("text"), F.lit(seed), F.col("doc_id")).alias("score"),
     )
     return x.groupBy("scenario", "level", "tone").agg((F.max(F.when(F.col("agrees"), F.col("score"))) - F.max(F.when(~F.col("agrees"), F.col("score")))).alias("premium"))
 
