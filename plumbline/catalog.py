@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "g9_paired_contrast"
-PLANS = ("stimuli", "joins", "inference", "findings")
+PLANS = ("stimuli", "joins", "inference", "findings", "reports")
 
 
 def _plans():

@@ -14,6 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Quantiles of the knots, by their number.
+KNOTS = {
+    3: (0.10, 0.50, 0.90),
+    4: (0.05, 0.35, 0.65, 0.95),
+    5: (0.05, 0.275, 0.50, 0.725, 0.95),
+    6: (0.05, 0.23, 0.41, 0.59, 0.77, 0.95),
+}
+
+
 def knots(df: DataFrame, x: str, at: tuple[float, ...] = (0.1, 0.5, 0.9)) -> list[float]:
     """Different exact quantiles, ascending."""
     found = df.agg(F.percentile(x, F.array(*map(F.lit, at)))).first()[0]
@@ -78,6 +87,16 @@ def fit_fe(df: DataFrame, y: str, xs: list[str], cluster: str) -> Fit:
     return Fit(df.sparkSession.createDataFrame(rows, "term string, coef double, se double, se_cr0 double"), xs, beta, se, moments, inverse)
 
 
+def within_r2(df: DataFrame, y: str, xs: list[str], cluster: str) -> DataFrame:
+    """One row (r2): the share of y's spread inside clusters that the fit explains; 0 where there is none."""
+    fit = fit_fe(df, y, xs, cluster)
+    mean = df.agg(F.avg(y)).first()[0]
+    d = df.select(F.col(cluster).alias("cluster"), (F.col(y) - F.lit(mean)).alias("y"))
+    total = d.groupBy("cluster").agg((F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / F.count(F.lit(1))).alias("s")).agg(F.sum("s")).first()[0] or 0.0
+    gained = float(fit.beta @ np.linalg.pinv(fit.inverse) @ fit.beta)
+    return df.sparkSession.createDataFrame([(gained / total if total > 0 else 0.0,)], "r2 double")
+
+
 def wild_tests(fit: Fit, draws: int, seed: int) -> DataFrame:
     """(term, t, p): restricted wild cluster bootstrap of each coefficient being zero.
 
