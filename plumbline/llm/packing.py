@@ -50,18 +50,20 @@ class WordTokenizer:
     """Token ids of whole texts, as little-endian 32-bit bytes, equal to those of the tokenizer file.
 
     Its pre-tokens never depend on each other, so each different one is encoded once, by the file's own merge model,
-    and kept. The cache is emptied when it is full, so memory is bounded whatever the texts. Texts with other than
+    and kept. There are two caches of bounded size: a full one becomes the old one, from which pre-tokens that are met
+    again come back, so memory is bounded whatever the texts and frequent ones stay. Texts with other than
     plain characters, or with a special token's string, go through the whole tokenizer; so do all texts if the file
     at hand doesn't agree on PROBES, as one with other pre-tokens will not.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.merges = Tokenizer(self.tokenizer.model)  # the merge model alone
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.in_parts = True
         self.in_parts = all(self.encode(x) == self._whole(x) for x in PROBES)
 
@@ -70,6 +72,9 @@ class WordTokenizer:
 
     def _learn(self, parts: list[str]) -> None:
         for p in parts:  # one by one: starting threads costs more than so short a text
+            if p in self.old:
+                self.known[p] = self.old[p]
+                continue
             mapped = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)
             ids = self.merges.encode(mapped, add_special_tokens=False).ids
             self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
@@ -84,7 +89,7 @@ class WordTokenizer:
             return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
             if len(self.known) > self.most:
-                self.known.clear()
+                self.known, self.old = {}, self.known
             self._learn([p for p in set(parts) if p not in self.known])
             return b"".join(map(self.known.__getitem__, parts))
 
