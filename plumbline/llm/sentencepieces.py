@@ -77,9 +77,13 @@ class PieceModel:
             elif number == 2:
                 t = dict(fields(value))
                 m.kind, m.byte_fallback = t.get(3, UNIGRAM), bool(t.get(35, 0))
+                if t.get(24, 0):
+                    raise ValueError("white space as a suffix is not supported")
             elif number == 3:
                 n = dict(fields(value))
                 m.charsmap, m.dummy_prefix, m.squeeze = n.get(2, b""), bool(n.get(3, 1)), bool(n.get(4, 1))
+                if not n.get(5, 1):
+                    raise ValueError("white space without its marker is not supported")
         return m
 
     def backend(self):
@@ -140,6 +144,8 @@ class Encoder:
         return [b"".join([known[u] for u in units]) for units in split]
 
     def decode(self, ids: np.ndarray) -> str:
+        if len(ids) and ids.min() < 0:
+            raise IndexError("negative id")
         raw = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return raw[1:] if self.model.dummy_prefix and raw.startswith(" ") else raw
 

@@ -617,6 +617,17 @@ def test_ids_equal_the_sentencepiece_library(spark):
     assert all(back[i] == (t or "") for i, t in texts)
 
 
+def test_what_is_not_supported_raises():
+    encoder = sentencepieces.Encoder(sentencepieces.model_path())
+    for ids in ([-1], [10**7]):
+        with pytest.raises(IndexError):
+            encoder.decode(np.array(ids))
+    assert encoder.decode(np.array([], np.int64)) == ""
+    for raw in (bytes([0x12, 3, 0xC0, 1, 1]), bytes([0x1A, 2, 0x28, 0])):  # a suffix marker; no marker
+        with pytest.raises(ValueError):
+            sentencepieces.PieceModel.parse(raw)
+
+
 def varint(n):
     out = b""
     while n > 127:
