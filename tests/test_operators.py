@@ -215,3 +215,65 @@ def test_within_template_sees_a_planted_level(spark):
     cells = lambda shift: frame(spark, [(t, l, float(5 * t + rng.normal() + shift * (l == 2))) for t in range(12) for l in range(5)], "template int, level int, score double")
     p = [resampling.within_template(cells(s), 199, 3).first()["p"] for s in (0.0, 3.0)]
     assert p[1] <= 0.01 < p[0]
+
+
+def test_nfkd_and_word_diff(spark):
+    import unicodedata
+
+    from plumbline.plans.joins import word_diff
+
+    texts = ["ﬁ Ⅷ ²", "é é", "", "plain", None, "ａｂｃ　x", "①½™"]
+    got = [r[0] for r in frame(spark, [(t,) for t in texts], "t string").select(stimuli.nfkd("t")).collect()]
+    assert got == [None if t is None else unicodedata.normalize("NFKD", t) for t in texts]
+    pairs = [("a b c", "a x c"), ("a b", "a b"), ("", "new <b>"), ("a & b", ""), (None, "x"), ("one two", "one two three")]
+    got = [r[0] for r in frame(spark, pairs, "a string, b string").select(word_diff("a", "b")).collect()]
+    assert got == ["a <del>b</del> <ins>x</ins> c", "a b", "<ins>new &lt;b&gt;</ins>", "<del>a &amp; b</del>", "<ins>x</ins>", "one two <ins>three</ins>"]
+
+
+def panel_rows(seed=11, clusters=12, each=8):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(clusters):
+        for _ in range(each):
+            x, z = rng.uniform(0, 50), rng.normal()
+            rows.append((g, float(x), float(z), float(3 * g + 0.1 * x + rng.normal(0, 2) * (1 + g / 4))))
+    return rows
+
+
+def test_wild_regression_matches_refits(spark):
+    """The same signs, every draw refitted from full matrices."""
+    rows = panel_rows()
+    fit = regression.fit_fe(frame(spark, rows, "g int, x double, z double, y double"), "y", ["x", "z"], "g")
+    got = {r["term"]: r for r in regression.wild_tests(fit, 150, 5).collect()}
+    g, x, y = np.array([r[0] for r in rows]), np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
+    for k in set(g):
+        x[g == k] -= x[g == k].mean(0)
+        y[g == k] -= y[g == k].mean()
+    inverse = np.linalg.inv(x.T @ x)
+    signs = {k: np.random.default_rng([5, int(k)]).integers(0, 2, 150) * 2 - 1 for k in set(g)}
+    for j, name in enumerate(("x", "z")):
+        other = 1 - j
+        b = np.zeros(2)
+        b[other] = (x[:, other] @ y) / (x[:, other] @ x[:, other])
+        u, hits = y - x @ b, 0
+        for d in range(150):
+            star = x @ b + u * np.array([signs[k][d] for k in g])
+            beta = inverse @ (x.T @ star)
+            e = star - x @ beta
+            meat = sum(np.outer(v, v) for v in (x[g == k].T @ e[g == k] for k in set(g)))
+            hits += abs(beta[j]) / np.sqrt((inverse @ meat @ inverse)[j, j]) >= abs(got[name]["t"]) - 1e-9
+        assert got[name]["p"] == pytest.approx((1 + hits) / 151)
+
+
+def test_length_curve_is_the_spline_itself(spark):
+    rows = panel_rows(12)
+    df = regression.with_spline(frame(spark, rows, "g int, x double, z double, y double"), "x")
+    fit = regression.fit_fe(df, "y", ["x", "z1"], "g")
+    curve = regression.length_curve(df, fit, "x").collect()
+    x = np.array([r[1] for r in rows])
+    a, b, c = np.quantile(x, [0.1, 0.5, 0.9])
+    cube = lambda v, t: np.maximum(v - t, 0) ** 3
+    f = lambda v: fit.beta[0] * v + fit.beta[1] * (cube(v, a) - cube(v, b) * (c - a) / (c - b) + cube(v, c) * (b - a) / (c - b)) / (c - a) ** 2
+    grid, h = np.linspace(x.min(), x.max(), 40), max(1.0, (x.max() - x.min()) / 200)
+    assert np.allclose([r["tokens"] for r in curve], grid) and np.allclose([r["reward"] for r in curve], f(grid) - f(grid[0]))
+    assert np.allclose([r["slope_per_100"] for r in curve], (f(grid + h) - f(grid - h)) / (2 * h) * 100)
