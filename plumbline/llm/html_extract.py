@@ -211,12 +211,13 @@ def parse(html: str | None) -> Tree:
                 shut = tag + 1 if html.startswith("<!-->", tag) else html.find("-->", tag + 4)
                 at = end if shut < 0 else html.find(">", shut) + 1
                 continue
-            shut = html.find("]]>", tag) if html.startswith("<![CDATA[", tag) and "]]>" not in reader.missing else -1
-            if shut >= 0:
-                say(html[tag + 9 : shut].replace("&", "&amp;"))
-                at = shut + 3
-                continue
-            reader.missing.add("]]>" if html.startswith("<![CDATA[", tag) else "")
+            if html.startswith("<![CDATA[", tag) and "]]>" not in reader.missing:
+                shut = html.find("]]>", tag)
+                if shut >= 0:
+                    say(html[tag + 9 : shut].replace("&", "&amp;"))
+                    at = shut + 3
+                    continue
+                reader.missing.add("]]>")
             shut = html.find(">", tag)
             at = end if shut < 0 else shut + 1
             continue
@@ -468,7 +469,8 @@ def extract_text(pages: DataFrame, fit_pages: int = 400, fit_chars: int = 200_00
     """pages without html and with text (empty if there is none) and n_chars: one row per row of pages.
 
     Whole pages are read; a null page gives an empty text. All other columns are kept (columns named text or
-    n_chars are replaced); repeated rows get the same text; an empty table gives an empty result. The model learns
+    n_chars are replaced); repeated rows get the same text, rows with a null id theirs; an empty table gives an empty
+    result. The model learns
     from about fit_pages pages at most (a bounded sample, by the hash of their id) of at most fit_chars characters;
     pages that mark no article teach nothing, and without any that does the stated weights are used.
     """
