@@ -15,6 +15,8 @@ from plumbline.llm import exact_dedup, near_dedup, packing, quality, secrets
 from plumbline.llm.common import member_filter, materialize, table
 
 MOST_FILTER_BITS = 1 << 28
+#: A column of the stages' own, whose name no documents have.
+SHA = "_pipeline_sha"
 
 
 def _sha() -> Column:
@@ -28,10 +30,10 @@ def _apart(docs: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame,
     """
     keys = keys.select(F.xxhash64(*on).alias("_key")).distinct()
     bits = min(MOST_FILTER_BITS, max(1 << 16, 1 << (32 * keys.count()).bit_length()))
-    words = materialize(member_filter(keys, "_key", bits), "filter").select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))
+    words = materialize(member_filter(keys, "_key", bits), "filter").select(F.col("word").alias("_pipeline_word"), F.col("mask").alias("_pipeline_mask"))
     place = F.pmod(F.xxhash64(F.xxhash64(*on)), F.lit(bits).cast("long"))
-    marked = docs.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(words), "_word", "left")
-    hit = F.coalesce(F.getbit("_mask", (place % 64).cast("int")) == 1, F.lit(False))
+    marked = docs.withColumn("_pipeline_word", F.shiftright(place, 6)).join(F.broadcast(words), "_pipeline_word", "left")
+    hit = F.coalesce(F.getbit("_pipeline_mask", (place % 64).cast("int")) == 1, F.lit(False))
     return marked.where(~hit).select(*docs.columns), marked.where(hit).select(*docs.columns)
 
 
@@ -51,19 +53,19 @@ def _without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go, by their own text: a null text is scored as an empty one,
     rows with a null id or a repeated id each have their own verdict, and equal rows share it. Empty in, empty out."""
-    rows = docs.withColumn("sha", _sha())
-    scored = quality.quality_scores(rows, table(spark, sf_dir, "labels"), carry=("sha",))
-    return _without(rows, scored.where("predicted = 0"), ["doc_id", "sha"]).select(*docs.columns)
+    rows = docs.withColumn(SHA, _sha())
+    scored = quality.quality_scores(rows, table(spark, sf_dir, "labels"), carry=(SHA,))
+    return _without(rows, scored.where("predicted = 0"), ["doc_id", SHA]).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (null counts as empty), one row with the largest id stays. A null id stays only where no row with
     the text has an id, and then once; rows that repeat id and text stay once. Empty in, empty out."""
-    rows = docs.withColumn("sha", _sha())
-    groups = materialize(exact_dedup.exact_duplicates(docs).where("group_size > 1").select("doc_id", F.col("text_sha256").alias("sha"), (F.col("kept") | F.col("keep_id").isNull()).alias("stays")).distinct(), "groups")
-    alone, repeated = _apart(rows, groups, ["sha"])
-    gone = groups.where("not stays").select(F.col("doc_id").alias("_doc_id"), F.col("sha").alias("_sha"))
-    once = repeated.join(gone, _same(repeated, gone, ["doc_id", "sha"]), "left_anti").dropDuplicates(["doc_id", "sha"])
+    rows = docs.withColumn(SHA, _sha())
+    groups = materialize(exact_dedup.exact_duplicates(docs).where("group_size > 1").select("doc_id", F.col("text_sha256").alias(SHA), (F.col("kept") | F.col("keep_id").isNull()).alias("stays")).distinct(), "groups")
+    alone, repeated = _apart(rows, groups, [SHA])
+    gone = groups.where("not stays").select(F.col("doc_id").alias("_doc_id"), F.col(SHA).alias("_" + SHA))
+    once = repeated.join(gone, _same(repeated, gone, ["doc_id", SHA]), "left_anti").dropDuplicates(["doc_id", SHA])
     return alone.unionByName(once).select(*docs.columns)
 
 
@@ -75,8 +77,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; every row stays, and n_chars follows its text. A null text stays null."""
-    masked = secrets.redact(secrets.find_secrets(docs))
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own = docs.withColumnRenamed("spans", "_pipeline_spans")  # the scan has a column of that name
+    masked = secrets.redact(secrets.find_secrets(own)).withColumn("n_chars", F.length("text").cast("long"))
+    return masked.withColumnRenamed("_pipeline_spans", "spans").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -785,9 +785,12 @@ def test_pipeline_stages_on_odd_rows(spark):
     near = got(corpus_pipeline.near_stage(spark, frame(rows), MID))
     assert (6, words(80, 1) + " more") not in near and (5, words(80, 2)) in near and near.count((None, "lone text")) == 2 and (2, "same words here") not in near
     kept = got(corpus_pipeline.quality_stage(spark, frame(rows), MID))
-    score = {(r["doc_id"], r["sha"]): r["predicted"] for r in quality.quality_scores(frame(rows).withColumn("sha", corpus_pipeline._sha()), spark.read.parquet(f"{MID}/labels.parquet"), carry=("sha",)).collect()}
+    score = {(r["doc_id"], r[corpus_pipeline.SHA]): r["predicted"] for r in quality.quality_scores(frame(rows).withColumn(corpus_pipeline.SHA, corpus_pipeline._sha()), spark.read.parquet(f"{MID}/labels.parquet"), carry=(corpus_pipeline.SHA,)).collect()}
     assert kept == sorted(((i, t) for i, t in rows if score[i, hashlib.sha256((t or "").encode()).hexdigest()]), key=str)
     assert len(got(corpus_pipeline.secrets_stage(spark, frame(rows), MID))) == len(rows)
     assert corpus_pipeline.packing_stage(spark, frame(rows), MID).select("doc_id").distinct().count() == 8
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame([]), MID).count() == 0
+    named = frame(rows[:5]).withColumns({c: F.lit("mine") for c in ("sha", "_word", "mask", "score", "spans", "key")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert all(r[c] == "mine" for r in stage(spark, named, MID).collect() for c in ("sha", "_word", "mask", "score", "spans", "key"))
