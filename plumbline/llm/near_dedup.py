@@ -255,14 +255,14 @@ def _prefix_neighbours(members: DataFrame, classes: DataFrame, total: int) -> Da
     order = F.transform(F.sequence(F.lit(DEPTH), F.lit(4 * DEPTH - 1)), lambda i: F.get("sig", (F.col("tree") * DEPTH + i) % HASHES))
     rows = members.join(classes.select("rep", "sig"), "rep").select("rep", F.col("region").alias("part"), F.col("company").alias("n"), order.alias("next"))
     done = rows.where(F.col("n") <= SMALL).select("rep", "part", "next")
-    rows = materialize(rows.where(F.col("n") > SMALL), "crowded")
-    for level in range(3):
-        rows = rows.select("rep", F.xxhash64("part", F.slice("next", level * DEPTH + 1, DEPTH)).alias("part"), "next")
-        sizes = materialize(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        rows = materialize(join_hot(rows, sizes, "part", "n", max(1, total)), "deeper")
-        done = done.unionByName(rows.where(F.col("n") <= SMALL).select("rep", "part", "next"))
-        rows = rows.where(F.col("n") > SMALL)
-    dealt = rows.select("rep", F.xxhash64("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SMALL))).alias("part"), "next")
+    # each crowded class under its deeper prefixes: the first that few share is its part, else the deepest, dealt out
+    deeper = F.array(*[F.struct(F.lit(k).alias("level"), F.xxhash64("part", F.slice("next", 1, k * DEPTH)).alias("key")) for k in (1, 2, 3)])
+    crowded = rows.where(F.col("n") > SMALL).select("rep", "part", "next", F.inline(deeper))
+    sizes = materialize(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    placed = join_hot(crowded, sizes, "key", "n", max(1, 3 * total))
+    few = F.col("n") <= SMALL
+    best = placed.groupBy("rep", "part").agg(F.min_by(F.struct("key", "n", "next"), F.when(few, F.col("level")).otherwise(10 - F.col("level"))).alias("b")).select("rep", "b.*")
+    dealt = best.select("rep", F.when(few, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SMALL)))).alias("part"), "next")
     after = F.lead("rep").over(Window.partitionBy("part").orderBy("next", "rep"))
     pairs = done.unionByName(dealt).select("rep", after.alias("other")).where(F.col("other").isNotNull())
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()

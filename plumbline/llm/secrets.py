@@ -298,7 +298,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
 
 
-def fit(texts: list[str], spans: list[list[tuple[int, int, int]]], window: int = 48, rounds: int = 60, penalty: float = 0.05, most: int = 8_000, seed: int = 9) -> SecretModel:
+def fit(texts: list[str], spans: list[list[tuple[int, int, int]]], window: int = 48, rounds: int = 60, penalty: float = 0.05, most: int = 3_000, seed: int = 9) -> SecretModel:
     """Fit to windows of the texts, short texts and ends of texts included: `most` of them, evenly chosen, at most.
 
     Those that hold a secret come first, and as many others as there is room for.
@@ -365,7 +365,7 @@ def find_secrets(docs: DataFrame, fit_rows: int = 1_500, fit_chars: int = 100_00
     A null text counts as empty and has no spans. All rows and columns of docs are kept (a column named spans is
     replaced); repeated rows get the same spans; an empty table gives an empty result. The field learns from about
     fit_rows documents with and fit_rows without a match of the rules at most (bounded samples, by the hash of
-    their id), of at most fit_chars characters each, and from 8,000 windows of their tokens at most; without any
+    their id), of at most fit_chars characters each, and from 3,000 windows of their tokens at most; without any
     match it adds nothing.
     """
 
