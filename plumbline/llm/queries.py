@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, secrets, sentencepieces, toxicity
+from . import ann, conversations, divergence, exact_dedup, html_extract, line_dedup, near_dedup, packing, quality, secrets, sentencepieces, substring_dedup, toxicity
 from .common import table
 
 
@@ -51,9 +51,22 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_line_dedup, op4_sentencepiece, op5_secrets, op6_exact_dedup, op7_near_dedup, op8_packing, op9_quality, op10_html)}
+    return {f.__name__: f for f in (op1_ann, op2_toxicity, op3_line_dedup, op4_sentencepiece, op5_secrets, op6_exact_dedup, op7_near_dedup, op8_packing, op9_quality, op10_html, op11_substring_dedup, op12_conversation_repair, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op11_substring_dedup": substring_dedup.ORACLE, "op13_source_divergence": divergence.ORACLE}
