@@ -2,12 +2,14 @@
 
 All mean-type statistics need only the sum and the number of rows of each (contrast, cluster), so rows are
 aggregated to those first, and only then multiplied by draws. Draws come from a hash, so results depend neither on
-partitioning nor on order. What reaches one task or the driver is bounded by the number of draws, of contrasts or of
-stated buckets, never by rows or clusters.
+partitioning nor on order. They are made in blocks inside tasks (`draws`), so that no row of (draw, cluster) is
+shuffled. What reaches one task or the driver is bounded by the number of draws, of contrasts or of stated buckets, or
+by `draws.MOST_UNITS` numbers of a group.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from statistics import NormalDist
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hashed
 from ..sources.tables import written
+from . import draws as D
 
 
 def cluster_sums(df: DataFrame, cluster: str, value: str, *by: str) -> DataFrame:
@@ -54,16 +57,66 @@ def numbered(sums: DataFrame, *by: str) -> DataFrame:
     return x.withColumn("ix", (F.col("_at") - F.col("_first")).cast("int")).drop("_at", "_first")
 
 
-def bootstrap_means(n: DataFrame, draws: int, seed: int, *by: str) -> DataFrame:
-    """(*by, b, m): means of clusters drawn with replacement, all rows of a cluster together. n: numbered sums.
+def _largest(df: DataFrame, *by: str) -> int:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
-    Every cluster's row stands for one slot of each draw, so the slots are made where the clusters are.
+
+def bootstrap_means(sums: DataFrame, draws: int, seed: int, *by: str) -> DataFrame:
+    """(*by, b, m): means of clusters drawn with replacement, all rows of a cluster together.
+
+    Slot j of draw b takes the cluster whose place in order is the hash of (seed, b, j) modulo their number.
     """
+    sums = written(sums, "sums")
+    if _largest(sums, *by) > D.MOST_UNITS:
+        return _bootstrap_means_of_many(numbered(sums, *by), draws, seed, *by)
+    c = F.col("c")
+    groups = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cluster", "s", "n"))).alias("c")).select(*by, c["s"].alias("s"), c["n"].alias("n"))
+
+    def one(r: dict, b: int) -> list[tuple]:
+        picked = D.hashes(f"{seed}:{b}:", _numbers(len(r["s"]))) % len(r["s"])
+        return [(float(r["s"][picked].sum() / r["n"][picked].sum()),)]
+
+    return D.per_draw(groups, draws, one, "m double", list(by))
+
+
+@functools.lru_cache(2)
+def _numbers(n: int) -> list[bytes]:
+    return [str(j).encode() for j in range(n)]
+
+
+def _bootstrap_means_of_many(n: DataFrame, draws: int, seed: int, *by: str) -> DataFrame:
+    """bootstrap_means of numbered sums whose groups are too large for arrays: every cluster's row stands for one slot
+    of each draw, so the slots are made where the clusters are."""
     slots = n.select(*by, "g", F.col("ix").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     picked = slots.select(*by, "b", (hashed(F.lit(seed), F.col("b"), F.col("j")) % F.col("g")).cast("int").alias("ix"))
     return picked.join(n.select(*by, "ix", "s", "n"), [*by, "ix"]).groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("m"))
 
 
+def bootstrap_medians(counts: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(b, m): medians of clusters drawn with replacement. counts: cluster, v and c, how often the cluster has v.
+
+    Values are counted in their clusters, and a draw weighs the counts, so no draw holds its rows.
+    """
+    counts = written(counts.select("cluster", F.col("v").cast("double").alias("v"), "c"), "counts")
+    clusters = numbered(counts.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
+    rows = counts.join(clusters.select("cluster", "ix", "g"), "cluster")
+    if counts.count() > D.MOST_UNITS:
+        slots = clusters.select("g", F.col("ix").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+        w = slots.select("b", (hashed(F.lit(seed), F.col("b"), F.col("j")) % F.col("g")).cast("int").alias("ix")).groupBy("b", "ix").agg(F.count(F.lit(1)).alias("w"))
+        x = w.join(rows, "ix").groupBy("b", "v").agg(F.sum(F.col("w") * F.col("c")).alias("n"))
+        return x.groupBy("b").agg(F.percentile("v", 0.5, F.col("n")).alias("m"))
+    c = F.col("c")
+    group = rows.agg(F.array_sort(F.collect_list(F.struct("v", "ix", "c"))).alias("c"), F.max("g").alias("g")).select("g", c["v"].alias("v"), c["ix"].alias("ix"), c["c"].alias("c"))
+
+    def one(r: dict, b: int) -> list[tuple]:
+        times = np.bincount(D.hashes(f"{seed}:{b}:", _numbers(r["g"])) % r["g"], minlength=r["g"])
+        upto = np.cumsum(times[r["ix"]] * r["c"])
+        middle = [r["v"][np.searchsorted(upto, k)] for k in ((upto[-1] + 1) // 2, upto[-1] // 2 + 1)]
+        return [(float(sum(middle)) / 2,)]
+
+    return D.per_draw(group, draws, one, "m double", [])
+
+
 def percentile_interval(means: DataFrame, level: float, *by: str) -> DataFrame:
     a = (1 - level) / 2
     return means.groupBy(*by).agg(F.percentile("m", a).alias("lo"), F.percentile("m", 1 - a).alias("hi"))
@@ -87,12 +140,12 @@ def bca_interval(sums: DataFrame, draws: int, seed: int, level: float = 0.95, *b
     The percentile interval where that is undefined (fewer than three clusters, all draws on one side); the mean
     itself where all draws are equal. The acceleration comes from leaving out each cluster in turn, in closed form.
     """
-    n = numbered(sums, *by)
+    sums = written(sums, "sums")
     totals = sums.groupBy(*by).agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("clusters"))
     mean = F.col("all_s") / F.col("all_n")
     left = _beside(sums, totals, *by).where("all_n > n").withColumn("u", (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) - mean)
     jack = left.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("u").alias("u1"), F.sum(F.pow("u", F.lit(2))).alias("u2"), F.sum(F.pow("u", F.lit(3))).alias("u3"))
-    means = bootstrap_means(n, draws, seed, *by).groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("draws"))  # `draws` numbers a group
+    means = bootstrap_means(sums, draws, seed, *by).groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("draws"))  # `draws` numbers a group
 
     @F.pandas_udf("struct<z0: double, accel: double, lo: double, hi: double>")
     def interval(d: pd.Series, obs: pd.Series, g: pd.Series, k: pd.Series, u1: pd.Series, u2: pd.Series, u3: pd.Series) -> pd.DataFrame:
@@ -116,23 +169,35 @@ def bca_interval(sums: DataFrame, draws: int, seed: int, level: float = 0.95, *b
     return x.select(*by, "mean", "i.z0", "i.accel", "i.lo", "i.hi")
 
 
-def sign(*parts) -> Column:
-    return F.when(hashed(*parts) % 2 == 0, 1.0).otherwise(-1.0)
+def _beyond(drawn: np.ndarray, observed: float, two_sided: bool) -> float:
+    """p from studentised draws."""
+    far = np.abs(drawn) >= abs(observed) - 1e-12 if two_sided else drawn >= observed - 1e-12
+    return float((far.sum() + 1) / (len(drawn) + 1))
+
+
+def _studentised(se_: np.ndarray, en: np.ndarray, ee: float | np.ndarray, nn: float | np.ndarray, total: float | np.ndarray) -> np.ndarray:
+    """t of draws from their sums of e and of e n, and from the sums of e^2 and n^2, which signs leave as they are."""
+    m = se_ / total
+    sd = np.sqrt(np.maximum(0.0, ee - 2 * m * en + m * m * nn)) / total
+    return np.divide(m, sd, out=np.zeros_like(m), where=sd > 0)
 
 
 def wild_p(sums: DataFrame, draws: int, seed: int, two_sided: bool = True) -> DataFrame:
-    """One row (mean, t, p): wild cluster bootstrap of mean zero, with Rademacher signs."""
-    c = F.broadcast(cr0(sums).select(F.col("n").alias("total"), "mean", "se"))  # one row
-    x = sums.crossJoin(c).withColumn("r", F.col("s") - F.col("n") * F.col("mean"))
-    flipped = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("e", sign(F.lit(seed), F.col("b"), F.col("cluster")) * F.col("r"))
-    # the studentised draw from three sums: of e, of e^2 with n, and of n^2
-    d = flipped.groupBy("b").agg(F.max("total").alias("total"), F.max("mean").alias("mean"), F.max("se").alias("se"), F.sum("e").alias("se_"), F.sum(F.col("e") * F.col("e")).alias("ee"), F.sum(F.col("e") * F.col("n")).alias("en"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-    m = F.col("se_") / F.col("total")
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("ee") - 2 * m * F.col("en") + m * m * F.col("nn"))) / F.col("total")
-    t_b = F.when(sd > 0, m / sd).otherwise(0.0)
-    t = F.when(F.col("se") > 0, F.col("mean") / F.col("se")).otherwise(0.0)
-    beyond = F.abs(t_b) >= F.abs(t) - 1e-12 if two_sided else t_b >= t - 1e-12
-    return d.groupBy(F.col("mean"), t.alias("t")).agg(((F.sum(beyond.cast("long")) + 1) / F.lit(draws + 1.0)).alias("p"))
+    """One row (mean, t, p): wild cluster bootstrap of mean zero, with Rademacher signs; none without clusters."""
+    sums = written(sums, "sums")
+    c = cr0(sums).first()
+    if c is None or c["mean"] is None:
+        return sums.sparkSession.createDataFrame([], "mean double, t double, p double")
+    mean, total = c["mean"], float(c["n"])
+
+    def part(b: pd.DataFrame) -> np.ndarray:
+        r, n = b["s"].to_numpy() - b["n"].to_numpy() * mean, b["n"].to_numpy().astype(float)
+        return np.concatenate([D.signs(seed, draws, b["cluster"]) @ np.stack([r, r * n], 1), [[r @ r, n @ n]]])
+
+    x = D.summed_rows(sums.select("cluster", "s", "n"), part, draws + 1, 2)
+    t = mean / c["se"] if c["se"] > 0 else 0.0
+    p = _beyond(_studentised(x[:-1, 0], x[:-1, 1], x[-1, 0], x[-1, 1], total), t, two_sided)
+    return sums.sparkSession.createDataFrame([(mean, float(t), p)], "mean double, t double, p double")
 
 
 def binomial_tail(k: int, n: int) -> float:
@@ -237,24 +302,32 @@ def westfall_young(sums: DataFrame, contrast: str, draws: int, seed: int) -> Dat
     """(contrast, t, p): step-down max-T over contrasts; every draw flips a cluster's sign in all of them together.
 
     A cluster's sums of all contrasts stand in one row, so its sign is drawn once; flipping leaves squares as they
-    are, so a draw needs two sums for each contrast.
+    are, so a draw needs two sums for each contrast, and these are added up in each task.
     """
-    base = cr0(sums, contrast).select(contrast, F.col("n").alias("total"), F.when(F.col("se") > 0, F.col("mean") / F.col("se")).otherwise(0.0).alias("t"))
+    sums = written(sums, "sums")
     fixed = sums.groupBy(contrast).agg(F.sum(F.col("s") * F.col("s")).alias("ee"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("t")), contrast)  # contrasts only
-    ranked = base.join(fixed, contrast).withColumn("rank", F.row_number().over(order))
+    base = cr0(sums, contrast).select(contrast, F.col("n").alias("total"), F.when(F.col("se") > 0, F.col("mean") / F.col("se")).otherwise(0.0).alias("t"))
+    ranked = sorted(base.join(fixed, contrast).collect(), key=lambda r: (-abs(r["t"]), r[contrast]))  # a row per contrast
+    kind, places = sums.schema[contrast].dataType.simpleString(), {r[contrast]: i for i, r in enumerate(ranked)}
+    k = len(ranked)
+    if not k:
+        return sums.sparkSession.createDataFrame([], f"{contrast} {kind}, t double, p double")
+
+    def part(b: pd.DataFrame) -> np.ndarray:
+        s, n = np.zeros((len(b), k)), np.zeros((len(b), k))
+        for i, of in enumerate(b["of"]):
+            for x in of:
+                s[i, places[x[contrast]]], n[i, places[x[contrast]]] = x["s"], x["n"]
+        return D.signs(seed, draws, b["cluster"]) @ np.concatenate([s, s * n], 1)
+
     of = sums.groupBy("cluster").agg(F.collect_list(F.struct(contrast, "s", "n")).alias("of"))
-    drawn = of.select("cluster", "of", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("sign", sign(F.lit(seed), F.col("b"), F.col("cluster")))
-    drawn = drawn.select("b", "sign", F.inline("of"))
-    d = drawn.groupBy("b", contrast).agg(F.sum(F.col("sign") * F.col("s")).alias("se_"), F.sum(F.col("sign") * F.col("s") * F.col("n")).alias("en")).join(F.broadcast(ranked), contrast)
-    m = F.col("se_") / F.col("total")
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("ee") - 2 * m * F.col("en") + m * m * F.col("nn"))) / F.col("total")
-    d = d.withColumn("tb", F.when(sd > 0, F.abs(m / sd)).otherwise(0.0))
-    inward = Window.partitionBy("b").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("top", F.max("tb").over(inward))
-    p = d.groupBy(contrast, "rank", "t").agg(((F.sum((F.col("top") >= F.abs("t") - 1e-12).cast("long")) + 1) / F.lit(draws + 1.0)).alias("p"))
-    step = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return p.select(contrast, "t", F.least(F.lit(1.0), F.max("p").over(step)).alias("p"))
+    x = D.summed_rows(of, part, draws, 2 * k)
+    column = lambda c: np.array([r[c] for r in ranked], float)
+    t = np.abs(_studentised(x[:, :k], x[:, k:], column("ee"), column("nn"), column("total")))
+    top = np.maximum.accumulate(t[:, ::-1], axis=1)[:, ::-1]  # the largest from each rank inwards
+    p = np.maximum.accumulate([_beyond(top[:, i], r["t"], True) for i, r in enumerate(ranked)])
+    rows = [(r[contrast], float(r["t"]), float(min(1.0, q))) for r, q in zip(ranked, p)]
+    return sums.sparkSession.createDataFrame(rows, f"{contrast} {kind}, t double, p double")
 
 
 def paired_contrast(x: DataFrame, draws: int, seed: int, *by: str, two_sided: bool = True) -> DataFrame:
@@ -263,6 +336,7 @@ def paired_contrast(x: DataFrame, draws: int, seed: int, *by: str, two_sided: bo
     The sign test speaks for the direction and the mean for the size; both intervals are BCa over clusters, those of
     the win rate with draws of their own. p_adjusted is null until the family is known.
     """
+    x = written(x.select(*by, "cluster", "delta", *[c for c in x.columns if c == "truncated"]), "deltas")
     deltas = cluster_sums(x, "cluster", "delta", *by)
     wins = cluster_sums(x.withColumn("won", (F.col("delta") > 0).cast("double")), "cluster", "won", *by)
     truncated = F.sum(F.col("truncated").cast("long")) if "truncated" in x.columns else F.lit(0).cast("long")
@@ -294,43 +368,83 @@ def centred(df: DataFrame, value: str, template: str) -> DataFrame:
     return df.join(means, template).withColumn("centred", F.col(value) - F.col("_mean")).drop("_mean")
 
 
+def _gap_test(null: DataFrame, observed: DataFrame, draws: int) -> DataFrame:
+    """null: b, gap_b; observed: one row with gap."""
+    return null.crossJoin(F.broadcast(observed)).groupBy(*observed.columns).agg(((F.sum((F.col("gap_b") >= F.col("gap") - 1e-12).cast("long")) + 1) / F.lit(draws + 1.0)).alias("p"), F.avg("gap_b").alias("null_mean"), F.percentile("gap_b", 0.95).alias("null_p95"))
+
+
 def omnibus(names: DataFrame, draws: int, seed: int) -> DataFrame:
     """One row (gap, p): is the largest gap between group means more than chance? names: name, grp, stratum, m.
 
     A draw deals the groups of a stratum out to its names in hash order.
     """
+    names = written(names.select("name", "grp", "stratum", "m"), "names")
     means = names.groupBy("grp").agg(F.avg("m").alias("g"))
     observed = means.agg((F.max("g") - F.min("g")).alias("gap"))
-    slots = names.withColumn("slot", F.row_number().over(Window.partitionBy("stratum").orderBy("grp", "name"))).select("stratum", "slot", "grp")
-    dealt = names.select("stratum", "name", "m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    dealt = dealt.withColumn("slot", F.row_number().over(Window.partitionBy("b", "stratum").orderBy(hashed(F.lit(seed), F.col("b"), F.col("name")), "name")))
-    null = dealt.join(slots, ["stratum", "slot"]).groupBy("b", "grp").agg(F.avg("m").alias("g")).groupBy("b").agg((F.max("g") - F.min("g")).alias("gap_b"))
-    return null.crossJoin(F.broadcast(observed)).groupBy("gap").agg(((F.sum((F.col("gap_b") >= F.col("gap") - 1e-12).cast("long")) + 1) / F.lit(draws + 1.0)).alias("p"), F.avg("gap_b").alias("null_mean"), F.percentile("gap_b", 0.95).alias("null_p95"))
+    if _largest(names, "stratum") > D.MOST_UNITS:
+        slots = names.withColumn("slot", F.row_number().over(Window.partitionBy("stratum").orderBy("grp", "name"))).select("stratum", "slot", "grp")
+        dealt = names.select("stratum", "name", "m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+        dealt = dealt.withColumn("slot", F.row_number().over(Window.partitionBy("b", "stratum").orderBy(hashed(F.lit(seed), F.col("b"), F.col("name")), "name")))
+        sums = dealt.join(slots, ["stratum", "slot"]).groupBy("b", "grp").agg(F.sum("m").alias("s"), F.count("m").alias("n"))
+    else:
+        by = lambda order: F.array_sort(F.collect_list(F.struct(*order))).alias(f"by_{order[0]}")
+        x = names.groupBy("stratum").agg(by(["grp", "name"]), by(["name", "m"])).select("stratum", F.col("by_grp")["grp"].alias("grp"), F.col("by_name")["name"].alias("name"), F.col("by_name")["m"].alias("m"))
+
+        def one(r: dict, b: int) -> list[tuple]:
+            m = r["m"][np.argsort(D.hashes(f"{seed}:{b}:", D.encoded(r["name"])), kind="stable")]
+            kinds, at = np.unique(r["grp"], return_inverse=True)
+            return list(zip(kinds.tolist(), np.bincount(at, m).tolist(), np.bincount(at).tolist()))
+
+        sums = D.per_draw(x, draws, one, f"grp {dict(names.dtypes)['grp']}, s double, n long", ["stratum"])
+    null = sums.groupBy("b", "grp").agg((F.sum("s") / F.sum("n")).alias("g")).groupBy("b").agg((F.max("g") - F.min("g")).alias("gap_b"))
+    return _gap_test(null, observed, draws)
 
 
 def within_template(cells: DataFrame, draws: int, seed: int) -> DataFrame:
     """One row (gap, p, null_p95, n_levels, n_templates): is the largest gap between level means more than chance?
 
-    cells: template, level, score, each level once or never in a template. Scores are centred in their template, and
-    a draw deals each template's scores out to its levels anew, in hash order.
+    cells: template, level, score, each level once or never in a template; levels are few. Scores are centred in their
+    template, and a draw deals each template's scores out to its levels anew, in hash order.
     """
+    cells = written(cells.select("template", "level", "score"), "cells")
     x = centred(cells, "score", "template")
     gap = (F.max("m") - F.min("m"))
     observed = x.groupBy("level").agg(F.avg("centred").alias("m")).agg(gap.alias("gap"), F.count(F.lit(1)).alias("n_levels"))
-    slots = x.select("template", "level", F.row_number().over(Window.partitionBy("template").orderBy("level")).alias("slot"))
-    dealt = x.select("template", "level", "centred", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    w = Window.partitionBy("b", "template").orderBy(hashed(F.lit(seed), F.col("b"), F.col("template"), F.col("level")), "level")
-    dealt = dealt.withColumn("slot", F.row_number().over(w)).drop("level").join(slots, ["template", "slot"])
-    null = dealt.groupBy("b", "level").agg(F.avg("centred").alias("m")).groupBy("b").agg(gap.alias("gap_b"))
-    p = null.crossJoin(F.broadcast(observed)).groupBy("gap", "n_levels").agg(((F.sum((F.col("gap_b") >= F.col("gap") - 1e-12).cast("long")) + 1) / F.lit(draws + 1.0)).alias("p"), F.percentile("gap_b", 0.95).alias("null_p95"))
-    return p.crossJoin(cells.agg(F.countDistinct("template").alias("n_templates")))
+    levels = {r[0]: i for i, r in enumerate(cells.select("level").distinct().collect())}
+    c = F.col("c")
+    of = x.groupBy("template").agg(F.array_sort(F.collect_list(F.struct("level", "centred"))).alias("c")).select("template", c["level"].alias("level"), c["centred"].alias("centred"))
+
+    def part(block: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((draws, 2 * len(levels)))
+        for template, level, v in zip(D.encoded(block["template"]), block["level"], block["centred"]):
+            at, keys = np.array([levels[k] for k in level]), [template + b":" + k for k in D.encoded(level)]
+            for b in range(draws):
+                out[b, at] += v[np.argsort(D.hashes(f"{seed}:{b}:", keys), kind="stable")]
+            out[:, at + len(levels)] += 1
+        return out
+
+    sums = D.summed_rows(of, part, draws, 2 * len(levels))
+    means = sums[:, : len(levels)] / sums[:, len(levels) :]
+    null = cells.sparkSession.createDataFrame([(b, float(m.max() - m.min())) for b, m in enumerate(means)], "b int, gap_b double")  # a row per draw
+    return _gap_test(null, observed, draws).drop("null_mean").crossJoin(cells.agg(F.countDistinct("template").alias("n_templates")))
 
 
 def half_split(names: DataFrame, draws: int, seed: int) -> DataFrame:
     """One row (mean_gap, p95, n): gaps between random halves of groups of four names or more."""
+    names = written(names.select("grp", "name", "m"), "names")
     sizes = names.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size >= 4")
-    x = names.join(F.broadcast(sizes), "grp").select("grp", "name", "m", "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("b", "grp").orderBy(hashed(F.lit(seed), F.col("b"), F.col("name")), "name")))
-    first = F.col("rank") <= F.floor(F.col("size") / 2)
-    gaps = x.groupBy("b", "grp").agg(F.abs(F.avg(F.when(first, F.col("m"))) - F.avg(F.when(~first, F.col("m")))).alias("gap"))
+    if _largest(names, "grp") > D.MOST_UNITS:
+        x = names.join(sizes, "grp").select("grp", "name", "m", "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+        x = x.withColumn("rank", F.row_number().over(Window.partitionBy("b", "grp").orderBy(hashed(F.lit(seed), F.col("b"), F.col("name")), "name")))
+        first = F.col("rank") <= F.floor(F.col("size") / 2)
+        gaps = x.groupBy("b", "grp").agg(F.abs(F.avg(F.when(first, F.col("m"))) - F.avg(F.when(~first, F.col("m")))).alias("gap"))
+    else:
+        c = F.col("c")
+        x = names.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("name", "m"))).alias("c")).where(F.size("c") >= 4).select("grp", c["name"].alias("name"), c["m"].alias("m"))
+
+        def one(r: dict, b: int) -> list[tuple]:
+            m, half = r["m"][np.argsort(D.hashes(f"{seed}:{b}:", D.encoded(r["name"])), kind="stable")], len(r["m"]) // 2
+            return [(float(abs(m[:half].mean() - m[half:].mean())),)]
+
+        gaps = D.per_draw(x, draws, one, "gap double", ["grp"])
     return gaps.agg(F.avg("gap").alias("mean_gap"), F.percentile("gap", 0.95).alias("p95"), F.count(F.lit(1)).alias("n"))

@@ -70,7 +70,7 @@ d[floor((len(d) - 1) * high)::INT + 1] + ((len(d) - 1) * high - floor((len(d) -
 
 @add("g2_bootstrap_ci", f"WITH {D}, {boot_sql('bt', 'i', 11)} SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM bt")
 def g2(spark, d):
-    return rounded(R.percentile_interval(R.bootstrap_means(R.numbered(R.cluster_sums(deltas(spark, d), "cluster", "delta")), BOOT, 11), 0.95))
+    return rounded(R.percentile_interval(R.bootstrap_means(R.cluster_sums(deltas(spark, d), "cluster", "delta"), BOOT, 11), 0.95))
 
 
 @add("g4_bca", f"WITH {D}, {boot_sql('bt', 'i', 11)}, {bca_sql('q', 'i', 'bt')} SELECT round(mean, 6) AS mean, round(z0, 6) AS z0, round(accel, 6) AS accel, round(lo, 6) AS lo, round(hi, 6) AS hi FROM q")

@@ -229,19 +229,14 @@ for _n in (4, 5, 6):
         return rounded(s.groupBy("cluster").agg(*[F.avg(f"z{i + 1}").alias(f"mean_z{i + 1}") for i in range(n - 2)]))
 
 
-_MEDIAN = f"mc AS (SELECT source AS cluster, {WORDS.format("coalesce(text, '')")}::BIGINT AS v, count(*) AS c FROM documents GROUP BY ALL), mi AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS ix, count(*) OVER () AS g FROM (SELECT DISTINCT cluster FROM mc)), mw AS (SELECT b, {HASH.format("'83:' || b || ':' || j")} % g AS ix, count(*) AS w FROM range(200) x(b), (SELECT ix AS j, g FROM mi) GROUP BY ALL), mv AS (SELECT b, v, sum(w * c) AS n FROM mw JOIN mi USING (ix) JOIN mc USING (cluster) GROUP BY ALL), mk AS (SELECT b, v, sum(n) OVER (PARTITION BY b ORDER BY v) AS upto, sum(n) OVER (PARTITION BY b) AS total FROM mv), mm AS (SELECT b, (min(v) FILTER (upto >= (total + 1) // 2) + min(v) FILTER (upto >= total // 2 + 1)) / 2.0::DOUBLE AS m FROM mk GROUP BY b)"
+_MEDIAN = f"mc AS (SELECT source AS cluster, {WORDS.format("coalesce(text, '')")}::BIGINT AS v, count(*) AS c FROM documents GROUP BY ALL), mi AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS ix, count(*) OVER () AS g FROM (SELECT DISTINCT cluster FROM mc)), mw AS (SELECT b, {HASH.format("'83:' || b || ':' || j")} % g AS ix, count(*) AS w FROM range({BOOT}) x(b), (SELECT ix AS j, g FROM mi) GROUP BY ALL), mv AS (SELECT b, v, sum(w * c) AS n FROM mw JOIN mi USING (ix) JOIN mc USING (cluster) GROUP BY ALL), mk AS (SELECT b, v, sum(n) OVER (PARTITION BY b ORDER BY v) AS upto, sum(n) OVER (PARTITION BY b) AS total FROM mv), mm AS (SELECT b, (min(v) FILTER (upto >= (total + 1) // 2) + min(v) FILTER (upto >= total // 2 + 1)) / 2.0::DOUBLE AS m FROM mk GROUP BY b)"
 
 
 @add("g3_bootstrap_median", f"WITH {_MEDIAN} SELECT count(*) AS draws, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM mm")
 def g3(spark, d):
-    """A cluster bootstrap of a statistic that is no mean: the median length. Values are counted in their clusters,
-    and a draw weighs the counts, so no draw holds its rows."""
+    """A cluster bootstrap of a statistic that is no mean: the median length."""
     counts = table(spark, d, "documents").groupBy(F.col("source").alias("cluster"), word_count(F.col("text")).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    n = R.numbered(counts.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
-    slots = n.select("g", F.col("ix").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b"))
-    w = slots.select("b", (hashed(F.lit(83), F.col("b"), F.col("j")) % F.col("g")).cast("int").alias("ix")).groupBy("b", "ix").agg(F.count(F.lit(1)).alias("w"))
-    x = w.join(n.select("ix", "cluster"), "ix").join(counts, "cluster").groupBy("b", "v").agg(F.sum(F.col("w") * F.col("c")).alias("n"))
-    m = x.groupBy("b").agg(F.percentile("v", 0.5, F.col("n")).alias("m"))
+    m = R.bootstrap_medians(counts, BOOT, 83)
     return rounded(m.agg(F.count(F.lit(1)).alias("draws"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")))
 
 
@@ -250,7 +245,7 @@ def g23(spark, d):
     """Human agreement, with an interval over pairs."""
     x = gaps(spark, d).select(F.concat_ws(":", "lang", "k").alias("cluster"), (F.col("gap") > 0).cast("double").alias("won"))
     sums = R.cluster_sums(x, "cluster", "won")
-    ci = R.percentile_interval(R.bootstrap_means(R.numbered(sums), BOOT, 89), 0.95)
+    ci = R.percentile_interval(R.bootstrap_means(sums, BOOT, 89), 0.95)
     return rounded(x.agg(F.avg("won").alias("accuracy")).crossJoin(ci))  # one row each
 
 
