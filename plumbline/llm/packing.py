@@ -56,7 +56,7 @@ class WordTokenizer:
     at hand doesn't agree on PROBES, as one with other pre-tokens will not.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 320_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
