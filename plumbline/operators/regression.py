@@ -1,18 +1,24 @@
 """Fixed-effects regression on a restricted cubic spline, with cluster-robust and wild-bootstrap inference.
 
 Everything that is as long as the data is a DataFrame aggregate: demeaned cross products per cluster. What is left
-for the driver has as many rows as there are terms; what is left for tasks is one cluster's matrices.
+for the driver has as many rows as there are terms, or terms times draws; what is left for tasks is one cluster's
+matrices.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+from . import draws as draws_
+from .quantiles import quantiles
+
 
 # Quantiles of the knots, by their number.
 KNOTS = {
@@ -23,20 +29,30 @@ KNOTS = {
 }
 
 
-def knots(df: DataFrame, x: str, at: tuple[float, ...] = (0.1, 0.5, 0.9)) -> list[float]:
-    """Different exact quantiles, ascending."""
-    found = df.agg(F.percentile(x, F.array(*map(F.lit, at)))).first()[0]
-    return sorted(set(found or []))
+def knots(df: DataFrame, x: str, at: tuple[float, ...] = KNOTS[3]) -> list[float]:
+    """Different exact quantiles, ascending. Where fewer than three differ, those of three knots are tried."""
+    found = quantiles(df, x, list(at)).first()
+    out = sorted(set(found["q"])) if found else []
+    return knots(df, x) if len(out) < 3 and at != KNOTS[3] else out
 
 
-def with_spline(df: DataFrame, x: str, at: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
-    """df with z1, z2, ...: truncated cubes that are linear beyond the outer knots; none for fewer than three knots."""
-    k = knots(df, x, at)
+def spline(v: Column, k: list[float]) -> list[Column]:
+    """Truncated cubes of v that are linear beyond the outer knots; none for fewer than three knots."""
     if len(k) < 3:
-        return df
-    cube = lambda t: F.pow(F.greatest(F.col(x) - F.lit(t), F.lit(0.0)), F.lit(3.0))
+        return []
+    cube = lambda t: F.pow(F.greatest(v - F.lit(t), F.lit(0.0)), F.lit(3.0))
     last, before, scale = k[-1], k[-2], (k[-1] - k[0]) ** 2
-    return df.withColumns({f"z{i + 1}": (cube(t) - cube(before) * ((last - t) / (last - before)) + cube(last) * ((before - t) / (last - before))) / scale for i, t in enumerate(k[:-2])})
+    return [(cube(t) - cube(before) * ((last - t) / (last - before)) + cube(last) * ((before - t) / (last - before))) / scale for t in k[:-2]]
+
+
+def with_spline(df: DataFrame, x: str, at: tuple[float, ...] = KNOTS[3]) -> DataFrame:
+    """df with z1, z2, ...: the spline of x with knots at its quantiles."""
+    return df.withColumns({f"z{i + 1}": z for i, z in enumerate(spline(F.col(x), knots(df, x, at)))})
+
+
+def with_doses(df: DataFrame, category: str, dose: str, levels: list[str]) -> DataFrame:
+    """df with a column dose_<level> for each level of a category: the dose in its rows, nought in all others."""
+    return df.withColumns({f"dose_{v}": F.when(F.col(category) == v, F.col(dose).cast("double")).otherwise(0.0) for v in levels})
 
 
 @dataclass
@@ -45,111 +61,140 @@ class Fit:
     names: list[str]
     beta: np.ndarray
     se: np.ndarray
-    moments: DataFrame  # cluster, xx, xy
+    moments: DataFrame  # cluster, n, xx, xy, yy: a written table
     inverse: np.ndarray
+    n_obs: int
+    n_clusters: int
+    r2: float
+
+    def restricted(self, j: int) -> np.ndarray:
+        """The coefficients if the j-th one is held at nought."""
+        d = self.inverse[j, j]
+        return self.beta - self.inverse[:, j] * (self.beta[j] / d) if d > 0 else self.beta * 1.0
+
+
+def _stacked(block: pd.DataFrame, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters' X'X and X'y."""
+    return np.stack(block["xx"].to_list()).reshape(-1, p, p), np.stack(block["xy"].to_list())
 
 
 def fit_fe(df: DataFrame, y: str, xs: list[str], cluster: str) -> Fit:
-    """Ordinary least squares with a fixed effect per cluster (absorbed by demeaning), CR2 and CR0 errors."""
+    """Ordinary least squares with a fixed effect per cluster (absorbed by demeaning), CR2 and CR0 errors.
+
+    One aggregate gives each cluster's cross products, of the upper triangle only.
+    """
     # demeaned cross products are sums less what the cluster's means make of them, so no row has to meet its cluster;
     # the overall means are taken off first, which keeps the differences exact
-    cols = [*xs, y]
+    cols, p = [*xs, y], len(xs)
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    d = df.select(F.col(cluster).alias("cluster"), *[(F.col(c) - F.lit(means[c])).alias(c) for c in cols])
-    about = lambda u, v: F.sum(F.col(u) * F.col(v)) - F.sum(u) * F.sum(v) / F.count(F.lit(1))
-    moments = d.groupBy("cluster").agg(F.array(*[about(u, v) for u in xs for v in xs]).alias("xx"), F.array(*[about(u, y) for u in xs]).alias("xy")).cache()
-    p = len(xs)
-    total = moments.agg(F.array(*[F.sum(F.col("xx")[i]) for i in range(p * p)]).alias("xx"), F.array(*[F.sum(F.col("xy")[i]) for i in range(p)]).alias("xy")).first()
-    inverse = np.linalg.pinv(np.array(total["xx"]).reshape(p, p))
-    beta = inverse @ np.array(total["xy"])
-
-    def meat(batches):
-        """Per partition the sums of both sandwiches' outer products. For a cluster of design X, X'(I - H)^-1/2 e
-        depends on X'X and X'e alone, as H = X A X' has the eigenvectors of A^1/2 X'X A^1/2."""
+    d = df.select(F.col(cluster).alias("cluster"), *[(F.col(c) - F.lit(means[c])).alias(f"c{i}") for i, c in enumerate(cols)])
+    products = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    sums = d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"c{i}").alias(f"s{i}") for i in range(p + 1)], *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in products])
+    about = lambda i, j: F.col(f"p{min(i, j)}_{max(i, j)}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")
+    moments = sums.select("cluster", "n", F.array(*[about(i, j) for i in range(p) for j in range(p)]).alias("xx"), F.array(*[about(i, p) for i in range(p)]).alias("xy"), about(p, p).alias("yy"))
+    moments = written(moments, "moments")
+
+    def total(block: pd.DataFrame) -> np.ndarray:
+        xx, xy = _stacked(block, p)
+        last = np.zeros((1, p + 1))
+        last[0, : min(3, p + 1)] = [block["yy"].sum(), block["n"].sum(), len(block)][: min(3, p + 1)]
+        return np.concatenate([np.concatenate([xx.sum(0), xy.sum(0)[:, None]], 1), last, [[len(block)] + [0] * p]])
+
+    t = draws_.summed_rows(moments, total, p + 2, p + 1)
+    xx, xy, yy, clusters = t[:p, :p], t[:p, p], t[p, 0], int(t[p + 1, 0])
+    n = int(t[p, 1])
+    inverse = np.linalg.pinv(xx)
+    beta = inverse @ xy
+
+    def meat(block: pd.DataFrame) -> np.ndarray:
+        """The sums of both sandwiches' outer products. For a cluster of design X, X'(I - H)^-1/2 e depends on X'X and
+        X'e alone, as H = X A X' has the eigenvectors of A^1/2 X'X A^1/2."""
         a, v = np.linalg.eigh(inverse)
         root = v @ np.diag(np.sqrt(np.maximum(a, 0))) @ v.T
-        back = np.linalg.pinv(root)
-        sums = np.zeros((2, p, p))
-        for b in batches:
-            for xx, xy in zip(b["xx"], b["xy"]):
-                xx, xy = np.asarray(xx).reshape(p, p), np.asarray(xy)
-                score = xy - xx @ beta
-                lam, u = np.linalg.eigh(root @ xx @ root)
-                lifted = back @ (u @ ((u.T @ (root @ score)) / np.sqrt(np.maximum(1 - lam, 1e-8))))
-                sums[0] += np.outer(score, score)
-                sums[1] += np.outer(lifted, lifted)
-        yield pd.DataFrame({"i": range(2 * p * p), "v": sums.ravel()})
-
-    got = {r["i"]: r["v"] for r in moments.mapInPandas(meat, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
-    both = np.array([got.get(i, 0.0) for i in range(2 * p * p)]).reshape(2, p, p)
+        own, sides = _stacked(block, p)
+        score = sides - own @ beta
+        lam, u = np.linalg.eigh(root @ own @ root)
+        part = np.einsum("cji,cj->ci", u, score @ root) / np.sqrt(np.maximum(1 - lam, 1e-8))
+        lifted = np.einsum("cij,cj->ci", u, part) @ np.linalg.pinv(root)
+        return np.concatenate([score.T @ score, lifted.T @ lifted])
+
+    both = draws_.summed_rows(moments, meat, 2 * p, p).reshape(2, p, p)
     cr0, se = (np.sqrt(np.maximum(np.diag(inverse @ m @ inverse), 0)) for m in both)
-    rows = [(n, float(b), float(s), float(c)) for n, b, s, c in zip(xs, beta, se, cr0)]
-    return Fit(df.sparkSession.createDataFrame(rows, "term string, coef double, se double, se_cr0 double"), xs, beta, se, moments, inverse)
+    rows = [(n_, float(b), float(s), float(c)) for n_, b, s, c in zip(xs, beta, se, cr0)]
+    r2 = float(beta @ xy / yy) if yy > 0 else 0.0
+    return Fit(df.sparkSession.createDataFrame(rows, "term string, coef double, se double, se_cr0 double"), xs, beta, se, moments, inverse, n, clusters, r2)
 
 
 def within_r2(df: DataFrame, y: str, xs: list[str], cluster: str) -> DataFrame:
     """One row (r2): the share of y's spread inside clusters that the fit explains; 0 where there is none."""
-    fit = fit_fe(df, y, xs, cluster)
-    mean = df.agg(F.avg(y)).first()[0]
-    d = df.select(F.col(cluster).alias("cluster"), (F.col(y) - F.lit(mean)).alias("y"))
-    total = d.groupBy("cluster").agg((F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / F.count(F.lit(1))).alias("s")).agg(F.sum("s")).first()[0] or 0.0
-    gained = float(fit.beta @ np.linalg.pinv(fit.inverse) @ fit.beta)
-    return df.sparkSession.createDataFrame([(gained / total if total > 0 else 0.0,)], "r2 double")
+    return df.sparkSession.createDataFrame([(fit_fe(df, y, xs, cluster).r2,)], "r2 double")
+
 
+def cluster_signs(seed: int, draws: int, clusters) -> np.ndarray:
+    """(draws, clusters): Rademacher signs from the bits of SHA-256 of (seed, a number for each 256 draws, cluster)."""
+    keys = draws_.encoded(clusters)
+    bits = [np.unpackbits(np.frombuffer(b"".join(sha256(f"{seed}:{part}:".encode() + k).digest() for k in keys), np.uint8).reshape(len(keys), 32), axis=1) for part in range(-(-draws // 256))]
+    return 1.0 - 2.0 * np.concatenate(bits, 1)[:, :draws].T
 
-def wild_tests(fit: Fit, draws: int, seed: int) -> DataFrame:
-    """(term, t, p): restricted wild cluster bootstrap of each coefficient being zero.
+
+def wild_tests(fit: Fit, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+    """(term, coef, se, t, p, ci_low, ci_high): restricted wild cluster bootstrap of each coefficient being zero.
 
     The observed t uses the CR2 error, the draws use CR0. Each cluster's residual scores under the restriction are
-    flipped by a hash, and each block of draws sums its part over all clusters, partition by partition.
+    flipped by a hash. A draw of one coefficient needs two sums over clusters, of the flipped scores and of these times
+    what the cluster's design makes of them, so a task passes on 2 p numbers for each term and draw. The interval is the
+    coefficient with the percentiles of the centred draws.
     """
     p, inverse, beta, se = len(fit.names), fit.inverse, fit.beta, fit.se
-    restricted = []
-    xx_all = np.linalg.pinv(inverse)
-    for j in range(p):
-        keep = [i for i in range(p) if i != j]
-        b = np.zeros(p)
-        if keep:
-            b[keep] = np.linalg.pinv(xx_all[np.ix_(keep, keep)]) @ (xx_all @ beta)[keep]
-        restricted.append(b)
-
-    def flip(batches):
-        sums = np.zeros((p, draws, p + p * p + p * p * p))
-        for b in batches:
-            for cluster, xx, xy in zip(b["cluster"], b["xx"], b["xy"]):
-                xx, xy = np.asarray(xx).reshape(p, p), np.asarray(xy)
-                rng = np.random.default_rng([seed, int(cluster) & 0x7FFFFFFF])
-                signs = rng.integers(0, 2, draws) * 2 - 1
-                for j in range(p):
-                    g = xy - xx @ restricted[j]  # signed score of the draw
-                    # CR0 needs sum (e g - X'X d)(...)' for the draw's own d: its parts are summed apart
-                    sums[j, :, :p] += signs[:, None] * g
-                    sums[j, :, p : p + p * p] += np.outer(g, g).ravel()
-                    sums[j, :, p + p * p :] += signs[:, None] * np.einsum("a,bc->abc", g, xx).ravel()
-        yield pd.DataFrame({"j": np.repeat(np.arange(p), draws), "b": np.tile(np.arange(draws), p), "v": [list(x) for x in sums.reshape(p * draws, -1)]})
-
-    width = p + p * p + p**3
-    quad = fit.moments.select(F.array(*[F.sum(F.col("xx")[a] * F.col("xx")[c]) for a in range(p * p) for c in range(p * p)]).alias("q")).first()["q"]
-    quad = np.array(quad).reshape(p, p, p, p)
-    rows = fit.moments.mapInPandas(flip, "j int, b int, v array<double>").groupBy("j", "b").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(width)]).alias("v")).collect()  # terms x draws rows
+    restricted = [fit.restricted(j) for j in range(p)]
+
+    def flip(block: pd.DataFrame) -> np.ndarray:
+        xx, xy = _stacked(block, p)
+        s = cluster_signs(seed, draws, block["cluster"])
+        out = []
+        for j in range(p):
+            g = xy - xx @ restricted[j]
+            u, h = xx @ inverse[j], g @ inverse[j]  # the j-th row of inverse (g - X'X d) is h - u d
+            fixed = np.zeros((p + 1, 2 * p))
+            fixed[:p, :p], fixed[p, 0] = u.T @ u, h @ h
+            out += [np.concatenate([s @ g, s @ (h[:, None] * u)], 1), fixed]
+        return np.concatenate(out)
+
+    size = draws + p + 1
+    x = draws_.summed_rows(fit.moments, flip, p * size, 2 * p)
     t_obs = np.divide(beta, se, out=np.zeros(p), where=se > 0)
-    hits = np.zeros(p)
-    for r in rows:
-        j, v = r["j"], np.array(r["v"])
-        g, gg, gx = v[:p], v[p : p + p * p].reshape(p, p), v[p + p * p :].reshape(p, p, p)
-        d = inverse @ g
-        cross = np.einsum("abc,c->ab", gx, d)
-        meat = gg - cross - cross.T + np.einsum("abcd,b,d->ac", quad, d, d)
-        s = np.sqrt(max((inverse @ meat @ inverse)[j, j], 0))
-        hits[j] += abs(d[j] / s if s > 0 else 0.0) >= abs(t_obs[j]) - 1e-12
-    out = [(n, float(t), float((1 + h) / (draws + 1))) for n, t, h in zip(fit.names, t_obs, hits)]
-    return fit.terms.sparkSession.createDataFrame(out, "term string, t double, p double")
-
-
-def length_curve(df: DataFrame, fit: Fit, x: str, points: int = 40) -> DataFrame:
-    """(tokens, reward, slope_per_100): the spline's prediction from the first grid point on, and its slope."""
+    out = []
+    for j, name in enumerate(fit.names):
+        part = x[j * size : (j + 1) * size]
+        d, cross, uu, hh = part[:draws, :p] @ inverse, part[:draws, p:], part[draws:-1, :p], part[-1, 0]
+        s = np.sqrt(np.maximum(hh - 2 * (cross * d).sum(1) + np.einsum("bi,ij,bj->b", d, uu, d), 0))
+        t = np.divide(d[:, j], s, out=np.zeros(draws), where=s > 0)
+        low, high = np.percentile(d[:, j] - d[:, j].mean(), [50 * (1 - level), 50 * (1 + level)])
+        out.append((name, float(beta[j]), float(se[j]), float(t_obs[j]), float((1 + (np.abs(t) >= abs(t_obs[j]) - 1e-12).sum()) / (draws + 1)), float(beta[j] + low), float(beta[j] + high)))
+    return fit.terms.sparkSession.createDataFrame(out, "term string, coef double, se double, t double, p double, ci_low double, ci_high double")
+
+
+def coefficient_sums(fit: Fit, terms: list[str]) -> DataFrame:
+    """(name, cluster, s, n): what each cluster adds to a coefficient, with its residuals under the coefficient being
+    nought; over all clusters the coefficient itself. They are what the tests of a family of contrasts read."""
+    p, inverse = len(fit.names), fit.inverse
+    of = [(t, fit.names.index(t)) for t in terms]
+    restricted = {j: fit.restricted(j) for _, j in of}
+    kind = fit.moments.schema["cluster"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            xx, xy = _stacked(b, p)
+            yield from (pd.DataFrame({"name": t, "cluster": b["cluster"], "s": (xy - xx @ restricted[j]) @ inverse[j], "n": 1}) for t, j in of)
+
+    return fit.moments.mapInPandas(run, f"name string, cluster {kind}, s double, n long")
+
+
+def length_curve(df: DataFrame, fit: Fit, x: str, points: int = 40, k: list[float] | None = None) -> DataFrame:
+    """(tokens, reward, slope_per_100): the spline's prediction from the first grid point on, and its slope. x and its
+    spline (knots k, three if none are given) are the first terms of the fit."""
     lo, hi = df.agg(F.min(x), F.max(x)).first()
-    k = knots(df, x)
+    k = knots(df, x) if k is None else k
     h = max(1.0, (hi - lo) / 200)
 
     def at(v: float) -> float:

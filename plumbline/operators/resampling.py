@@ -200,6 +200,31 @@ def wild_p(sums: DataFrame, draws: int, seed: int, two_sided: bool = True) -> Da
     return sums.sparkSession.createDataFrame([(mean, float(t), p)], "mean double, t double, p double")
 
 
+def wild_tests(sums: DataFrame, contrast: str, draws: int, seed: int) -> DataFrame:
+    """(contrast, mean, clusters, t, p): wild_p of every contrast, two-sided; a cluster's sign is one for all of them."""
+    sums = written(sums, "sums")
+    base = sorted(cr0(sums, contrast).collect(), key=lambda r: r[contrast])  # a row per contrast
+    kind, places, k = sums.schema[contrast].dataType.simpleString(), {r[contrast]: i for i, r in enumerate(base)}, len(base)
+    schema = f"{contrast} {kind}, mean double, clusters long, t double, p double"
+    if not k:
+        return sums.sparkSession.createDataFrame([], schema)
+    mean = np.array([r["mean"] for r in base])
+
+    def part(b: pd.DataFrame) -> np.ndarray:
+        e, n = np.zeros((len(b), k)), np.zeros((len(b), k))
+        for i, of in enumerate(b["of"]):
+            for x in of:
+                at = places[x[contrast]]
+                e[i, at], n[i, at] = x["s"] - x["n"] * mean[at], x["n"]
+        fixed = np.stack([np.concatenate([(e * e).sum(0), (n * n).sum(0)])])
+        return np.concatenate([D.signs(seed, draws, b["cluster"]) @ np.concatenate([e, e * n], 1), fixed])
+
+    x = D.summed_rows(sums.groupBy("cluster").agg(F.collect_list(F.struct(contrast, "s", "n")).alias("of")), part, draws + 1, 2 * k)
+    t_b = _studentised(x[:-1, :k], x[:-1, k:], x[-1, :k], x[-1, k:], np.array([float(r["n"]) for r in base]))
+    rows = [(r[contrast], float(r["mean"]), int(r["clusters"]), t := float(r["mean"] / r["se"]) if r["se"] > 0 else 0.0, _beyond(t_b[:, i], t, True)) for i, r in enumerate(base)]
+    return sums.sparkSession.createDataFrame(rows, schema)
+
+
 def binomial_tail(k: int, n: int) -> float:
     """P(X >= k) of n fair coins, as a regularised incomplete beta function by its continued fraction."""
     if k <= 0:
@@ -299,7 +324,8 @@ def benjamini_hochberg(df: DataFrame, p: str, tie: str, buckets: int = 65_536) -
 
 
 def westfall_young(sums: DataFrame, contrast: str, draws: int, seed: int) -> DataFrame:
-    """(contrast, t, p): step-down max-T over contrasts; every draw flips a cluster's sign in all of them together.
+    """(contrast, t, p, p_single): step-down max-T over contrasts; every draw flips a cluster's sign in all of them
+    together. p_single is each contrast's own p, of no family.
 
     A cluster's sums of all contrasts stand in one row, so its sign is drawn once; flipping leaves squares as they
     are, so a draw needs two sums for each contrast, and these are added up in each task.
@@ -311,7 +337,7 @@ def westfall_young(sums: DataFrame, contrast: str, draws: int, seed: int) -> Dat
     kind, places = sums.schema[contrast].dataType.simpleString(), {r[contrast]: i for i, r in enumerate(ranked)}
     k = len(ranked)
     if not k:
-        return sums.sparkSession.createDataFrame([], f"{contrast} {kind}, t double, p double")
+        return sums.sparkSession.createDataFrame([], f"{contrast} {kind}, t double, p double, p_single double")
 
     def part(b: pd.DataFrame) -> np.ndarray:
         s, n = np.zeros((len(b), k)), np.zeros((len(b), k))
@@ -326,8 +352,8 @@ def westfall_young(sums: DataFrame, contrast: str, draws: int, seed: int) -> Dat
     t = np.abs(_studentised(x[:, :k], x[:, k:], column("ee"), column("nn"), column("total")))
     top = np.maximum.accumulate(t[:, ::-1], axis=1)[:, ::-1]  # the largest from each rank inwards
     p = np.maximum.accumulate([_beyond(top[:, i], r["t"], True) for i, r in enumerate(ranked)])
-    rows = [(r[contrast], float(r["t"]), float(min(1.0, q))) for r, q in zip(ranked, p)]
-    return sums.sparkSession.createDataFrame(rows, f"{contrast} {kind}, t double, p double")
+    rows = [(r[contrast], float(r["t"]), float(min(1.0, q)), _beyond(t[:, i], r["t"], True)) for i, (r, q) in enumerate(zip(ranked, p))]
+    return sums.sparkSession.createDataFrame(rows, f"{contrast} {kind}, t double, p double, p_single double")
 
 
 def paired_contrast(x: DataFrame, draws: int, seed: int, *by: str, two_sided: bool = True) -> DataFrame:

@@ -138,7 +138,7 @@ tb AS (SELECT b, contrast, abs(any_value(m) / (sqrt(sum((e - n * m) ** 2)) / sum
 tops AS (SELECT contrast, rank, t, max(tb) OVER (PARTITION BY b ORDER BY rank DESC) AS top FROM tb JOIN r USING (contrast)), p AS (SELECT contrast, rank, t, (1 + count(*) FILTER (top >= abs(t) - 1e-12)) / {PERM + 1}.0::DOUBLE AS p FROM tops GROUP BY ALL)
 SELECT contrast, round(t, 6) AS t, round(least(1.0, max(p) OVER (ORDER BY rank)), 6) AS p FROM p""")
 def g11(spark, d):
-    return rounded(R.westfall_young(R.cluster_sums(deltas(spark, d), "cluster", "delta", "contrast"), "contrast", PERM, 17))
+    return rounded(R.westfall_young(R.cluster_sums(deltas(spark, d), "cluster", "delta", "contrast"), "contrast", PERM, 17).drop("p_single"))
 
 
 @add("f3_bh", """WITH p AS (SELECT l_suppkey, abs(sin(l_suppkey)) * avg(l_discount) AS p FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, l_suppkey) AS k, count(*) OVER () AS m FROM p)

@@ -92,6 +92,18 @@ def attack_rows(spark, d):
     return g.withColumns({f"beats_{n}": F.when(F.col("ok"), (F.col("score") > F.col("p")[i]).cast("double")) for i, n in enumerate(("p25", "p50", "p75", "p90"))}).withColumn("lift", F.col("score") - F.col("base_score"))
 
 
+JUNK = "jn AS (SELECT * FROM (VALUES ('filler', 'This says nothing.'), ('rude', 'Go away.')) AS v(junk_id, junk))"
+DIRTY = f"{JUNK}, cd AS (SELECT item_id, junk_id, place, {points('v', "'73:' || v")} - {points('text', "'73:' || text")} AS delta FROM (SELECT item_id, junk_id, text, place, CASE WHEN place = 'before' THEN junk || ' ' || text ELSE text || ' ' || junk END AS v FROM benchmark CROSS JOIN jn CROSS JOIN (VALUES ('before'), ('after')) AS w(place)))"
+
+
+def contaminated(spark, d):
+    """Every good answer with each junk before and after it, against the clean one: score differences."""
+    junk = [("filler", "This says nothing."), ("rude", "Go away.")]
+    arms = F.array(*[F.struct(F.lit(i).alias("junk_id"), F.lit(p).alias("place"), (F.concat(F.lit(j + " "), "text") if p == "before" else F.concat("text", F.lit(" " + j))).alias("v")) for i, j in junk for p in ("before", "after")])
+    s = lambda c: scored(F.col(c), F.lit(73), F.col(c))
+    return table(spark, d, "benchmark").select("item_id", "text", F.inline(arms)).select("item_id", "junk_id", "place", (s("v") - s("text")).alias("delta"))
+
+
 @add("d10_attack_vs_control", f"WITH {ROWS_SQL} SELECT a.affix_id, a.control_for, a.position, count(*) AS n, round(avg(a.score - c.score), 6) AS delta FROM r a JOIN r c ON a.control_for = c.affix_id AND a.position = c.position AND a.item_id = c.item_id WHERE a.split = 'test' GROUP BY ALL")
 def d10(spark, d):
     r = attack_rows(spark, d).where("split = 'test'")
@@ -108,9 +120,10 @@ def e8(spark, d):
 SUMMARY = "neutral AS (SELECT position, avg(score - base_score) AS lift FROM r WHERE family = 'neutral_control' AND split = 'test' GROUP BY position), sm AS (SELECT affix_id, family, position, count(*) AS n, avg(CASE WHEN split = 'dev' THEN score - base_score END) AS dev_lift, avg(CASE WHEN split = 'test' THEN score - base_score END) AS lift, avg(CASE WHEN split = 'test' AND ok THEN (score > p50)::INT END) AS asr, avg(CASE WHEN split = 'test' AND ok THEN (base_score > p50)::INT END) AS baseline FROM r JOIN th ON item_id % 5 = bucket GROUP BY ALL)"
 
 
-def summary(spark, d):
-    """Per affix and position: rank on the development half, report on the test half, adjust by the neutral control."""
-    r = attack_rows(spark, d)
+def summary(spark, d, r=None):
+    """Per affix and position: rank on the development half, report on the test half, adjust by the neutral control.
+    r: attack_rows, if they are at hand."""
+    r = attack_rows(spark, d) if r is None else r
     dev, test = F.col("split") == "dev", F.col("split") == "test"
     s = r.groupBy("affix_id", "family", "position").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.when(dev, F.col("lift"))).alias("dev_lift"), F.avg(F.when(test, F.col("lift"))).alias("lift"),

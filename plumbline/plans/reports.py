@@ -14,7 +14,7 @@ from ..sources.tables import answers, table
 from . import stimuli as plan
 from .findings import F_SQL, found
 from .inference import BOOT, GAPS, HASH, NAMES, PERM, _omnibus_sql, boot_sql, gaps, names
-from .joins import FACTORS, ROWS_SQL, SUMMARY, points, premiums, rounded, scored, summary
+from .joins import DIRTY, FACTORS, ROWS_SQL, SUMMARY, contaminated, points, premiums, rounded, scored, summary
 from .stimuli import A, S, U, WORDS, quoted
 
 QUERIES, ORACLES = {}, {}
@@ -100,18 +100,6 @@ def c11(spark, d):
     return both.groupBy("lang").agg(F.count(F.lit(1)).alias("scored"), F.sum((~F.col("score").eqNullSafe(F.col("again"))).cast("long")).alias("differing"))
 
 
-JUNK = "jn AS (SELECT * FROM (VALUES ('filler', 'This says nothing.'), ('rude', 'Go away.')) AS v(junk_id, junk))"
-DIRTY = f"{JUNK}, cd AS (SELECT item_id, junk_id, place, {points('v', "'73:' || v")} - {points('text', "'73:' || text")} AS delta FROM (SELECT item_id, junk_id, text, place, CASE WHEN place = 'before' THEN junk || ' ' || text ELSE text || ' ' || junk END AS v FROM benchmark CROSS JOIN jn CROSS JOIN (VALUES ('before'), ('after')) AS w(place)))"
-
-
-def contaminated(spark, d):
-    """Every good answer with each junk before and after it, against the clean one: score differences."""
-    junk = [("filler", "This says nothing."), ("rude", "Go away.")]
-    arms = F.array(*[F.struct(F.lit(i).alias("junk_id"), F.lit(p).alias("place"), (F.concat(F.lit(j + " "), "text") if p == "before" else F.concat("text", F.lit(" " + j))).alias("v")) for i, j in junk for p in ("before", "after")])
-    s = lambda c: scored(F.col(c), F.lit(73), F.col(c))
-    return table(spark, d, "benchmark").select("item_id", "text", F.inline(arms)).select("item_id", "junk_id", "place", (s("v") - s("text")).alias("delta"))
-
-
 @add("d12_contamination", f"WITH {DIRTY} SELECT place, count(*) AS n, round(avg(delta), 6) AS mean_delta, round(coalesce(count(*) FILTER (delta > 0) / nullif(count(*) FILTER (delta <> 0), 0), 0.5)::DOUBLE, 6) AS win_rate, CASE WHEN avg(delta) < 0 THEN 'healthy' ELSE 'vulnerability' END AS valence FROM cd GROUP BY place")
 def d12(spark, d):
     n = F.sum((F.col("delta") != 0).cast("long"))
@@ -336,7 +324,7 @@ def j_descriptors(spark, d):
     return rounded(x.groupBy("lang").agg(F.avg("centred").alias("mean"), (F.max("centred") - F.min("centred")).alias("spread"), F.count(F.lit(1)).alias("templates")))
 
 
-@add("j_bias_bars", f"WITH {F_SQL} SELECT title, round(effect, 6) AS effect, round(ratio, 5) AS ratio, CASE WHEN material THEN 'material' WHEN confirmed THEN 'confirmed' ELSE 'open' END AS state FROM j WHERE category = 'identity'")
+@add("j_bias_bars", f"WITH RECURSIVE {F_SQL} SELECT title, round(effect, 6) AS effect, round(ratio, 5) AS ratio, CASE WHEN material THEN 'material' WHEN confirmed THEN 'confirmed' ELSE 'open' END AS state FROM j WHERE category = 'identity'")
 def j_bias(spark, d):
     x = found(spark, d).where("category = 'identity'")
     return x.select("title", F.round("effect", 6).alias("effect"), F.round("ratio", 5).alias("ratio"), F.when(F.col("material"), "material").when(F.col("confirmed"), "confirmed").otherwise("open").alias("state"))
@@ -358,7 +346,7 @@ def j_decomposition(spark, d):
 # verdicts
 
 
-@add("i7_module_items", f"WITH {F_SQL} SELECT category, title, round(ratio, 5) AS ratio, valence = 'vulnerability' AND effect > 0 AS adverse, material FROM j WHERE kind <> 'key_contrast'")
+@add("i7_module_items", f"WITH RECURSIVE {F_SQL} SELECT category, title, round(ratio, 5) AS ratio, valence = 'vulnerability' AND effect > 0 AS adverse, material FROM j WHERE kind <> 'key_contrast'")
 def i7(spark, d):
     x = found(spark, d).where("kind <> 'key_contrast'")
     return x.select("category", "title", F.round("ratio", 5).alias("ratio"), ((F.col("valence") == "vulnerability") & (F.col("effect") > 0)).alias("adverse"), "material")

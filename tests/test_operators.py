@@ -1,5 +1,7 @@
 """Properties that the analyses must have, on planted data."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -241,28 +243,47 @@ def panel_rows(seed=11, clusters=12, each=8):
 
 
 def test_wild_regression_matches_refits(spark):
-    """The same signs, every draw refitted from full matrices."""
-    rows = panel_rows()
+    """The same signs, every draw refitted from full matrices: p and the interval of every coefficient."""
+    rows, draws = panel_rows(), 300
     fit = regression.fit_fe(frame(spark, rows, "g int, x double, z double, y double"), "y", ["x", "z"], "g")
-    got = {r["term"]: r for r in regression.wild_tests(fit, 150, 5).collect()}
+    got = {r["term"]: r for r in regression.wild_tests(fit, draws, 5).collect()}
     g, x, y = np.array([r[0] for r in rows]), np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
     for k in set(g):
         x[g == k] -= x[g == k].mean(0)
         y[g == k] -= y[g == k].mean()
     inverse = np.linalg.inv(x.T @ x)
-    signs = {k: np.random.default_rng([5, int(k)]).integers(0, 2, 150) * 2 - 1 for k in set(g)}
+    assert fit.r2 == pytest.approx(1 - ((y - x @ inverse @ x.T @ y) ** 2).sum() / (y @ y)) and (fit.n_obs, fit.n_clusters) == (len(rows), len(set(g)))
+    bit = lambda k, d: int(hashlib.sha256(f"5:{d // 256}:{k}".encode()).hexdigest(), 16) >> (255 - d % 256) & 1
+    signs = {k: [1 - 2 * bit(k, d) for d in range(draws)] for k in set(g)}
     for j, name in enumerate(("x", "z")):
         other = 1 - j
         b = np.zeros(2)
         b[other] = (x[:, other] @ y) / (x[:, other] @ x[:, other])
-        u, hits = y - x @ b, 0
-        for d in range(150):
+        u, hits, drawn = y - x @ b, 0, []
+        for d in range(draws):
             star = x @ b + u * np.array([signs[k][d] for k in g])
             beta = inverse @ (x.T @ star)
             e = star - x @ beta
             meat = sum(np.outer(v, v) for v in (x[g == k].T @ e[g == k] for k in set(g)))
             hits += abs(beta[j]) / np.sqrt((inverse @ meat @ inverse)[j, j]) >= abs(got[name]["t"]) - 1e-9
-        assert got[name]["p"] == pytest.approx((1 + hits) / 151)
+            drawn.append(beta[j])
+        assert got[name]["p"] == pytest.approx((1 + hits) / (draws + 1))
+        spread = np.percentile(np.array(drawn) - np.mean(drawn), [2.5, 97.5])
+        assert (got[name]["ci_low"], got[name]["ci_high"]) == pytest.approx(tuple(got[name]["coef"] + spread))
+
+
+def test_string_clusters_and_what_they_add_to_a_coefficient(spark):
+    rows = [(f"c{g}", *r) for g, *r in panel_rows()]
+    fit = regression.fit_fe(frame(spark, rows, "g string, x double, z double, y double"), "y", ["x", "z"], "g")
+    assert 0 < regression.wild_tests(fit, 50, 5).where("term = 'z'").first()["p"] <= 1
+    sums = {r["name"]: r for r in regression.coefficient_sums(fit, ["x", "z"]).groupBy("name").agg(F.sum("s").alias("s"), F.count("s").alias("n")).collect()}
+    assert [sums[t]["s"] for t in ("x", "z")] == pytest.approx(fit.beta) and sums["x"]["n"] == 12
+
+
+def test_knots_fall_back_to_three(spark):
+    rows = [(1.0,)] * 70 + [(float(x),) for x in range(2, 32)]
+    assert regression.knots(frame(spark, rows, "x double"), "x", (0.05, 0.35, 0.65)) == sorted(set(np.quantile([r[0] for r in rows], [0.1, 0.5, 0.9])))
+    assert regression.with_spline(frame(spark, [(1.0,)] * 9, "x double"), "x").columns == ["x"]
 
 
 def test_length_curve_is_the_spline_itself(spark):
