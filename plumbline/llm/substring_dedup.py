@@ -14,22 +14,23 @@ Nothing is paired: counts of stretches are combined before they move, and an anc
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, maybe_members, member_filter
+from .common import cache_of, map_texts, materialize, maybe_members, member_filter
 
 WINDOW, ANCHOR = 35, 6
 SPAN = WINDOW - ANCHOR + 1  # anchors that begin in a window
 #: Anchors with more kinds of stretches are told apart by whole windows; words of a block's reference at a time.
-MOST_KINDS, BLOCK_WORDS = 4096, 1 << 18
+MOST_KINDS, BLOCK_WORDS = 1024, 1 << 18
 MOST_FILTER_BITS = 1 << 26
 _PART, _CHUNK = 1 << 20, 1 << 17
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64) | np.uint64(1)
@@ -49,35 +50,77 @@ def words_of(text: str | None) -> Iterator[list[bytes]]:
         at = end
 
 
-def hashes(text: str | None) -> np.ndarray:
-    parts = [np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)) for w in words_of(text)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
 
 
-def stretches(words: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(h, d, at, n): anchor, digest of the words, first window and number of windows of each stretch, in order."""
+#: Of a byte, and of places in a part of a text: a word's hash is the polynomial of its bytes, mixed.
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[1])
+_GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_IS_GAP = np.zeros(256, bool)
+_IS_GAP[list(b" \t\n\r\x0b\x0c")] = True
+
+
+def _powers_of(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+@functools.lru_cache(1)
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base for n places, and their inverses."""
+    return _powers_of(_ODD[0], n), _powers_of(np.uint64(pow(int(_ODD[0]), -1, 1 << 64)), n)
+
+
+cache_of("substring", _places.cache_clear)
+
+
+def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of some texts, and which text each is in; some 10^6 bytes at a time."""
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    begins = np.cumsum([0] + [len(x) + 1 for x in data[:-1]])
+    data, at, out = b"\n".join(data), 0, []
+    while at < len(data):
+        gap = _GAP.search(data, at + _PART)
+        end = gap.start() if gap else len(data)
+        part = np.frombuffer(data, np.uint8, end - at, at)
+        power, inverse = (x[: len(part)] for x in _places(max(_PART, len(part)) if len(part) > _PART * 2 else _PART * 2))
+        edge = np.flatnonzero(np.diff(np.r_[True, _IS_GAP[part], True].view(np.int8)))
+        start, stop = edge[::2], edge[1::2]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * power, out=sums[1:])
+        h = _mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
+        out.append((h, np.searchsorted(begins, start + at, "right") - 1))
+        at = end
+    return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def stretches(words: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(h, d, at, n, text) of each stretch, in order: anchor, digest of the words, first window, number of windows and
+    the text it stands in. words: of one text or of several, one after the other; text: each word's text, from 0."""
+    text = np.zeros(len(words), np.int64) if text is None else text
+    begins = np.searchsorted(text, np.arange(text[-1] + 1)) if len(text) else text  # a text's first word
     out = []
     for first in range(0, len(words) - WINDOW + 1, _CHUNK):
-        w = words[first : first + _CHUNK + WINDOW - 1]
+        w, of = words[first : first + _CHUNK + WINDOW - 1], text[first : first + _CHUNK + WINDOW - 1]
         grams = np.zeros(len(w) - ANCHOR + 1, np.uint64)
         for i in range(ANCHOR):
             grams += w[i : len(grams) + i] * _powers[0, i]
         grams = _mixed(grams)
-        at = np.arange(len(w) - WINDOW + 1)
-        place = at + np.lib.stride_tricks.sliding_window_view(grams, SPAN).argmin(axis=1)  # the first of equal ones
-        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        n = np.diff(np.r_[start, len(at)])
+        inside = of[: len(w) - WINDOW + 1] == of[WINDOW - 1 :]  # windows of two texts are none
+        place = np.arange(len(inside)) + np.lib.stride_tricks.sliding_window_view(grams, SPAN).argmin(axis=1)  # the first of equal ones
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1] | (place[1:] != place[:-1])
+        start = np.flatnonzero(begin)
+        n = np.bincount(np.cumsum(begin)[inside] - 1, minlength=len(start))
         size, d = n + WINDOW - 1, np.zeros(len(start), np.uint64)
         for i in range(WINDOW + SPAN - 1):
-            live = size > i
-            d[live] += w[start[live] + i] * _powers[1, i]
-        out.append((grams[place[start]], _mixed(d + size.astype(np.uint64)), start + first, n))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, int),) * 2
+            live = start[size > i] + i
+            d[size > i] += w[live] * _powers[1, i]
+        out.append((grams[place[start]], _mixed(d + size.astype(np.uint64)), start + first - begins[of[start]], n, of[start]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
 
 
 def longest_matches(codes: np.ndarray) -> np.ndarray:
@@ -154,11 +197,10 @@ def _key(text: str) -> Column:
 
 
 def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The stretches of a few hundred texts at a time, as arrays over all of them."""
     for f in frames:
-        for k, text in zip(f["k"], f["text"]):
-            h, d, at, n = stretches(hashes(text))
-            if len(h):
-                yield pd.DataFrame({"k": [k] * len(h), "h": h.view(np.int64), "d": d.view(np.int64), "at": at, "n": n})
+        h, d, at, n, text = stretches(*hashes(f["text"].to_list()))
+        yield pd.DataFrame({"k": f["k"].to_numpy()[text], "h": h.view(np.int64), "d": d.view(np.int64), "at": at, "n": n})
 
 
 def _contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +208,7 @@ def _contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for k, text, want in zip(f["k"], f["text"], f["want"]):
-            w = hashes(text)
+            w, _ = hashes([text])
             for s in want:
                 at, n = s["at"], s["n"]
                 if not s["crowded"]:
@@ -186,7 +228,7 @@ def _filter(keys: DataFrame) -> tuple[DataFrame, int]:
 
 def duplicate_spans(texts: DataFrame, most_kinds: int = MOST_KINDS) -> DataFrame:
     """(k, spans): per text's key the runs (at, n) of windows that stand elsewhere. texts: k, text, a row per document."""
-    index = materialize(map_texts(texts, "substring-index", _index, "k binary, h long, d long, at int, n int"), "stretches")
+    index = materialize(map_texts(texts, "substring", _index, "k binary, h long, d long, at int, n int"), "stretches")
     kinds = index.groupBy("h", "d").agg(F.count(F.lit(1)).alias("c"))
     shared = kinds.groupBy("h").agg(F.sum("c").alias("places"), F.count(F.lit(1)).alias("kinds")).where("places > 1")
     shared = materialize(kinds.join(shared, "h").select("h", "d", "c", "kinds"), "shared")
@@ -200,7 +242,7 @@ def duplicate_spans(texts: DataFrame, most_kinds: int = MOST_KINDS) -> DataFrame
     want = materialize(want.groupBy("k").agg(F.collect_list("s").alias("want")), "wanted")
     words, bits = _filter(want)
     found = maybe_members(texts, words, "k", bits).join(want, "k")
-    content = map_texts(found, "substring-content", _contents, "crowded boolean, h long, k binary, at int, n int, c long, words binary", rows=32).distinct()
+    content = map_texts(found, "substring", _contents, "crowded boolean, h long, k binary, at int, n int, c long, words binary", rows=32).distinct()
     content = materialize(content, "contents")
     blocks = content.where("not crowded").drop("crowded")
     parsed = blocks.repartition("h").sortWithinPartitions("h").mapInArrow(factored, "k binary, at int, n int")
@@ -248,7 +290,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same = marked.where(~hit).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept string"
-    return map_texts(same, "substring-rebuild", _rebuilt, schema).unionByName(map_texts(changed, "substring-rebuild", _rebuilt, schema))
+    return map_texts(same, "substring", _rebuilt, schema).unionByName(map_texts(changed, "substring", _rebuilt, schema))
 
 
 ORACLE = r"""
