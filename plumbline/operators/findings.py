@@ -111,3 +111,23 @@ def adjusted_within(findings: DataFrame, by: str, p: str, tie: str) -> DataFrame
     x = findings.withColumn("_k", F.row_number().over(up)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(by)))
     back = Window.partitionBy(by).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
     return x.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_k")).over(back))).drop("_k", "_m")
+
+
+def matched_once(left: DataFrame, right: DataFrame, by: list[str], value: str, order: str, width: float = 1e-9) -> DataFrame:
+    """left with `match`, a struct of right's columns: rows of a group (by) whose values lie within width of each other
+    are paired, each row once. Equal values are paired in the order of the column `order` of each side, so two rows that
+    happen to agree don't share a partner; a row without a partner left has a null.
+
+    Values are cut into runs where two neighbours lie width apart or more, and ranks inside a run are paired.
+    """
+    x = left.select(*by, F.col(value).alias("_v"), F.lit(0).alias("_side"), F.col(order).cast("string").alias("_order"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*right.columns).alias("r")).schema["r"].dataType).alias("_r"))
+    y = right.select(*by, F.col(value).alias("_v"), F.lit(1).alias("_side"), F.col(order).cast("string").alias("_order"), F.lit(None).cast(x.schema["_l"].dataType).alias("_l"), F.struct(*right.columns).alias("_r"))
+    w = Window.partitionBy(*by).orderBy("_v", "_side", "_order")
+    both = x.unionByName(y).where(F.col("_v").isNotNull()).withColumn("_new", (F.col("_v") - F.lag("_v").over(w) >= width).cast("int"))
+    both = both.withColumn("_run", F.sum(F.coalesce("_new", F.lit(1))).over(w))
+    both = both.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_run", "_side").orderBy("_v", "_order")))
+    a = both.where("_side = 0").select(*by, "_run", "_place", "_v", "_l")
+    b = both.where("_side = 1").select(*by, "_run", "_place", F.col("_v").alias("_w"), "_r")
+    met = a.join(b, [*by, "_run", "_place"], "left")
+    found = met.select("_l.*", F.when(F.abs(F.col("_v") - F.col("_w")) < width, F.col("_r")).alias("match"))
+    return found.unionByName(left.where(F.col(value).isNull()).withColumn("match", F.lit(None).cast(found.schema["match"].dataType)))

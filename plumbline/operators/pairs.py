@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 from .quantiles import order_statistics
+from .resampling import numbered
 
 #: Thresholds per round, pairs of a group that are made at the end, and the width, as a share of the spread, that needs no other round.
 SECTIONS, MOST_PAIRS, LEAST_WIDTH = 16, 100_000, 1e-12
@@ -61,6 +62,13 @@ def pair_moments(values: DataFrame, *by: str) -> DataFrame:
     return x.groupBy(*by).agg((n.cast("decimal(38,0)") * (n - 1) / 2).cast("long").alias("pairs"), (n * ss - s * s).alias("sq"), (F.max("v") - F.min("v")).alias("spread"))
 
 
+def signed_sum(df: DataFrame, value: str, order: str, *by: str) -> DataFrame:
+    """(*by, total): the sum over all pairs of the earlier value less the later one. The i-th of n (from 0) is added in
+    n - 1 - i pairs and taken off in i. Rows are numbered by a sort in ranges."""
+    x = numbered(df.select(*by, F.col(order).alias("cluster"), F.col(value).alias("v")), *by)
+    return x.groupBy(*by).agg(F.sum(F.col("v") * (F.col("g") - 1 - 2 * F.col("ix"))).alias("total"))
+
+
 def _made(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
     """(by, v, c): differences at least lo and below hi, and how many pairs have each. Values meet by cells as wide as
     the bracket, of which a value needs three."""

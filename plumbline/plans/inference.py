@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, stimuli
 from ..functions.text import hashed, uniform, word_count
 from ..operators import regression, resampling as R
+from ..operators.quantiles import quantiles
 from ..sources.tables import answers, table
 from .stimuli import A, U, WORDS, quoted
 
@@ -292,7 +293,7 @@ b AS (SELECT p, won, least(len(list_filter(edges, lambda x: x <= p)), len(edges)
 SELECT bin::BIGINT AS bin, round(avg(p), 6) AS predicted, round(avg(won::INT), 6) AS observed, count(*) AS n FROM b GROUP BY bin HAVING count(*) >= 5""".replace(", e AS (SELECT list_distinct([quantile_cont(p, k / 8.0) FOR k IN range(0, 9)]) AS dummy FROM (SELECT 1 AS p) t)", ""))
 def e17(spark, d):
     c = gaps(spark, d).select((1 / (1 + F.exp(-F.abs("gap") / 3))).alias("p"), (F.col("gap") > 0).alias("won"))
-    edges = c.agg(F.array_sort(F.array_distinct(F.percentile("p", F.array(*[F.lit(k / 8) for k in range(9)])))).alias("edges"))
+    edges = quantiles(c, "p", [k / 8 for k in range(9)]).select(F.array_sort(F.array_distinct("q")).alias("edges"))
     b = c.crossJoin(F.broadcast(edges)).withColumn("bin", F.least(F.size(F.filter("edges", lambda x: x <= F.col("p"))), F.size("edges") - 1).cast("long"))
     return rounded(b.groupBy("bin").agg(F.avg("p").alias("predicted"), F.avg(F.col("won").cast("int")).alias("observed"), F.count(F.lit(1)).alias("n")).where("n >= 5"))
 

@@ -13,6 +13,7 @@ from ..functions import scoring, stimuli
 from ..functions.text import hashed, word_count
 from ..operators import beam
 from ..operators import findings as R
+from ..operators.quantiles import quantiles
 from ..sources.tables import answers, table
 from .stimuli import A, AFFIXES, GRID_SQL, U, WORDS, grid, quoted
 
@@ -81,14 +82,17 @@ def d9(spark, d):
 ROWS_SQL = f"{GRID_SQL}, r AS (SELECT item_id, affix_id, family, position, control_for, CASE WHEN {"('0x' || substr(sha256('43:' || item_id), 1, 8))::BIGINT"} % 2 = 0 THEN 'dev' ELSE 'test' END AS split, {points('base', "'47:' || base")} AS base_score, {points('v', "'47:' || v")} AS score FROM g), b AS (SELECT DISTINCT item_id, split, base_score FROM r), th AS (SELECT item_id % 5 AS bucket, count(*) >= 8 AS ok, quantile_cont(base_score, 0.25) AS p25, quantile_cont(base_score, 0.5) AS p50, quantile_cont(base_score, 0.75) AS p75, quantile_cont(base_score, 0.9) AS p90 FROM b GROUP BY 1)"
 
 
+def thresholds(spark, d):
+    """(bucket, ok, p): what the bare answers of a bucket of items score at four levels; ok where there are enough."""
+    bases = table(spark, d, "benchmark").select((F.col("item_id") % 5).alias("bucket"), scored(F.col("text"), F.lit(47), F.col("text")).alias("s"))
+    return quantiles(bases, "s", [0.25, 0.5, 0.75, 0.9], "bucket").select("bucket", (F.col("n") >= 8).alias("ok"), F.col("q").alias("p"))  # five rows
+
+
 def attack_rows(spark, d):
     """The grid, scored: lift over the item's bare base, split, and whether it beats the reference percentiles."""
     g = grid(spark, d).withColumn("base_score", scored(F.col("base"), F.lit(47), F.col("base"))).withColumn("score", scored(F.col("v"), F.lit(47), F.col("v")))
     g = g.withColumn("split", F.when(hashed(F.lit(43), F.col("item_id")) % 2 == 0, "dev").otherwise("test"))
-    bases = table(spark, d, "benchmark").select((F.col("item_id") % 5).alias("bucket"), scored(F.col("text"), F.lit(47), F.col("text")).alias("s"))
-    p = F.percentile("s", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-    th = bases.groupBy("bucket").agg((F.count(F.lit(1)) >= 8).alias("ok"), p.alias("p"))  # five rows
-    g = g.withColumn("bucket", F.col("item_id") % 5).join(F.broadcast(th), "bucket", "left")
+    g = g.withColumn("bucket", F.col("item_id") % 5).join(F.broadcast(thresholds(spark, d)), "bucket", "left")
     return g.withColumns({f"beats_{n}": F.when(F.col("ok"), (F.col("score") > F.col("p")[i]).cast("double")) for i, n in enumerate(("p25", "p50", "p75", "p90"))}).withColumn("lift", F.col("score") - F.col("base_score"))
 
 
@@ -96,12 +100,17 @@ JUNK = "jn AS (SELECT * FROM (VALUES ('filler', 'This says nothing.'), ('rude',
 DIRTY = f"{JUNK}, cd AS (SELECT item_id, junk_id, place, {points('v', "'73:' || v")} - {points('text', "'73:' || text")} AS delta FROM (SELECT item_id, junk_id, text, place, CASE WHEN place = 'before' THEN junk || ' ' || text ELSE text || ' ' || junk END AS v FROM benchmark CROSS JOIN jn CROSS JOIN (VALUES ('before'), ('after')) AS w(place)))"
 
 
-def contaminated(spark, d):
-    """Every good answer with each junk before and after it, against the clean one: score differences."""
+def contaminated_texts(spark, d):
+    """Every good answer with each junk before and after it."""
     junk = [("filler", "This says nothing."), ("rude", "Go away.")]
     arms = F.array(*[F.struct(F.lit(i).alias("junk_id"), F.lit(p).alias("place"), (F.concat(F.lit(j + " "), "text") if p == "before" else F.concat("text", F.lit(" " + j))).alias("v")) for i, j in junk for p in ("before", "after")])
+    return table(spark, d, "benchmark").select("item_id", "text", F.inline(arms))
+
+
+def contaminated(spark, d):
+    """Good answers with junk against the clean ones: score differences."""
     s = lambda c: scored(F.col(c), F.lit(73), F.col(c))
-    return table(spark, d, "benchmark").select("item_id", "text", F.inline(arms)).select("item_id", "junk_id", "place", (s("v") - s("text")).alias("delta"))
+    return contaminated_texts(spark, d).select("item_id", "junk_id", "place", (s("v") - s("text")).alias("delta"))
 
 
 @add("d10_attack_vs_control", f"WITH {ROWS_SQL} SELECT a.affix_id, a.control_for, a.position, count(*) AS n, round(avg(a.score - c.score), 6) AS delta FROM r a JOIN r c ON a.control_for = c.affix_id AND a.position = c.position AND a.item_id = c.item_id WHERE a.split = 'test' GROUP BY ALL")

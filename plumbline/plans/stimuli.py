@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, stimuli
 from ..functions.text import digest, sentences, word_count
+from ..operators.quantiles import quantiles
 from ..sources.tables import answers, table, upsert
 
 QUERIES, ORACLES = {}, {}
@@ -158,8 +159,7 @@ def b18(spark, d):
 SELECT cluster, count(*) AS n_refs, count(*) >= 8 AS ref_ok, round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.9), 6) AS p90 FROM x GROUP BY cluster""")
 def b20(spark, d):
     x = answers(spark, d).select("cluster", scoring.length_score(F.col("answer")).alias("score"))
-    p = F.percentile("score", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-    out = x.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_refs"), p.alias("p"))
+    out = quantiles(x, "score", [0.25, 0.5, 0.75, 0.9], "cluster").select("cluster", F.col("n").alias("n_refs"), F.col("q").alias("p"))
     return out.select("cluster", "n_refs", (F.col("n_refs") >= 8).alias("ref_ok"), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90"))])
 
 

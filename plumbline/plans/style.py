@@ -33,17 +33,22 @@ def add(name: str, sql: str | None = None):
     return keep
 
 
-def style_arms(spark, d, seed: int = SEED, noise: float = 0.4, coef: float = 0.01, likes: dict[str, float] | None = None) -> DataFrame:
-    """(cluster, transform, dose, grp, x, y): every document plain and under every transform and dose, with its length
-    (x, in hundreds of words) and score. likes: what a transform earns for each dose, of a planted scorer.
+def arm_texts(spark, d) -> DataFrame:
+    """(cluster, question, transform, dose, grp, v): every document plain and under every transform and dose.
 
-    The texts are dealt out evenly once, as each is then written and scored over thirty times; only numbers leave.
+    The texts are dealt out evenly once, as each is then written over thirty times.
     """
     a = answers(spark, d).select("doc_id", "question", "answer").repartition("doc_id").withColumn("s", sentences(F.col("answer")))
     arm = lambda t, k, g, v: F.struct(F.lit(t).alias("transform"), F.lit(k).alias("dose"), F.lit(g).alias("grp"), v.alias("v"))
     arms = [arm("baseline", 0, "baseline", F.col("answer"))]
     arms += [arm(t, k, g, stimuli.variant(t, k, F.col("answer"), F.col("s"), F.col("s"))) for t, (doses, g) in stimuli.DOSES.items() for k in doses]
-    x = a.select(F.col("doc_id").alias("cluster"), "question", F.inline(F.array(*arms))).withColumn("n", word_count(F.col("v")))
+    return a.select(F.col("doc_id").alias("cluster"), "question", F.inline(F.array(*arms)))
+
+
+def style_arms(spark, d, seed: int = SEED, noise: float = 0.4, coef: float = 0.01, likes: dict[str, float] | None = None) -> DataFrame:
+    """(cluster, transform, dose, grp, x, y): the arms with their length (x, in hundreds of words) and score; only
+    numbers leave. likes: what a transform earns for each dose, of a planted scorer."""
+    x = arm_texts(spark, d).withColumn("n", word_count(F.col("v")))
     y = F.col("n") * coef
     if noise:
         y = y + (uniform(F.lit(seed), F.col("question"), F.col("v")) - 0.5) * noise

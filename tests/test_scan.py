@@ -67,12 +67,12 @@ def test_scan_goes_on_where_it_was(spark, tmp_path):
 
 
 def test_stacks_are_scored_again_on_held_out_items(spark):
-    got = scan.searched(spark, DATA, 2, 2).collect()
+    got = scan.searched(spark, DATA, 2, 2)["stacks"].collect()
     assert len(got) == 2 and all(r["n"] > 0 and r["heldout_lift"] is not None for r in got)
 
 
 def test_rehearsal_counts_what_the_cache_lacks(spark):
-    keys = answers(spark, DATA).select(cache_key(F.lit("q"), F.col("answer")).alias("key")).distinct()
-    got = {r["step"]: (r["texts"], r["to_score"]) for r in scan.rehearse(spark, DATA, keys.limit(10)).collect()}
+    keys = answers(spark, DATA).select(cache_key(F.col("question"), F.col("answer")).alias("key")).distinct()
+    got = {r["step"]: (r["texts"], r["to_score"]) for r in scan.rehearse(spark, DATA, keys.limit(10), "standard").collect()}
     n = keys.count()
-    assert got["style"] == (n, n - 10) and got["search"] == (None, None)
+    assert got["noise_floor"] == (n, n - 10) and got["identity"] == (n, 0) and got["reward_hacking"][1] is None
