@@ -33,9 +33,9 @@ RAW = frozenset("script style textarea title iframe noscript xmp".split())
 SILENT = frozenset("template object svg math canvas audio video select datalist".split())
 BLOCKS = frozenset(
     "html body div article section main nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption "
-    "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary center hgroup menu dialog button legend".split()
+    "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary center hgroup menu dialog button legend label".split()
 )
-ENDS_P = BLOCKS - {"html", "body", "button", "legend", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "li", "dt", "dd"} | {"hr"}
+ENDS_P = BLOCKS - {"html", "body", "button", "legend", "label", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "li", "dt", "dd"} | {"hr"}
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 # What a name of class, id or role says if all its words are among these or the neutral ones.
@@ -47,23 +47,23 @@ HINTS = {
     "notice": "cookie cookies consent notice notices popup modal newsletter subscribe paywall gdpr overlay",
     "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion",
     "form": "login signup signin search register",
-    "comment": "comment comments commentlist discussion disqus reply replies respond",
+    "comment": "comment comments commentlist discussion disqus reply replies respond response responses thread threads",
     "share": "share sharing social",
     "main": "article story post entry main content",
 }
-NEUTRAL = frozenset("site page box wrap wrapper list block area section container inner outer top bottom left right global bar item unit slot group panel row col links body".split())
+NEUTRAL = frozenset("site page box wrap wrapper list block area section container inner outer top bottom left right global bar item unit slot group panel row col links body user reader".split())
 _HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
 # Stated log-odds of content; training starts from them and is weakly pulled towards them.
 PRIOR = {
     "tag:nav": -4.0, "tag:footer": -4.0, "tag:aside": -4.0, "tag:form": -4.0, "tag:header": -3.0, "tag:menu": -4.0, "tag:dialog": -4.0, "tag:button": -4.0,
-    "tag:fieldset": -3.0, "tag:address": -1.0, "tag:legend": -3.0, "tag:article": 3.0, "tag:main": 2.0, "tag:p": 1.0, "tag:h1": 1.0, "tag:h2": 0.5, "tag:h3": 0.5,
+    "tag:fieldset": -3.0, "tag:label": -4.0, "tag:address": -1.0, "tag:legend": -3.0, "tag:article": 3.0, "tag:main": 2.0, "tag:p": 1.0, "tag:h1": 1.0, "tag:h2": 0.5, "tag:h3": 0.5,
     "tag:blockquote": 1.0, "tag:pre": 1.0, "in:header": 1.0, "in:footer": -3.0, "hint:menu": -4.0, "hint:header": -3.0, "hint:footer": -4.0, "hint:side": -4.0,
     "hint:notice": -4.0, "hint:advert": -5.0, "hint:form": -4.0, "hint:comment": -5.0, "hint:share": -4.0, "hint:main": 1.5, "hidden": -5.0,
     "links:2": -1.0, "links:3": -2.0, "len:4": 1.0, "len:3": 0.5, "linky": -1.0, "copy": -1.0, "away": -2.0, "below": -9.0,
 }
 TELLING = frozenset("article main nav footer aside header".split())
 #: What these hold is as far from content as they are, however it looks.
-AWAY_TAGS = frozenset("nav footer aside header menu dialog".split())
+AWAY_TAGS = frozenset("nav footer aside header menu dialog button legend label".split())
 AWAY_HINTS = ("comment", "advert", "menu", "footer", "side", "share", "form", "notice")
 #: What has less log-odds by its own features, or begins what is far from content, says nothing against the article that holds it.
 APART_FROM = -2.0
@@ -308,10 +308,13 @@ def features(t: Tree, masked: bool = False) -> list[list[str]]:
     out = []
     for i in range(n):
         tag, own, p = tags[i], t.chars[i], t.parent[i]
-        said = hints(t.said[i]) if t.said[i] else ()
+        said = hints(t.said[i]) if t.said[i] else set()
+        if tag in ("article", "main"):
+            said &= {"comment", "main"}  # what an article is about, of whatever name, says nothing against it
         inside[i] = i > 0 and (inside[p] or tags[p] in ("article", "main"))
         away[i] = away[p] if i else ""
-        f = ["in:" + tag if inside[i] and tag in ("header", "footer") else "tag:" + tag]
+        listed = inside[i] and tag in ("ol", "ul", "li")  # an article's own list, whose entries may be links
+        f = ["in:" + tag if inside[i] and tag in ("header", "footer") or listed else "tag:" + tag]
         if away[i] == "notice" and tag in ("article", "main"):
             away[i] = ""  # a notice laid over a page may hold all of it
         if away[i]:
@@ -319,6 +322,8 @@ def features(t: Tree, masked: bool = False) -> list[list[str]]:
         elif kind(tag) != PAGE:
             small_form = tag == "form" and 2 * chars[i] < chars[0]  # some pages are one form
             by_tag = tag in AWAY_TAGS and f[0] != "in:header" or small_form
+            if inside[i] and not linked[i]:
+                said -= {"side"}  # what an article relates, without a link, is its own
             away[i] = next((h for h in AWAY_HINTS if h in said), "") or tag * by_tag or "hidden" * t.hidden[i]
             if away[i]:
                 f.append("away")
@@ -330,11 +335,11 @@ def features(t: Tree, masked: bool = False) -> list[list[str]]:
         f.append(f"len:{(own > 0) + (own >= 25) + (own >= 80) + (own >= 200)}")
         if own:
             share, stops = t.linked[i] / own, t.stops[i] / own
-            f.append(f"links:{(share > 0) + (share > 0.3) + (share > 0.7)}")
+            f.append(f"{'in-' * listed}links:{(share > 0) + (share > 0.3) + (share > 0.7)}")
             f.append(f"stops:{(stops > 0) + (stops > 0.01)}")
         if t.copy[i]:
             f.append("copy")
-        if chars[i] and linked[i] > 0.5 * chars[i]:
+        if chars[i] and linked[i] > 0.5 * chars[i] and not listed:
             f.append("linky")
         if kind(tag) == BOX:
             f.append(f"paragraphs:{(paragraphs[i] > 0) + (paragraphs[i] > 2)}")
@@ -409,7 +414,7 @@ def labels(t: Tree) -> list[int | None] | None:
             p = t.parent[p]
     for i in range(1, len(t.tag)):
         if out[t.parent[i]] == 1:
-            apart = t.tag[i] in ("nav", "footer", "aside", "form", "dialog", "button", "menu") or hints(t.said[i]) - {"main", "header"}
+            apart = t.tag[i] in ("nav", "footer", "aside", "form", "dialog", "button", "legend", "label", "menu") or hints(t.said[i]) - {"main", "header"}
             out[i] = 0 if apart else 1
     return out
 

@@ -707,6 +707,37 @@ def test_held_out_pages_with_and_without_their_tags(page_model):
         assert model.extract(re.sub(r"<(/?)(?:article|main|nav|footer|aside|header)\b", r"<\1div", r)) == want
 
 
+PROSE = "<p>Prose of the article, which has sentences, commas and some length to it so that it counts.</p>"
+
+
+def hand_made(inside, names=""):
+    """A page that no generator made."""
+    return f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article{names}><h1>Title of it</h1>{PROSE}{inside}{PROSE}</article><footer>© 2020 Site</footer></body></html>"
+
+
+SAID = "<p>I liked this, said one reader in the thread.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "kept", "gone"),
+    [
+        (hand_made("", ' class="newsletter"'), "Prose", "Home"),
+        (hand_made("<p>Bake the cookies for ten minutes, then let them cool down.</p>", ' class="cookies"'), "Bake the cookies", "Site"),
+        (hand_made("").replace("<article", "<main id=search").replace("</article", "</main"), "Prose", "Home"),
+        (hand_made('<section class="related"><p>A paragraph about related work, without any link, that belongs to the text.</p></section>'), "related work", "Home"),
+        (hand_made("<ol><li><a href=x>First reference entry</a></li><li><a href=y>Second reference entry</a></li></ol>"), "Second reference", "Home"),
+        *[(hand_made(f"<div {x}>{SAID}</div>"), "Prose", "one reader") for x in ('class="responses"', 'id="disqus_thread"', 'class="thread"', 'class="user-comment"')],
+        (hand_made(f'<article class="comment">{SAID}</article>'), "Prose", "one reader"),
+        (hand_made("<button>Buy now</button>"), "Prose", "Buy now"),
+        (hand_made("<label>Your size</label><select><option>S</option></select>"), "Prose", "Your size"),
+        (hand_made('<div class="related-links"><ul><li><a href=a>Another story here</a></li><li><a href=b>More news today</a></li></ul></div>'), "Prose", "Another story"),
+    ],
+)
+def test_hand_made_pages(page_model, page, kept, gone):
+    got = page_model[0].extract(page)
+    assert kept in got and gone not in got and got.count("Prose of the article") == 2
+
+
 def test_training_moves_the_weights(page_model):
     moved = {k: w - html_extract.PRIOR.get(k, 0.0) for k, w in page_model[0].weights.items()}
     assert sum(abs(x) > 0.5 for x in moved.values()) >= 10
