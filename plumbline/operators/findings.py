@@ -131,3 +131,36 @@ def matched_once(left: DataFrame, right: DataFrame, by: list[str], value: str, o
     met = a.join(b, [*by, "_run", "_place"], "left")
     found = met.select("_l.*", F.when(F.abs(F.col("_v") - F.col("_w")) < width, F.col("_r")).alias("match"))
     return found.unionByName(left.where(F.col(value).isNull()).withColumn("match", F.lit(None).cast(found.schema["match"].dataType)))
+
+
+def described(category: Column, kind: Column, title: Column) -> Column:
+    """A short name of a finding from what it is about, for the axes of charts; of other kinds the title itself."""
+    spaced = F.replace(title, F.lit("_"), F.lit(" "))
+    after = lambda mark: F.substring_index(title, mark, -1)
+    return (
+        F.when((category == "reward_hacking") & (kind == "best_affix"), F.concat(F.lit("best single affix: "), F.substring_index(title, " as ", 1)))
+        .when((category == "reward_hacking") & (kind == "beam_search"), F.concat(F.lit("best stacked attack: "), F.replace(F.regexp_replace(title, "@[a-z]+", ""), F.lit(" > "), F.lit(" + "))))
+        .when((category == "reward_hacking") & (kind == "contamination"), F.concat(title, F.lit(" a good answer")))
+        .when((category == "reward_hacking") & (kind == "key_contrast"), F.replace(F.substring_index(title, " as ", 1), F.lit(" against "), F.lit(" vs ")))
+        .when((category == "identity") & (kind == "omnibus"), F.concat(F.lit("name swap, "), title))
+        .when((category == "style") & (kind == "length_adjusted"), F.concat(spaced, F.lit(", length-adjusted")))
+        .when((category == "style") & (kind == "quality_control"), F.lit("genuine elaboration vs filler"))
+        .when((category == "sycophancy") & (kind == "insistence_slope"), F.concat(F.lit("agreeing pays more at level "), after("level ")))
+        .when((category == "sycophancy") & (kind == "main_effect"), F.lit("agreeing rather than correcting"))
+        .otherwise(title)
+    )
+
+
+def compare_verdict(a: str, b: str, acc_a: Column, acc_b: Column, low_a: Column, low_b: Column, differing: Column) -> Column:
+    """What separates two runs, in one sentence. Agreement with people comes first: a run that is no better than chance
+    is not a milder version of one that is. low: the lower ends of the accuracies' intervals; null where not measured."""
+    percent = lambda c: F.format_string("%.1f%%", c * 100)
+    chance_a, chance_b = F.coalesce(low_a <= 0.5, F.lit(False)), F.coalesce(low_b <= 0.5, F.lit(False))
+    better = F.when(acc_a > acc_b, a).otherwise(b)
+    tail = F.when(differing > 0, F.concat(F.lit("they are rated differently on "), differing.cast("string"), F.lit(" categories"))).otherwise("they land in the same band on every category")
+    return (
+        F.when(chance_a & chance_b, f"{a} and {b} do not beat chance on human preferences")
+        .when(chance_a | chance_b, F.concat(F.when(chance_a, a).otherwise(b), F.lit(" does not beat chance on human preferences; "), F.when(chance_a, b).otherwise(a), F.lit(" manages "), percent(F.greatest(acc_a, acc_b))))
+        .when(acc_a.isNotNull() & acc_b.isNotNull(), F.concat(better, F.lit(" agrees with human preferences more often, "), percent(F.greatest(acc_a, acc_b)), F.lit(" against "), percent(F.least(acc_a, acc_b)), F.lit("; "), tail))
+        .otherwise("neither run measured agreement with human preferences")
+    )

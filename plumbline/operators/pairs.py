@@ -111,3 +111,32 @@ def pair_levels(values: DataFrame, level: float, *by: str, most: int | None = No
     pick = lambda c: found.select(*by, (F.col("place")).alias(f"_{c}"), F.col("v").alias(c))
     x = at.withColumn("_x", F.col("low") - F.col("under")).withColumn("_y", F.col("high") - F.col("under")).join(pick("x"), [*by, "_x"]).join(pick("y"), [*by, "_y"])
     return x.select(*by, (F.col("x") + F.col("part") * (F.col("y") - F.col("x"))).alias("q"))
+
+
+def pooled_level(values: DataFrame, level: float, *by: str, most: int | None = None) -> float | None:
+    """The exact quantile at level of the absolute differences of all pairs of all groups; None without pairs."""
+    most = most or MOST_PAIRS
+    m = pair_moments(values, *by).agg(F.sum("pairs"), F.max("spread")).first()
+    if not m[0]:
+        return None
+    n, spread, spark = m[0], m[1], values.sparkSession
+    spot = (n - 1) * level
+    low, high = int(spot), min(int(spot) + 1, n - 1)
+    lo, hi, under, over = 0.0, spread * 2 + 1, 0, n
+    groups = values.select(*by).distinct()
+    while over - under > most and hi - lo > spread * LEAST_WIDTH:
+        cuts = [(i, lo + (hi - lo) * i / SECTIONS) for i in range(1, SECTIONS)]
+        asked = groups.crossJoin(F.broadcast(spark.createDataFrame(cuts, "k int, t double")))  # a few literals
+        found = {int(r["k"]): int(r["n"]) for r in pairs_below(values, asked, *by).groupBy("k").agg(F.sum("below").alias("n")).collect()}
+        for i, t in cuts:
+            if found[i] <= low:
+                lo, under = t, found[i]
+        for i, t in reversed(cuts):
+            if found[i] > high:
+                hi, over = t, found[i]
+    brackets = groups.select(*by, F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(spread).alias("spread"))
+    made = written(_made(values, brackets, list(by)).groupBy("v").agg(F.sum("c").alias("c")), "pairs")
+    places = spark.createDataFrame(sorted({(low - under,), (high - under,)}), "place long")
+    at = {r["place"]: r["v"] for r in order_statistics(made, places, []).collect()}
+    x, y = at[low - under], at[high - under]
+    return x + (spot - low) * (y - x)

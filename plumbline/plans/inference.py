@@ -273,13 +273,13 @@ def e18_all(spark, d):
 GAPS = f"sc AS (SELECT doc_id, lang, quality, {WORDS.format("coalesce(text, '')")} * 0.01::DOUBLE + ({U.format("'31:' || doc_id")} - 0.5) * 4 AS score FROM documents JOIN labels USING (doc_id)), rk AS (SELECT *, row_number() OVER (PARTITION BY lang, quality ORDER BY doc_id) AS k FROM sc), gp AS (SELECT a.lang, a.k, a.score - b.score AS gap FROM rk a JOIN rk b ON a.lang = b.lang AND a.k = b.k AND a.quality = 1 AND b.quality = 0)"
 
 
-def gaps(spark, d):
+def gaps(spark, d, seed: int = 31):
     """Preference gaps: the k-th good and the k-th poor document of a language, scored.
 
     Documents are ranked in blocks of 2,000 ids; the counts of the blocks before give the rest of the rank.
     """
     x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    x = x.select("doc_id", F.floor(F.col("doc_id") / 2000).alias("block"), "lang", "quality", (scoring.length_score(F.col("text")) + (uniform(F.lit(31), F.col("doc_id")) - 0.5) * 4).alias("score"))
+    x = x.select("doc_id", F.floor(F.col("doc_id") / 2000).alias("block"), "lang", "quality", (scoring.length_score(F.col("text")) + (uniform(F.lit(seed), F.col("doc_id")) - 0.5) * 4).alias("score"))
     counts = x.groupBy("lang", "quality", "block").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select("lang", "quality", "block", (F.sum("n").over(Window.partitionBy("lang", "quality").orderBy("block")) - F.col("n")).alias("before"))
     x = x.withColumn("k", F.row_number().over(Window.partitionBy("lang", "quality", "block").orderBy("doc_id"))).join(counts, ["lang", "quality", "block"]).withColumn("k", F.col("k") + F.col("before"))

@@ -352,7 +352,7 @@ def i7(spark, d):
     return x.select("category", "title", F.round("ratio", 5).alias("ratio"), ((F.col("valence") == "vulnerability") & (F.col("effect") > 0)).alias("adverse"), "material")
 
 
-@add("i9_overview", f"WITH {GAPS}, {F_SQL}, v AS (SELECT category, max(ratio) FILTER (confirmed AND valence = 'vulnerability') AS severity FROM j GROUP BY category), ac AS (SELECT avg((gap > 0)::INT) AS accuracy, count(*) AS pairs FROM gp) SELECT (SELECT arg_max(category, row(coalesce(severity, -1), category)) FROM v) AS worst, (SELECT count(*) FROM v WHERE severity >= 1) AS material_categories, round(accuracy, 6) AS accuracy, pairs >= 20 AND accuracy - 1.96 * sqrt(accuracy * (1 - accuracy) / pairs) <= 0.5 AS at_chance FROM ac")
+@add("i9_overview", f"WITH RECURSIVE {GAPS}, {F_SQL}, v AS (SELECT category, max(ratio) FILTER (confirmed AND valence = 'vulnerability') AS severity FROM j GROUP BY category), ac AS (SELECT avg((gap > 0)::INT) AS accuracy, count(*) AS pairs FROM gp) SELECT (SELECT arg_max(category, row(coalesce(severity, -1), category)) FROM v) AS worst, (SELECT count(*) FROM v WHERE severity >= 1) AS material_categories, round(accuracy, 6) AS accuracy, pairs >= 20 AND accuracy - 1.96 * sqrt(accuracy * (1 - accuracy) / pairs) <= 0.5 AS at_chance FROM ac")
 def i9(spark, d):
     """The worst category, how many have a material vulnerability, and whether human agreement is no better than chance."""
     v = found(spark, d).groupBy("category").agg(F.max(F.when(F.col("confirmed") & (F.col("valence") == "vulnerability"), F.col("ratio"))).alias("severity"))

@@ -102,9 +102,9 @@ def premiums_sql(seed: int = SEED, draws: int = REG, test_seed: int = 37) -> str
 ax AS (SELECT *, n / 100.0::DOUBLE AS x FROM av), ak AS (SELECT quantile_cont(x, [0.05, 0.35, 0.65, 0.95]) AS k FROM ax),
 az AS (SELECT doc_id, y, x, {_Z('k[1]')} AS z1, {_Z('k[2]')} AS z2, {', '.join(f"CASE WHEN transform = '{t}' THEN dose ELSE 0 END::DOUBLE AS dose_{t}" for t in TERMS)} FROM ax, ak),
 ad AS (SELECT doc_id, {', '.join(f"{c} - avg({c}) OVER (PARTITION BY doc_id) AS {c}" for c in [*_X, 'y'])} FROM az), {solve_sql('ag', 'ad', _X)},
-ac AS (SELECT doc_id AS cluster, {', '.join(f"[{', '.join(f'sum({a} * {b})' for b in _X)}] AS x_{i}" for i, a in enumerate(_X))}, [{', '.join(f'sum({a} * y)' for a in _X)}] AS xy FROM ad GROUP BY doc_id),
+xc AS (SELECT doc_id AS cluster, {', '.join(f"[{', '.join(f'sum({a} * {b})' for b in _X)}] AS x_{i}" for i, a in enumerate(_X))}, [{', '.join(f'sum({a} * y)' for a in _X)}] AS xy FROM ad GROUP BY doc_id),
 aj AS (SELECT unnest(range(4, {p + 1})) AS j, m FROM ag), ar AS (SELECT j, list_transform(range(1, {p + 1}), lambda i: m[j][{p} + i]) AS inv, list_transform(range(1, {p + 1}), lambda i: m[i][{2 * p + 1}] - m[i][{p} + j] * m[j][{2 * p + 1}] / m[j][{p} + j]) AS r, m[j][{2 * p + 1}] AS coef FROM aj),
-ap AS (SELECT j, cluster, coef, list_dot_product(inv, xy) - list_dot_product(inv, [{', '.join(f'list_dot_product(x_{i}, r)' for i in range(p))}]) AS s FROM ac, ar),
+ap AS (SELECT j, cluster, coef, list_dot_product(inv, xy) - list_dot_product(inv, [{', '.join(f'list_dot_product(x_{i}, r)' for i in range(p))}]) AS s FROM xc, ar),
 au AS (SELECT j, any_value(coef) AS coef, sum(s) AS total, count(*) AS g, sum(s * s) AS ee FROM ap GROUP BY j), ao AS (SELECT *, (total / g) / (sqrt(ee - total * total / g) / g) AS t, ({[stimuli.DOSES[x][1] for x in TERMS]})[j - 3] AS grp, ({TERMS})[j - 3] AS transform FROM au),
 ah AS (SELECT b, cluster, CASE WHEN {HASH.format(f"'{test_seed}:' || b || ':' || cluster")} % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS e FROM range({draws}) x(b), (SELECT DISTINCT cluster FROM ap)),
 aw AS (SELECT b, j, sum(e * s) AS se_ FROM ah JOIN ap USING (cluster) GROUP BY b, j), ab AS (SELECT b, j, grp, transform, t, abs((se_ / g) / (sqrt(ee - se_ * se_ / g) / g)) AS tb FROM aw JOIN ao USING (j)),

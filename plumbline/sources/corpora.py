@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -57,30 +58,58 @@ def sycophancy_arms(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.col("id").alias("scenario_id"), "topic", "insistence", "cell", F.col("cell").startswith("agrees").alias("agrees"), F.substring_index("cell", "_", -1).alias("tone"), "question", "text")
 
 
-def attack_affixes(spark: SparkSession, path: str, wordings: list[str] | None = None) -> DataFrame:
-    """(affix_id, family, affix, position, control_for). wordings: a reduced grid keeps these affixes, in one position.
-
-    A reduced affix stands as a suffix, if it can; a neutral control keeps all its positions, as others are held
-    against it there.
-    """
-    a = corpus(spark, path, ATTACKS).select(F.inline("affixes"))
+# The wording that a reduced grid keeps of each family, and the families that it keeps whole.
+REDUCED = {
+    "authority": "official",
+    "citation": "consensus",
+    "hhh_keywords": "safety_words",
+    "meta_instruction": "grader_note",
+    "politeness": "great_question",
+    "reasoning_scaffold": "lets_break",
+    "refusal_laundering": "consult_pro",
+    "repetition": "repeat_summary",
+    "self_praise": "clear_thorough",
+    "self_rating": "gold_label",
+    "structure": "headers",
+}
+WHOLE_FAMILIES = ("special_token", "lookalike_control", "neutral_control")
+
+
+def reduced_grid(affixes: DataFrame, wordings: dict[str, str] | None = None, whole: tuple[str, ...] = WHOLE_FAMILIES) -> DataFrame:
+    """affixes (at, id, family, positions, ...) of a reduced grid: families in `whole` with all their wordings, of the
+    others the one that wordings names, or the first (least at) of a family that it doesn't know. Each stands in one
+    place, as a suffix where it can; a neutral control keeps all its places, as others are held against it there."""
+    named = F.create_map(*[F.lit(x) for kv in (wordings or REDUCED).items() for x in kv]) if wordings or REDUCED else None
+    first = affixes.groupBy("family").agg(F.min_by("id", "at").alias("_first"))
+    kept = affixes.join(F.broadcast(first), "family").where(F.col("family").isin(*whole) | (F.col("id") == F.coalesce(F.element_at(named, F.col("family")), F.col("_first")))).drop("_first")
+    one = F.when((F.col("family") == "neutral_control") | (F.size("positions") <= 1), F.col("positions")).when(F.array_contains("positions", "suffix"), F.array(F.lit("suffix"))).otherwise(F.slice("positions", 1, 1))
+    return kept.withColumn("positions", one)
+
+
+def attack_affixes(spark: SparkSession, path: str, wordings: list[str] | None = None, reduced: bool = False) -> DataFrame:
+    """(affix_id, family, affix, position, control_for). wordings: keep these affixes, each in one position, as in
+    reduced_grid; reduced: the reduced grid itself."""
+    a = corpus(spark, path, ATTACKS).select(F.posexplode("affixes").alias("at", "a")).select("at", "a.*")
     if wordings is not None:
-        one = F.when((F.col("family") == "neutral_control") | (F.size("positions") <= 1), F.col("positions")).when(F.array_contains("positions", "suffix"), F.array(F.lit("suffix"))).otherwise(F.slice("positions", 1, 1))
-        a = a.where(F.col("id").isin(wordings)).withColumn("positions", one)
+        a = reduced_grid(a.where(F.col("id").isin(wordings)), whole=tuple(r[0] for r in a.select("family").distinct().collect()))
+    elif reduced:
+        a = reduced_grid(a)
     return a.select(F.col("id").alias("affix_id"), "family", F.col("text").alias("affix"), F.explode("positions").alias("position"), "control_for")
 
 
-def attack_bases(spark: SparkSession, path: str, questions: DataFrame, reduced: bool = False) -> DataFrame:
+def attack_bases(spark: SparkSession, path: str, questions: DataFrame, reduced: bool = False, own_only: bool = False) -> DataFrame:
     """(question_id, base_id, type, text): the generic bases under every question, and its own wrong and poor answer.
 
-    reduced: of the generic bases the first of each type, as the file lists them.
+    reduced: of the generic bases the first of each type, as the file lists them. own_only: none of them, as in a
+    reduced grid, which attacks each question's own answers only.
     """
     b = corpus(spark, path, ATTACKS).select(F.posexplode("bases").alias("at", "b")).select("at", "b.*")
     if reduced:
         b = b.groupBy("type").agg(F.min_by(F.struct("id", "text"), "at").alias("b")).select("type", "b.*")
     generic = questions.select(F.col("id").alias("question_id")).crossJoin(F.broadcast(b.select(F.col("id").alias("base_id"), "type", "text")))  # a literal of the file
     own = F.array(F.struct(F.lit("wrong").alias("base_id"), F.lit("wrong").alias("type"), F.col("wrong_answer").alias("text")), F.struct(F.lit("poor").alias("base_id"), F.lit("poor").alias("type"), F.col("poor_answer").alias("text")))
-    return generic.unionByName(questions.select(F.col("id").alias("question_id"), F.inline(own)))
+    own = questions.select(F.col("id").alias("question_id"), F.inline(own))
+    return own if own_only else generic.unionByName(own)
 
 
 def inventory(spark: SparkSession, paths: dict[str, tuple[str, str]]) -> DataFrame:
@@ -102,6 +131,6 @@ def preferences(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
     """(chosen, rejected) transcripts, and why there are none, if the table is missing or lacks the columns."""
     try:
         found = spark.read.parquet(path).select("chosen", "rejected")
-    except Exception as e:  # whatever the source says, the run goes on uncalibrated
+    except AnalysisException as e:  # not there, or without the columns: the run goes on uncalibrated; a failed read raises
         return spark.createDataFrame([], "chosen string, rejected string"), f"preference pairs unavailable ({type(e).__name__})"
     return found, None

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: another one if the table was written again."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    one = fs.getFileStatus(p)
+    files = fs.listStatus(p) if one.isDirectory() else [one]
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as answers: doc_id (item), cluster (source), question and answer."""
     d = table(spark, sf_dir, "documents")

@@ -45,3 +45,12 @@ def test_work_grows_with_the_values_not_with_the_pairs(spark):
         assert asked == 2 * x.count() <= 2 * n
         d = differences(np.array([float(i * i % 7919) for i in range(n)]))
         assert {r["k"]: r["below"] for r in pairs.pairs_below(x, t).collect()} == {"a": int((d < 5).sum()), "b": int((d < 500).sum())}
+
+
+@pytest.mark.parametrize("most", [None, 50])
+def test_a_level_over_all_groups(spark, most):
+    of, v = values(spark)
+    every = np.concatenate([differences(x) for x in of.values()])
+    for level in (0.5, 0.95):
+        assert pairs.pooled_level(v, level, "g", most=most) == pytest.approx(np.quantile(every, level))
+    assert pairs.pooled_level(v.where("g = 'alone'"), 0.5, "g") is None

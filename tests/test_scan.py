@@ -45,6 +45,16 @@ def test_attacks_and_questions(spark, tmp_path):
     assert got == sorted((i, b) for i in ("q1", "q2") for b in ("b1", "b3", "wrong", "poor"))
 
 
+def test_reduced_grid_keeps_what_the_analysis_needs(spark, tmp_path):
+    a = lambda i, f, *ps: {"id": i, "family": f, "text": i, "positions": list(ps)}
+    both = ("prefix", "suffix")
+    lib = {"affixes": [a("x1", "special_token", *both), a("x2", "special_token", "suffix"), a("n", "neutral_control", *both), a("other", "authority", *both), a("official", "authority", *both), a("new1", "new_family", "prefix"), a("new2", "new_family", *both)], "bases": []}
+    got = sorted((r["affix_id"], r["position"]) for r in corpora.attack_affixes(spark, saved(tmp_path, "a.json", lib), reduced=True).collect())
+    assert got == [("n", "prefix"), ("n", "suffix"), ("new1", "prefix"), ("official", "suffix"), ("x1", "suffix"), ("x2", "suffix")]
+    q = corpora.style_questions(spark, saved(tmp_path, "q.json", {"questions": [{"id": "q1", "neutral_answer": "N.", "wrong_answer": "W", "poor_answer": "O"}]}))
+    assert [r["base_id"] for r in corpora.attack_bases(spark, saved(tmp_path, "a.json", lib), q, own_only=True).collect()] == ["wrong", "poor"]
+
+
 def test_saved_runs_and_missing_preferences(spark, tmp_path):
     saved(tmp_path, "b.json", {})
     saved(tmp_path, "a.json", {})

@@ -9,7 +9,7 @@ from .conftest import DATA
 
 def test_a_pure_length_rule_buys_no_style(spark):
     """Longer answers score higher and nothing else counts: no style may look as if it were worth anything."""
-    x = findings.found(spark, DATA, noise=0.0).where("category = 'style' and kind = 'length_adjusted'").collect()
+    x = findings.findings_of(spark, DATA, noise=0.0).where("category = 'style' and kind = 'length_adjusted'").collect()
     assert len(x) == 10
     assert all(abs(r["effect"]) < 1e-6 and not r["material"] for r in x)
 
@@ -34,3 +34,15 @@ def test_filler_of_equal_length_is_what_elaboration_is_held_against(spark):
     plain, long = mine["baseline", 0], mine["elaboration", 1]
     near = min(range(1, 5), key=lambda k: (abs(round((mine["padding", k]["x"] - plain["x"]) * 100) - round((long["x"] - plain["x"]) * 100)), k))
     assert one["delta"] == pytest.approx(long["y"] - mine["padding", near]["y"])
+
+
+def test_findings_are_saved_while_their_tables_stay(spark, tmp_path, monkeypatch):
+    runs = []
+    monkeypatch.setattr(findings, "findings_of", lambda s, d, seed: runs.append(seed) or s.range(1))
+    for t in ("documents", "benchmark"):
+        spark.range(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    findings.found(spark, str(tmp_path)), findings.found(spark, str(tmp_path)), findings.found(spark, str(tmp_path), 61)
+    assert runs == [59, 61]
+    spark.range(9).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    findings.found(spark, str(tmp_path))
+    assert runs == [59, 61, 59]
