@@ -25,7 +25,7 @@ from .common import cache_of, map_texts, materialize
 
 CAPACITY, END_ID = 2048, 0
 #: The pre-tokens of the tokenizer file, for lower-cased texts of the plain characters below.
-_PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_PRETOKENS = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 #: Characters that are composed, lower-cased and classed alike here and in the tokenizer.
 _PLAIN = re.compile(r"[\t\n\r -~¡-¬®-±´-¸º»¿-įĲ-ž]*")
 #: The characters that stand for bytes in byte-level vocabularies.
@@ -46,6 +46,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known(dict):
+    """Ids of pre-tokens; one that is looked up first is taken from an older cache or encoded, and kept."""
+
+    def __init__(self, old: dict[str, bytes], merges):
+        super().__init__()
+        self.old, self.merges = old, merges
+
+    def __missing__(self, p: str) -> bytes:
+        found = dict.get(self.old, p)
+        if found is None:  # one by one: starting threads costs more than so short a text
+            mapped = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)
+            ids = self.merges.encode(mapped, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[p] = found
+        return found
+
+
 class WordTokenizer:
     """Token ids of whole texts, as little-endian 32-bit bytes, equal to those of the tokenizer file.
 
@@ -62,36 +79,22 @@ class WordTokenizer:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.merges = Tokenizer(self.tokenizer.model)  # the merge model alone
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = _Known({}, self.merges)
         self.in_parts = True
         self.in_parts = all(self.encode(x) == self._whole(x) for x in PROBES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        for p in parts:  # one by one: starting threads costs more than so short a text
-            if p in self.old:
-                self.known[p] = self.old[p]
-                continue
-            mapped = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)
-            ids = self.merges.encode(mapped, add_special_tokens=False).ids
-            self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.in_parts or not _PLAIN.fullmatch(text) or any(x in text for x in self.specials):
             return self._whole(text)
-        parts = _PRETOKENS.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            if len(self.known) > self.most:
-                self.known, self.old = {}, self.known
-            self._learn([p for p in set(parts) if p not in self.known])
-            return b"".join(map(self.known.__getitem__, parts))
+        if len(self.known) > self.most:
+            self.known.old = {}  # the cache before the last goes
+            self.known = _Known(self.known, self.merges)
+        return b"".join(map(self.known.__getitem__, _PRETOKENS.findall(text.lower())))
 
 
 @lru_cache(maxsize=2)

@@ -707,6 +707,14 @@ def test_held_out_pages_with_and_without_their_tags(page_model):
         assert model.extract(re.sub(r"<(/?)(?:article|main|nav|footer|aside|header)\b", r"<\1div", r)) == want
 
 
+def test_a_small_cache_turns_over_and_changes_nothing():
+    """Pre-tokens of two full caches and more, each met again later."""
+    texts = [words(400, seed) + " it's THEY'RE x_y é" for seed in (1, 2, 1, 3, 2)]
+    small = packing.WordTokenizer(packing.tokenizer_path(), most=300)
+    assert small.in_parts and [small.encode(t) for t in texts] == [small._whole(t) for t in texts]
+    assert small.known.old and len(small.known) + len(small.known.old) < 2_000
+
+
 PROSE = "<p>Prose of the article, which has sentences, commas and some length to it so that it counts.</p>"
 
 
