@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, stimuli
-from ..functions.text import digest, hashed, sentences, uniform, word_count
+from ..functions.text import digest, hashed, sentences, word_count
 from ..operators import findings as rules
 from ..operators import regression
 from ..operators import resampling as R
@@ -14,8 +14,8 @@ from ..sources.tables import answers, table
 from . import stimuli as plan
 from .findings import F_SQL, found
 from .inference import BOOT, GAPS, HASH, NAMES, PERM, _omnibus_sql, boot_sql, gaps, names
-from .joins import DIRTY, FACTORS, ROWS_SQL, SUMMARY, contaminated, points, premiums, rounded, scored, summary
-from .stimuli import A, S, U, WORDS, quoted
+from .joins import DIRTY, FACTORS, ROWS_SQL, SUMMARY, contaminated, premiums, rounded, scored, summary
+from .stimuli import A, S, WORDS, quoted
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +32,7 @@ def add(name: str, sql: str | None = None):
 
 # labels and bases
 
+# Where a title is cut.
 BREAKS = (", so ", ". ", " (")
 
 
@@ -119,7 +120,7 @@ def d13(spark, d):
     """Each source's first document is the neutral wording; the others are held against it."""
     x = table(spark, d, "documents").select("source", "doc_id", scoring.length_score(F.col("text")).alias("s"))
     b = x.groupBy("source").agg(F.min_by("s", "doc_id").alias("neutral"), F.min("doc_id").alias("first"))
-    x = x.join(F.broadcast(b), "source").where("doc_id <> first").withColumn("delta", F.col("s") - F.col("neutral"))  # one row per source
+    x = x.join(b, "source").where("doc_id <> first").withColumn("delta", F.col("s") - F.col("neutral"))
     return rounded(x.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("signed"), F.avg(F.abs("delta")).alias("absolute")))
 
 
