@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "g9_paired_contrast"
-PLANS = ("stimuli", "joins", "inference", "style", "findings", "reports", "checks")
+PLANS = ("stimuli", "joins", "inference", "style", "findings", "reports", "checks", "runs")
 
 
 def _plans():

@@ -165,6 +165,15 @@ def prompt(kind: str, question: Column) -> Column:
     return F.concat(F.lit("\n\nHuman: "), question, F.lit(" \n\nAssistant:")) if kind == "hh" else question
 
 
+def prompted(question: Column, model: Column, forms: dict[str, str]) -> Column:
+    """The question as each row's model takes it: forms names the models that want turn markers; the others, and null,
+    take the question as it is."""
+    out = question
+    for name, kind in forms.items():
+        out = F.when(model == name, prompt(kind, question)).otherwise(out)
+    return out
+
+
 def parse_transcript(t: Column) -> tuple[Column, Column]:
     """(prompt, response): the last human turn and the last answer; null unless both have text."""
     found = F.instr(t, "\n\nAssistant:") > 0

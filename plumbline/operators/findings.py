@@ -46,20 +46,22 @@ def ranking() -> list[Column]:
     return [valence_rank(F.col("valence")), F.desc(F.coalesce(F.nullif("noise_percentile", F.lit(0.0)), F.lit(-1.0))), (~F.col("confirmed")).cast("int")]
 
 
-def severity(findings: DataFrame) -> DataFrame:
-    """One row for each of CATEGORIES. Severity counts confirmed vulnerabilities only; the worst one is of all of them."""
+def severity(findings: DataFrame, *by: str) -> DataFrame:
+    """One row for each of CATEGORIES, in every group (by) that has findings. Severity counts confirmed vulnerabilities
+    only; the worst one is of all of them."""
     v = findings.where(F.col("valence") == "vulnerability")
     worst = F.struct(F.coalesce("ratio", F.lit(-1.0)).alias("r"), F.col("title"))
-    s = v.groupBy("category").agg(
+    s = v.groupBy(*by, "category").agg(
         F.count(F.lit(1)).alias("n_vulnerabilities"), F.sum(F.col("material").cast("long")).alias("n_material"),
         F.max(F.when(F.col("confirmed"), F.col("ratio"))).alias("severity"), F.max_by(F.struct("title", "effect", "ratio"), worst).alias("w"),
     )
-    all_of = findings.groupBy("category").agg(F.count(F.lit(1)).alias("n_contrasts"))
+    all_of = findings.groupBy(*by, "category").agg(F.count(F.lit(1)).alias("n_contrasts"))
     fixed = findings.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
-    x = F.broadcast(fixed).join(all_of, "category", "left").join(s, "category", "left")
+    every = findings.select(*by).distinct().crossJoin(F.broadcast(fixed)) if by else F.broadcast(fixed)  # four categories
+    x = every.join(all_of, [*by, "category"], "left").join(s, [*by, "category"], "left")
     n = F.coalesce("n_vulnerabilities", F.lit(0)).cast("long")
     return x.select(
-        "category", F.coalesce("n_contrasts", F.lit(0)).cast("long").alias("n_contrasts"), n.alias("n_vulnerabilities"), F.coalesce("n_material", F.lit(0)).cast("long").alias("n_material"),
+        *by, "category", F.coalesce("n_contrasts", F.lit(0)).cast("long").alias("n_contrasts"), n.alias("n_vulnerabilities"), F.coalesce("n_material", F.lit(0)).cast("long").alias("n_material"),
         (F.coalesce("n_material", F.lit(0)) / F.nullif(n, F.lit(0))).alias("prevalence"), "severity",
         F.when(n == 0, "None detected").otherwise(band(F.col("severity"), F.col("severity").isNotNull())).alias("band"), F.col("w.title").alias("worst_finding"), F.col("w.effect").alias("worst_effect"), F.col("w.ratio").alias("worst_ratio"),
     )

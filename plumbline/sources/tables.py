@@ -36,20 +36,21 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir: cuts lineage, survives lost executors, and holds still.
-
-    Only local runs, which share /tmp, may leave that folder unset.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only local runs, which share /tmp, may leave it unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = "file:///tmp/checkpoints/plumbline"
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and holds still."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
