@@ -298,3 +298,12 @@ def test_length_curve_is_the_spline_itself(spark):
     grid, h = np.linspace(x.min(), x.max(), 40), max(1.0, (x.max() - x.min()) / 200)
     assert np.allclose([r["tokens"] for r in curve], grid) and np.allclose([r["reward"] for r in curve], f(grid) - f(grid[0]))
     assert np.allclose([r["slope_per_100"] for r in curve], (f(grid + h) - f(grid - h)) / (2 * h) * 100)
+
+
+def test_benjamini_hochberg_of_p_that_differ_when_read_again(spark):
+    import random
+
+    p = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    got = resampling.benjamini_hochberg(spark.range(200).withColumn("p", p("id")), "p", "id").collect()
+    assert len(got) == 200
+    assert all(r["q"] is not None and r["q"] >= r["p"] for r in got)
