@@ -46,3 +46,43 @@ def test_findings_are_saved_while_their_tables_stay(spark, tmp_path, monkeypatch
     spark.range(9).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     findings.found(spark, str(tmp_path))
     assert runs == [59, 61, 59]
+
+
+def test_words_of_variants_come_from_the_answer(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import stimuli
+    from plumbline.functions.text import sentences, word_count
+
+    texts = ["", " \n ", "one", "A b. C d! E?", " Ééé x.  İi y.\n\nz w v", ". . .", "a.b c d. Q", "S. " * 30]
+    x = spark.createDataFrame([(t,) for t in texts], "a string").withColumns({"s": sentences(F.col("a")), "n": word_count(F.col("a"))})
+    s = F.col("s")
+    for t, (doses, _) in stimuli.DOSES.items():
+        for k in doses:
+            got = x.select("a", word_count(stimuli.variant(t, k, F.col("a"), s, s)).alias("long"), stimuli.variant_words(t, k, F.col("n"), s, s).alias("short")).collect()
+            assert all(r["long"] == r["short"] for r in got), (t, k, got)
+
+
+def test_families_share_their_signs(spark):
+    from plumbline.operators import draws, resampling
+
+    x = spark.createDataFrame([(n, c, float((c * 7 + i * 3) % 11 - 4), 1) for i, n in enumerate("abcd") for c in range(40)], "name string, cluster long, s double, n long")
+    both = resampling.westfall_young(x, "name", 200, 3, [["a", "b"], ["c", "d"]])
+    alone = [resampling.westfall_young(x.where(f"name in {f}"), "name", 200, 3).collect() for f in (("a", "b"), ("c", "d"))]
+    assert sorted(both.collect()) == sorted(alone[0] + alone[1])
+    assert draws.dealt(x, "cluster").rdd.getNumPartitions() > 1
+
+
+def test_wide_cross_products_in_blocks(spark):
+    import numpy as np
+
+    from plumbline.operators import regression
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 10))
+    of = [None if i % 50 == 0 else i % 37 for i in range(600)]
+    x = spark.createDataFrame([(c, *map(float, r)) for c, r in zip(of, v)], "cluster long, " + ", ".join(f"x{i} double" for i in range(9)) + ", y double").repartition(3)
+    got = regression.fit_fe(x, "y", [f"x{i}" for i in range(9)], "cluster").beta
+    key = np.array([-1 if c is None else c for c in of])
+    w = v - np.stack([v[key == k].mean(0) for k in key])
+    assert np.allclose(got, np.linalg.lstsq(w[:, :9], w[:, 9], rcond=None)[0])
