@@ -307,3 +307,11 @@ def test_benjamini_hochberg_of_p_that_differ_when_read_again(spark):
     got = resampling.benjamini_hochberg(spark.range(200).withColumn("p", p("id")), "p", "id").collect()
     assert len(got) == 200
     assert all(r["q"] is not None and r["q"] >= r["p"] for r in got)
+
+
+def test_deals_of_few_templates_are_many_tasks(spark, monkeypatch):
+    parts, plain = [], resampling.D.summed_rows
+    monkeypatch.setattr(resampling.D, "summed_rows", lambda df, *a: parts.append(df.rdd.getNumPartitions()) or plain(df, *a))
+    cells = frame(spark, [(t, k, float((t * 5 + k * 3) % 7)) for t in range(40) for k in range(4)], "template int, level int, score double")
+    assert resampling.within_template(cells, 20, 1).first()["n_templates"] == 40
+    assert parts[0] > 1
