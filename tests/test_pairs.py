@@ -54,3 +54,20 @@ def test_a_level_over_all_groups(spark, most):
     for level in (0.5, 0.95):
         assert pairs.pooled_level(v, level, "g", most=most) == pytest.approx(np.quantile(every, level))
     assert pairs.pooled_level(v.where("g = 'alone'"), 0.5, "g") is None
+
+
+def test_pairs_are_counted_in_blocks(spark, monkeypatch):
+    """Many small blocks, equal values over their ends and several groups give what all pairs give."""
+    import numpy as np
+
+    monkeypatch.setattr(pairs, "LEAST_BLOCK", 7)
+    monkeypatch.setattr(pairs, "MOST_BLOCK", 7)
+    rng = np.random.default_rng(11)
+    of = {"a": rng.integers(0, 40, 300) / 8, "b": rng.normal(size=90), "c": np.array([2.0])}
+    v = pairs.valued(spark.createDataFrame([(g, float(x)) for g, xs in of.items() for x in xs], "g string, x double"), "x", "g")
+    blocks = pairs.blocked(v, "g")
+    assert blocks.selectExpr("max(size(v))").first()[0] <= 7 and blocks.selectExpr("sum(n)").first()[0] == sum(map(len, of.values()))
+    ts = [0.0, 0.125, 0.5, 1.0, 3.3, 99.0]
+    got = pairs.pairs_below(v, spark.createDataFrame([(g, k, t) for g in of for k, t in enumerate(ts)], "g string, k int, t double"), "g", blocks=blocks).collect()
+    want = {(g, str(k)): int((np.abs(xs[:, None] - xs[None])[np.triu_indices(len(xs), 1)] < t).sum()) for g, xs in of.items() for k, t in enumerate(ts)}
+    assert {(r["g"], r["k"]): r["below"] for r in got} == want
