@@ -86,3 +86,33 @@ def test_wide_cross_products_in_blocks(spark):
     key = np.array([-1 if c is None else c for c in of])
     w = v - np.stack([v[key == k].mean(0) for k in key])
     assert np.allclose(got, np.linalg.lstsq(w[:, :9], w[:, 9], rcond=None)[0])
+
+
+def test_turns_of_emoji_and_buzzwords(spark):
+    """A text with a sentence for each turn takes the short way and gives what the turns give one after the other."""
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import stimuli
+
+    x = spark.createDataFrame([([f"S{i} t." for i in range(n)],) for n in range(12)], "s array<string>")
+    for k in (1, 2, 4, 8):
+        for r in x.select("s", stimuli.emoji(F.col("s"), k).alias("e"), stimuli.buzzwords(F.col("s"), k).alias("b")).collect():
+            e, b, n = list(r["s"]), list(r["s"]), len(r["s"])
+            for i in range(k if n else 0):
+                e[i % n] += " " + stimuli.EMOJI[i % 8]
+                w = stimuli.BUZZWORDS[i % 8]
+                b[i % n] = w[0].upper() + w[1:] + ", " + b[i % n][0].lower() + b[i % n][1:]
+            assert (r["e"], r["b"]) == (" ".join(e), " ".join(b))
+    plan = x.select(stimuli.buzzwords(F.col("s"), 8))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN" in plan
+
+
+def test_findings_read_documents_twice(spark, tmp_path, monkeypatch):
+    """Once for the documents' own scores and once for their arms', whatever number of modules asks."""
+    read = []
+    for g in (vars(findings), vars(style), findings.scored_documents.__globals__):
+        for name in ("table", "answers"):
+            if name in g:
+                monkeypatch.setitem(g, name, lambda s, d, *t, f=g[name], n=name: read.append((n, *t)) or f(s, d, *t))
+    findings.findings_of(spark, DATA)
+    assert sorted(r for r in read if r[-1] != "benchmark") == [("answers",), ("table", "documents")]
