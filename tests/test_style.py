@@ -116,3 +116,12 @@ def test_findings_read_documents_twice(spark, tmp_path, monkeypatch):
                 monkeypatch.setitem(g, name, lambda s, d, *t, f=g[name], n=name: read.append((n, *t)) or f(s, d, *t))
     findings.findings_of(spark, DATA)
     assert sorted(r for r in read if r[-1] != "benchmark") == [("answers",), ("table", "documents")]
+
+
+def test_draws_of_a_small_group_are_many_tasks(spark):
+    from plumbline.operators import draws
+
+    groups = spark.createDataFrame([(0, [1.0, 2.0])], "g int, s array<double>")
+    x = draws.per_draw(groups, 40, lambda r, b: [(float(r["s"].sum() + b),)], "m double", ["g"])
+    held = [n for n in x.rdd.glom().map(len).collect() if n]
+    assert sum(held) == 40 and len(held) > draws.BLOCKS // 2
