@@ -12,7 +12,7 @@ from ..functions.text import digest
 from ..operators import pairs
 from ..sources import runs
 from ..sources.tables import answers, shared_folder, table, written
-from .findings import F_SQL, _f, found
+from .findings import F_SQL, _f, found, found_runs
 from .joins import rounded, scored
 from .scan import PROBES, run_scan
 from .stimuli import A
@@ -67,8 +67,9 @@ _NAMES = [(seed, runs.run_name("lab/length", "quick", seed)) for seed in (59, 61
 def a13(spark, d):
     """Two runs saved in an older version's terms and read back: their severities are those of the runs themselves."""
     folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
-    for seed, _ in _NAMES:
-        runs.save_run(aged(found(spark, d, seed)), folder, "lab/length", "quick", seed, ["style", "injection"], ["noise_floor", "style", "injection"])
+    seeds = [seed for seed, _ in _NAMES]
+    for seed, x in zip(seeds, found_runs(spark, d, *seeds)):
+        runs.save_run(aged(x), folder, "lab/length", "quick", seed, ["style", "injection"], ["noise_floor", "style", "injection"])
     tiles = runs.severities(runs.migrated(runs.read_runs(spark, folder)))
     return rounded(tiles.select("run", "category", "n_contrasts", "n_vulnerabilities", "n_material", "severity", "band"), 5)
 

@@ -125,3 +125,42 @@ def test_draws_of_a_small_group_are_many_tasks(spark):
     x = draws.per_draw(groups, 40, lambda r, b: [(float(r["s"].sum() + b),)], "m double", ["g"])
     held = [n for n in x.rdd.glom().map(len).collect() if n]
     assert sum(held) == 40 and len(held) > draws.BLOCKS // 2
+
+
+def test_compared_runs_share_their_texts(spark, monkeypatch):
+    """Two runs read and rewrite the documents as often as one does, and each is what it is alone."""
+    read = []
+    for g in (vars(findings), vars(style), findings.scored_documents.__globals__):
+        for name in ("table", "answers"):
+            if name in g:
+                monkeypatch.setitem(g, name, lambda s, d, *t, f=g[name], n=name: read.append((n, *t)) or f(s, d, *t))
+    monkeypatch.setattr(findings, "_saved", {})
+    assert findings.d24(spark, DATA).count() == 14
+    assert sorted(r for r in read if r[-1] != "benchmark") == [("answers",), ("table", "documents")]
+    by = lambda x: {(r["category"], r["kind"], r["title"]): r.asDict() for r in x.collect()}
+    both, alone = by(findings.found(spark, DATA, 61)), by(findings.findings_of(spark, DATA, 61))
+    assert both.keys() == alone.keys()
+    assert all(both[k] == pytest.approx(alone[k], abs=1e-9) for k in alone)
+
+
+def test_steps_of_many_runs_equal_each_alone(spark):
+    import numpy as np
+
+    from plumbline.operators import regression, resampling
+
+    rng = np.random.default_rng(7)
+    x = spark.createDataFrame([(i % 23, *map(float, r)) for i, r in enumerate(rng.normal(size=(300, 4)))], "cluster long, a double, b double, y1 double, y2 double").repartition(3)
+    fits = regression.fits_fe(x, ["y1", "y2"], ["a", "b"], "cluster")
+    for y, fit in zip(("y1", "y2"), fits):
+        one = regression.fit_fe(x, y, ["a", "b"], "cluster")
+        assert np.allclose(fit.beta, one.beta) and np.allclose(fit.se, one.se) and fit.r2 == pytest.approx(one.r2) and (fit.n_obs, fit.n_clusters) == (300, 23)
+    names = [f"{i}:{t}" for i in range(2) for t in "ab"]
+    rows = resampling.westfall_young_rows(regression.coefficient_rows(fits, ["a", "b"]), names, 100, 3, [names[:2], names[2:]]).collect()
+    want = [r for i, fit in enumerate(fits) for r in resampling.westfall_young(regression.coefficient_sums(fit, ["a", "b"]), "name", 100, 3).collect()]
+    assert [tuple(r)[1:] for r in rows] == [pytest.approx(tuple(r)[1:]) for r in want]
+
+    m = spark.createDataFrame([(r, n, n % 4, n % 3, float(rng.normal())) for r in (1, 2) for n in range(40)], "run int, name long, grp long, stratum long, m double")
+    got = {r["run"]: r for r in resampling.omnibus(m, 60, 5, "run").collect()}
+    for r in (1, 2):
+        alone = resampling.omnibus(m.where(f"run = {r}"), 60, 5).first()
+        assert (got[r]["gap"], got[r]["p"]) == pytest.approx((alone["gap"], alone["p"]))
